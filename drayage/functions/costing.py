@@ -8,6 +8,9 @@ from drayage import fixed_values as fv
 from drayage.functions.draws import hash_bucket, format_id, pick
 
 
+WORKING_DAY_MINUTES = 16 * 60
+
+
 def plan_cost(daily_fixed: Column, miles: Column, per_mile: Column, stops: Column) -> Column:
     return F.round(daily_fixed + miles * per_mile + stops * F.lit(fv.STOP_COST_USD), 2)
 
@@ -75,15 +78,21 @@ def delay_reason(delay: Column, keys) -> Column:
 
 
 def minutes_into_route(sequence: Column, duration: Column, stops: Column) -> Column:
-    """Whole minutes from the start of the route to the given stop."""
-    tenths = (duration * 10).cast("long")
-    return F.call_function("div", sequence.cast("long") * tenths, F.greatest(stops, F.lit(1)) * 10)
+    """Whole minutes from the start of the working day to the given stop.
+
+    The pace is kept in thousandths of a minute.  A route longer than one
+    working day goes on from the start of the day.
+    """
+    thousandths = (duration * 1000).cast("long")
+    pace = F.call_function("div", thousandths, F.greatest(stops, F.lit(1)))
+    minutes = F.call_function("div", sequence.cast("long") * pace, F.lit(1000))
+    return (minutes % WORKING_DAY_MINUTES).cast("int")
 
 
 def after(ts: Column, minutes: Column) -> Column:
     """Timestamp plus minutes; carries into the next hour and day."""
     zero = F.lit(0)
-    return ts + F.make_dt_interval(zero, zero, minutes.cast("int"))
+    return ts + F.make_dt_interval(zero, zero, minutes)
 
 
 def stop_timeline(day: Column, sequence: Column, duration: Column, stops: Column, delay: Column, service: Column, keys):

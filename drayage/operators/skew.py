@@ -1,10 +1,16 @@
-"""Finding keys that hold more rows than one task should see."""
+"""Finding keys that hold more rows than one task should see.
+
+The answer only decides which of two exact ways a row takes, so an estimate
+from a sample is enough: a key at the limit still has about SAMPLED_ROWS rows
+in the sample, and the sample is far too small to be a shuffle of its own.
+"""
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from drayage.sources.staging import stage
 
 HOT_ROWS = 5_000_000
+SAMPLED_ROWS = 1_000
 MAX_BROADCAST_ROWS = 1_000_000
 
 
@@ -28,6 +34,11 @@ class HotKeys:
     def renamed(self) -> DataFrame:
         return self.table.select(*[F.col(k).alias(f"hot_{k}") for k in self.keys], "hot_count")
 
+    def rekeyed(self, key: str, name: str, convert) -> "HotKeys":
+        """The same keys under another name, converted one to one."""
+        table = self.table.select(convert(F.col(key)).alias(name), "hot_count")
+        return HotKeys(table, [name if k == key else k for k in self.keys], self.limit)
+
     def matches(self, df: DataFrame) -> Column:
         """Join condition of df against renamed(); missing keys match too."""
         condition = F.lit(True)
@@ -36,10 +47,21 @@ class HotKeys:
         return condition
 
 
-def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> HotKeys | None:
-    """One pre-aggregated pass over the key columns; None when no key is hot."""
-    limit = limit or hot_row_limit(df.sparkSession)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_count")).where(F.col("hot_count") > limit)
+def hot_keys_of_counts(counts: DataFrame, keys: list[str], limit: int | None = None) -> HotKeys | None:
+    """Hot keys of a table that already has one row and a hot_count per key."""
+    limit = limit or hot_row_limit(counts.sparkSession)
+    counts = counts.where(F.col("hot_count") > limit)
     if counts.count() == 0:
         return None
     return HotKeys(stage(counts, "hot-keys"), list(keys), limit)
+
+
+def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> HotKeys | None:
+    """One pass over the key columns; None when no key is hot."""
+    limit = limit or hot_row_limit(df.sparkSession)
+    rows = df.select(*keys)
+    fraction = min(1.0, SAMPLED_ROWS / limit)
+    if fraction < 1.0:
+        rows = rows.sample(fraction, seed=7)
+    counts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(fraction)).cast("long").alias("hot_count"))
+    return hot_keys_of_counts(counts, list(keys), limit)

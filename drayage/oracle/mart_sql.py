@@ -58,8 +58,8 @@ CTES = {
              max_stops AS max_stops_per_route, depot_id,
              CASE WHEN {draw('vehicle_id', 'fuel', 10)} < 2 THEN 'electric'
                   WHEN {draw('vehicle_id', 'fuel', 10)} = 2 THEN 'hybrid' ELSE fuel END AS fuel_type,
-             CAST(round(cpm * (90 + {draw('vehicle_id', 'cpm', 20)}) * 0.01, 2) AS DECIMAL(14,2)) AS cost_per_mile_usd,
-             CAST(round(fixed * (90 + {draw('vehicle_id', 'fixed', 20)}) * 0.01, 2) AS DECIMAL(14,2)) AS daily_fixed_cost_usd,
+             CAST(round(cpm * (90 + {draw('vehicle_id', 'cpm', 20)}) * 0.01, 2) AS DECIMAL(18,2)) AS cost_per_mile_usd,
+             CAST(round(fixed * (90 + {draw('vehicle_id', 'fixed', 20)}) * 0.01, 2) AS DECIMAL(18,2)) AS daily_fixed_cost_usd,
              CASE WHEN {draw('vehicle_id', 'status', 20)} = 0 THEN 'maintenance'
                   WHEN {draw('vehicle_id', 'status', 40)} = 1 THEN 'retired' ELSE 'active' END AS status
       FROM m_fleet""",
@@ -94,7 +94,7 @@ CTES = {
     "m_route_base": f"""
       SELECT {ROUTE_NO} AS route_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS route_date,
              'VH-' || {pad('l_suppkey', 3)} AS vehicle_id,
-             CAST(count(*) AS INTEGER) AS planned_stops,
+             count(*) AS planned_stops,
              array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS client_mix
       FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
       GROUP BY ALL""",
@@ -109,34 +109,34 @@ CTES = {
       FROM m_route_base b JOIN m_vehicles v USING (vehicle_id) JOIN m_depots d ON v.depot_id = d.depot_id""",
     "m_route_cost": """
       SELECT *, CAST(planned_stops * stop_tenths + 12 * miles AS BIGINT) AS dur_tenths,
-             CAST(round(fixed + miles * cpm + planned_stops * 3.50, 2) AS DECIMAL(14,2)) AS planned_cost_usd
+             CAST(round(fixed + miles * cpm + planned_stops * 3.50, 2) AS DECIMAL(18,2)) AS planned_cost_usd
       FROM m_route_plan""",
     "m_routes": f"""
       SELECT route_id, route_date, vehicle_id,
              'DRV-' || CAST(100 + {draw("vehicle_id || '|' || CAST(route_date AS VARCHAR)", 'driver', 80)} AS VARCHAR) AS driver_id,
              depot_id, client_mix, planned_stops,
-             CAST(miles AS DECIMAL(14,1)) AS planned_miles,
-             CAST(dur_tenths * 0.1 AS DECIMAL(14,1)) AS planned_duration_min,
+             CAST(miles AS DECIMAL(18,1)) AS planned_miles,
+             CAST(dur_tenths * 0.1 AS DECIMAL(18,1)) AS planned_duration_min,
              planned_cost_usd,
              CAST(round(miles * 0.01 * CASE method
                WHEN 'or_tools_cvrp' THEN 95 + {draw('route_id', 'act_mi', 15)}
                WHEN 'greedy_nearest' THEN 100 + {draw('route_id', 'act_mi', 20)}
-               ELSE 105 + {draw('route_id', 'act_mi', 30)} END, 1) AS DECIMAL(14,1)) AS actual_miles,
+               ELSE 105 + {draw('route_id', 'act_mi', 30)} END, 1) AS DECIMAL(18,1)) AS actual_miles,
              CAST(round(dur_tenths * 0.001 * CASE method
                WHEN 'or_tools_cvrp' THEN 92 + {draw('route_id', 'act_dur', 20)}
                WHEN 'greedy_nearest' THEN 100 + {draw('route_id', 'act_dur', 25)}
-               ELSE 105 + {draw('route_id', 'act_dur', 35)} END, 1) AS DECIMAL(14,1)) AS actual_duration_min,
+               ELSE 105 + {draw('route_id', 'act_dur', 35)} END, 1) AS DECIMAL(18,1)) AS actual_duration_min,
              CAST(round(planned_cost_usd * 0.01 * CASE method
                WHEN 'or_tools_cvrp' THEN 90 + {draw('route_id', 'act_cost', 18)}
                WHEN 'greedy_nearest' THEN 98 + {draw('route_id', 'act_cost', 20)}
-               ELSE 102 + {draw('route_id', 'act_cost', 30)} END, 2) AS DECIMAL(14,2)) AS actual_cost_usd,
+               ELSE 102 + {draw('route_id', 'act_cost', 30)} END, 2) AS DECIMAL(18,2)) AS actual_cost_usd,
              method AS optimization_method,
              strftime(route_date, '%Y-%m') AS route_month
       FROM m_route_cost""",
     "m_numbered": f"""
       SELECT {ROUTE_NO} AS route_id, CAST(l_shipdate AS DATE) AS day, l_orderkey,
              CAST(row_number() OVER (PARTITION BY l_suppkey, date_trunc('month', l_shipdate)
-               ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS INTEGER) AS seq
+               ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS BIGINT) AS seq
       FROM lineitem""",
     "m_drawn": f"""
       SELECT n.route_id, n.day, n.l_orderkey, n.seq, r.route_month,
@@ -146,8 +146,8 @@ CTES = {
              {draw("n.route_id || '|' || n.seq", 'svc', 12)} + 3 AS svc,
              {draw("n.route_id || '|' || n.seq", 'st', 100)} AS st,
              {draw("n.route_id || '|' || n.seq", 'arr_var', 5)} AS slack,
-             CAST(n.day AS TIMESTAMP) + to_minutes(CAST(420 + (n.seq * CAST(r.planned_duration_min * 10 AS BIGINT))
-                  // (10 * greatest(r.planned_stops, 1)) AS BIGINT)) AS arrival
+             CAST(n.day AS TIMESTAMP) + to_minutes(420 + ((n.seq * (CAST(r.planned_duration_min * 1000 AS BIGINT)
+                  // greatest(r.planned_stops, 1))) // 1000) % 960) AS arrival
       FROM m_numbered n JOIN m_routes r USING (route_id)""",
     "m_stops": f"""
       SELECT 'RS-' || substr(route_id, 4) || '-' || {pad('seq', 3)} AS route_stop_id, route_id,

@@ -5,9 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 from drayage import fixed_values as fv
 from drayage.functions.calendar import week_of
 from drayage.functions.metrics import mean, ratio
-from drayage.operators.joins import lookup_join
 from drayage.plans import dashboard
-from drayage.plans.filters import ROUTE_KEY, selected_routes
+from drayage.plans.filters import selected_routes
 
 
 def depot_label(column: str = "depot_id"):
@@ -72,7 +71,7 @@ def delay_pivot(mart, **filters) -> DataFrame:
     return (
         facts.groupBy(F.date_format("month", "yyyy-MM").alias("month"))
         .pivot("delay_reason", fv.DELAY_REASONS)
-        .agg(F.sum("stops"))
+        .agg(F.count(F.lit(1)))
         .fillna(0, subset=fv.DELAY_REASONS)
         .orderBy("month")
     )
@@ -86,20 +85,9 @@ def reason_bars(mart, **filters) -> DataFrame:
     return dashboard.delays_by_reason(mart, **filters).withColumnsRenamed({"label": "reason", "count": "delayed_stops"})
 
 
-def _stops_per_depot_order(mart, **filters) -> DataFrame:
-    """Stops counted per depot and order: few rows per order, whatever its size."""
-    found = selected_routes(mart, **filters).select(*ROUTE_KEY, "depot_id")
-    stops = lookup_join(
-        mart.stops.select(*ROUTE_KEY, "order_id"), found, ROUTE_KEY, hot=mart.hot("stops", "route_id")
-    )
-    per_order = stops.where(F.col("order_id").isNotNull()).groupBy("depot_id", "order_id")
-    places = mart.orders.select("order_id", F.col("destination_lat").alias("lat"), F.col("destination_lon").alias("lon"))
-    return per_order.agg(F.count(F.lit(1)).alias("stops")).join(places, "order_id")
-
-
 def map_depots(mart, **filters) -> DataFrame:
     """Depots with the number of stops drawn for them, 0 if none."""
-    counts = _stops_per_depot_order(mart, **filters).groupBy("depot_id").agg(F.sum("stops").alias("stops"))
+    counts = dashboard.located_stops(mart, **filters).groupBy("depot_id").agg(F.count(F.lit(1)).alias("stops"))
     return mart.depots.join(counts, "depot_id", "left").select(
         "depot_id", "name", "lat", "lon", F.coalesce("stops", F.lit(0)).alias("stops")
     ).orderBy("depot_id")
@@ -107,7 +95,9 @@ def map_depots(mart, **filters) -> DataFrame:
 
 def map_bounds(mart, **filters) -> DataFrame:
     """Smallest box around all depots and all stops that have coordinates."""
-    points = _stops_per_depot_order(mart, **filters).select("lat", "lon")
+    points = dashboard.located_stops(mart, **filters).select(
+        F.col("destination_lat").alias("lat"), F.col("destination_lon").alias("lon")
+    )
     points = points.unionByName(mart.depots.select("lat", "lon")).where("lat is not null and lon is not null")
     return points.agg(
         F.min("lat").alias("min_lat"),

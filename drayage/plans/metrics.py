@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from drayage.functions.calendar import week_of
 from drayage.functions.metrics import count_if, mean, percent, ratio
+from drayage.operators.joins import lookup_join
 from drayage.plans import dashboard
 from drayage.plans.filters import selected_routes
 
@@ -64,15 +65,12 @@ def delay_reasons_by_region(mart) -> DataFrame:
 
     The route adds nothing but its existence, which the quality checks cover.
     """
-    per_order = (
-        mart.stops.where(F.col("delay_reason").isNotNull() & F.col("order_id").isNotNull())
-        .groupBy("order_id", "delay_reason")
-        .agg(F.count(F.lit(1)).alias("stops"))
-    )
+    stops = mart.stops.where(F.col("delay_reason").isNotNull()).select("order_id", "delay_reason")
+    regions = mart.orders.select("order_id", "service_region")
     return (
-        per_order.join(mart.orders.select("order_id", "service_region"), "order_id")
+        lookup_join(stops, regions, "order_id", hot=mart.hot("stops", "order_id"))
         .groupBy("service_region", "delay_reason")
-        .agg(F.sum("stops").alias("cnt"))
+        .agg(F.count(F.lit(1)).alias("cnt"))
         .orderBy(F.col("cnt").desc(), "service_region", "delay_reason")
     )
 

@@ -12,30 +12,22 @@ from drayage.plans.filters import ROUTE_KEY, delayed, selected_routes
 PATH_PIECE = 500
 
 
-def _window_counts(mart) -> DataFrame:
-    """Stops per order and arrival minute, next to the order's window.
-
-    There are at most 1440 minutes per order, so no order is a large group.
-    """
-    arrivals = (
-        mart.stops.where(F.col("order_id").isNotNull() & F.col("actual_arrival").isNotNull())
-        .groupBy("order_id", minute_of_day(F.col("actual_arrival")).alias("minute"))
-        .agg(F.count(F.lit(1)).alias("stops"))
+def _arrivals(mart) -> DataFrame:
+    """Arrival minute of each stop next to its order's window."""
+    arrivals = mart.stops.where(F.col("actual_arrival").isNotNull()).select(
+        "order_id", minute_of_day(F.col("actual_arrival")).alias("minute")
     )
     windows = mart.orders.select("order_id", "client_id", "window_start_min", "window_end_min")
-    return arrivals.join(windows, "order_id")
+    return lookup_join(arrivals, windows, "order_id", hot=mart.hot("stops", "order_id"))
 
 
 def on_time_by_window(mart) -> DataFrame:
     """Stops that arrive within the customer's window, per client."""
     within = F.col("minute").between(F.col("window_start_min"), F.col("window_end_min"))
     return (
-        _window_counts(mart)
+        _arrivals(mart)
         .groupBy("client_id")
-        .agg(
-            F.sum("stops").alias("stops"),
-            percent(F.sum(F.when(within, F.col("stops")).otherwise(0)), F.sum("stops")).alias("on_time_rate"),
-        )
+        .agg(F.count(F.lit(1)).alias("stops"), percent(count_if(within), F.count(F.lit(1))).alias("on_time_rate"))
         .orderBy("client_id")
     )
 
@@ -44,12 +36,9 @@ def late_by_window(mart) -> DataFrame:
     """Stops that arrive after the customer's window has closed, per client."""
     after = F.col("minute") > F.col("window_end_min")
     return (
-        _window_counts(mart)
+        _arrivals(mart)
         .groupBy("client_id")
-        .agg(
-            F.sum("stops").alias("stops"),
-            percent(F.sum(F.when(after, F.col("stops")).otherwise(0)), F.sum("stops"), 3).alias("late_rate"),
-        )
+        .agg(F.count(F.lit(1)).alias("stops"), percent(count_if(after), F.count(F.lit(1)), 3).alias("late_rate"))
         .orderBy("client_id")
     )
 
@@ -91,11 +80,16 @@ def route_load(mart) -> DataFrame:
 
     An order with several stops on one route is loaded once.
     """
-    served = mart.stops.where(F.col("order_id").isNotNull()).groupBy(*ROUTE_KEY, "order_id")
-    served = served.agg(F.count(F.lit(1)).alias("stops"))
+    served = mart.stops.select(*ROUTE_KEY, "order_id")
     packages = mart.orders.select("order_id", "package_weight_lbs", "package_volume_cuft")
+    # rows are already placed by order here, so the first grouping needs no shuffle
     loads = (
         lookup_join(served, packages, "order_id", hot=mart.hot("stops", "order_id"))
+        .groupBy(*ROUTE_KEY, "order_id")
+        .agg(
+            F.max("package_weight_lbs").alias("package_weight_lbs"),
+            F.max("package_volume_cuft").alias("package_volume_cuft"),
+        )
         .groupBy(*ROUTE_KEY)
         .agg(F.sum("package_weight_lbs").alias("weight"), F.sum("package_volume_cuft").alias("volume"))
     )
@@ -185,13 +179,16 @@ def route_paths(mart, piece: int = PATH_PIECE, **filters) -> DataFrame:
     so no row or group grows with the route.
     """
     point = F.struct("stop_sequence", "lat", "lon")
+    points, hot = _points(mart), mart.hot("stops", "route_id")
+    if hot is None:
+        # placed by route once, for the grouping and the join
+        points = points.repartition(*ROUTE_KEY)
     paths = (
-        _points(mart)
-        .groupBy(*ROUTE_KEY, F.floor((F.col("stop_sequence") - 1) / piece).cast("int").alias("piece"))
+        points.groupBy(*ROUTE_KEY, F.floor((F.col("stop_sequence") - 1) / piece).cast("int").alias("piece"))
         .agg(F.array_sort(F.collect_list(point)).alias("points"))
     )
     routes = with_vehicle(mart, selected_routes(mart, **filters).select(*ROUTE_KEY, "vehicle_id"), "vehicle_type")
-    paths = lookup_join(paths, routes, ROUTE_KEY, hot=mart.hot("stops", "route_id"), salt_by=["piece"])
+    paths = lookup_join(paths, routes, ROUTE_KEY, hot=hot, salt_by=["piece"])
     return paths.select("route_id", "vehicle_type", "piece", "points")
 
 

@@ -26,18 +26,17 @@ def costliest_routes_last_month(mart, n: int = 10) -> DataFrame:
 
 
 def on_time_by_depot_and_week(mart) -> DataFrame:
-    """Completed stops without delay; counted per route and week before the join."""
-    weekly = (
-        metrics.completed(mart)
-        .groupBy(*ROUTE_KEY, week_of(F.col("planned_arrival")).alias("week"))
-        .agg(F.count(F.lit(1)).alias("stops"), count_if(F.col("delay_minutes") == 0).alias("on_time"))
+    """Completed stops without delay, per depot of the route."""
+    stops = metrics.completed(mart).select(
+        *ROUTE_KEY, week_of(F.col("planned_arrival")).alias("week"), "delay_minutes"
     )
+    depots = mart.routes.select(*ROUTE_KEY, "depot_id")
     return (
-        weekly.join(mart.routes.select(*ROUTE_KEY, "depot_id"), ROUTE_KEY)
+        lookup_join(stops, depots, ROUTE_KEY, hot=mart.hot("stops", "route_id"))
         .groupBy("depot_id", "week")
         .agg(
-            F.sum("stops").alias("completed_stops"),
-            percent(F.sum("on_time"), F.sum("stops")).alias("on_time_rate"),
+            F.count(F.lit(1)).alias("completed_stops"),
+            percent(count_if(F.col("delay_minutes") == 0), F.count(F.lit(1))).alias("on_time_rate"),
         )
         .orderBy("depot_id", "week")
     )
@@ -45,16 +44,12 @@ def on_time_by_depot_and_week(mart) -> DataFrame:
 
 def late_regions_with_reasons(mart, top: int = 3) -> DataFrame:
     """Late stops per region with the region's most frequent reasons."""
-    per_order = (
-        delayed(mart.stops)
-        .where(F.col("order_id").isNotNull())
-        .groupBy("order_id", "delay_reason")
-        .agg(F.count(F.lit(1)).alias("stops"))
-    )
+    stops = delayed(mart.stops).select("order_id", "delay_reason")
+    regions = mart.orders.select("order_id", "service_region")
     reasons = (
-        per_order.join(mart.orders.select("order_id", "service_region"), "order_id")
+        lookup_join(stops, regions, "order_id", hot=mart.hot("stops", "order_id"))
         .groupBy("service_region", "delay_reason")
-        .agg(F.sum("stops").alias("reason_stops"))
+        .agg(F.count(F.lit(1)).alias("reason_stops"))
     )
     # at most one row per region and reason reaches these windows
     region = Window.partitionBy("service_region")

@@ -7,15 +7,16 @@ in which tasks finish: a rerun after a lost executor gives the same digits.
 
 from pyspark.sql import types as T
 
-STRING, INT, DATE, NTZ, DOUBLE = (
+STRING, INT, LONG, DATE, NTZ, DOUBLE = (
     T.StringType(),
     T.IntegerType(),
+    T.LongType(),
     T.DateType(),
     T.TimestampNTZType(),
     T.DoubleType(),
 )
-USD = T.DecimalType(14, 2)
-TENTHS = T.DecimalType(14, 1)
+USD = T.DecimalType(18, 2)
+TENTHS = T.DecimalType(18, 1)
 MEASURE = T.DecimalType(18, 2)
 
 
@@ -76,7 +77,7 @@ ROUTE_PLANS = _table(
     ("driver_id", STRING, "Driver of the route"),
     ("depot_id", STRING, "Depot the route starts from"),
     ("client_mix", T.ArrayType(STRING), "Client programs served, in alphabetical order"),
-    ("planned_stops", INT, "Number of planned stops"),
+    ("planned_stops", LONG, "Number of planned stops"),
     ("planned_miles", TENTHS, "Planned distance in miles"),
     ("planned_duration_min", TENTHS, "Planned duration in minutes"),
     ("planned_cost_usd", USD, "Planned cost: day rate, mileage and stops"),
@@ -90,7 +91,7 @@ ROUTE_PLANS = _table(
 ROUTE_STOPS = _table(
     ("route_stop_id", STRING, "Stop key, RS- plus route and position"),
     ("route_id", STRING, "Route of the stop, see route_plans.route_id"),
-    ("stop_sequence", INT, "Position within the route, from 1"),
+    ("stop_sequence", LONG, "Position within the route, from 1"),
     ("order_id", STRING, "Order served, see delivery_orders.order_id; may be missing"),
     ("planned_arrival", NTZ, "Planned arrival"),
     ("actual_arrival", NTZ, "Real arrival"),

@@ -21,7 +21,7 @@ from drayage.functions.draws import (
 )
 from drayage.operators.joins import lookup_join
 from drayage.operators.numbering import number_rows
-from drayage.operators.skew import HotKeys, hot_keys
+from drayage.operators.skew import HotKeys, hot_keys, hot_keys_of_counts
 from drayage.schemas import conform
 from drayage.sources import dimensions
 from drayage.sources.staging import shared_dir
@@ -108,16 +108,16 @@ def build_orders(orders: DataFrame, customer: DataFrame, lineitem: DataFrame, de
 
 def build_routes(lineitem: DataFrame, orders: DataFrame, vehicles: DataFrame, depots: DataFrame) -> DataFrame:
     """One route per vehicle and month of shipping."""
-    lines = (
-        lineitem.groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("route_date"), "l_orderkey")
-        .agg(F.count(F.lit(1)).alias("lines"))
-        .withColumn("order_id", order_id(F.col("l_orderkey")))
+    lines = lineitem.select(
+        "l_suppkey", F.trunc("l_shipdate", "month").alias("route_date"), order_id(F.col("l_orderkey")).alias("order_id")
     )
+    hot = hot_keys(lineitem, ["l_orderkey"])
+    hot = hot and hot.rekeyed("l_orderkey", "order_id", order_id)
     routes = (
-        lookup_join(lines, orders.select("order_id", "client_id"), "order_id", "left")
+        lookup_join(lines, orders.select("order_id", "client_id"), "order_id", "left", hot=hot)
         .groupBy("l_suppkey", "route_date")
         .agg(
-            F.sum("lines").cast("int").alias("planned_stops"),
+            F.count(F.lit(1)).alias("planned_stops"),
             F.array_sort(F.collect_set("client_id")).alias("client_mix"),
         )
         .withColumn("vehicle_id", vehicle_id(F.col("l_suppkey")))
@@ -154,10 +154,15 @@ def build_routes(lineitem: DataFrame, orders: DataFrame, vehicles: DataFrame, de
     return conform(routes, schemas.ROUTE_PLANS)
 
 
+def hot_routes(routes: DataFrame) -> HotKeys | None:
+    """Routes with too many stops, known from the planned number."""
+    return hot_keys_of_counts(routes.select("route_id", F.col("planned_stops").alias("hot_count")), ["route_id"])
+
+
 def build_stops(lineitem: DataFrame, routes: DataFrame) -> DataFrame:
     """One stop per line, in shipping order within its route."""
     lines = lineitem.select(route_id(F.col("l_suppkey"), F.col("l_shipdate")).alias("route_id"), *LINE_ORDER)
-    hot = hot_keys(lines, ["route_id"])
+    hot = hot_routes(routes)
     stops = number_rows(lines, LINE_ORDER, ["route_id"], "stop_sequence", hot=hot)
     plan = routes.select("route_id", "planned_stops", "planned_duration_min", "route_month")
     stops = lookup_join(stops, plan, "route_id", hot=hot)
@@ -285,6 +290,11 @@ class SourceMart(Mart):
     def stops(self) -> DataFrame:
         return self._written("route_stops")
 
+    def hot(self, table: str, key: str) -> HotKeys | None:
+        if (table, key) == ("stops", "route_id") and (table, key) not in self._hot:
+            self._hot[table, key] = hot_routes(self.routes)
+        return super().hot(table, key)
+
 
 def write_partitioned(df: DataFrame, partition: str | None):
     """Writer with one directory per month and files of even size.
