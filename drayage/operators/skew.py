@@ -24,6 +24,12 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
+def small_table(df: DataFrame, name: str) -> DataFrame:
+    """Compute an expectedly small table once and broadcast it if it is small."""
+    df = stage(df, name)
+    return bounded(df, df.count())
+
+
 class HotKeys:
     """Keys above the limit with their row counts; at most all rows / limit keys."""
 

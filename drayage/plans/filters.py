@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from drayage.operators.skew import small_table
+
 ROUTE_KEY = ["route_month", "route_id"]
 
 
@@ -29,7 +31,8 @@ def selected_routes(mart, start=None, end=None, depot=None, client=None, region=
         served = mart.orders.where(F.col("service_region") == region).groupBy(
             "depot_id", F.col("requested_month").alias("route_month")
         ).agg(F.count(F.lit(1)).alias("orders"))
-        routes = routes.join(served, ["depot_id", "route_month"], "left_semi")
+        # at most depots x months rows, so the routes need not move
+        routes = routes.join(small_table(served, "served"), ["depot_id", "route_month"], "left_semi")
     return routes
 
 

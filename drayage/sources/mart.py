@@ -223,9 +223,9 @@ class Mart:
 class SourceMart(Mart):
     """Mart over a source directory; the shuffled tables are written on first use.
 
-    Vehicles, depots and clients are narrow projections of small inputs and stay
-    lazy.  Orders, routes and stops are built once into the shared folder,
-    partitioned by month, and read back by every report.
+    Depots and clients are projections of small inputs and stay lazy.  The four
+    tables are built once into the shared folder, the long ones partitioned by
+    month, and read back by every report.
     """
 
     def __init__(self, spark: SparkSession, directory: str):
@@ -255,12 +255,12 @@ class SourceMart(Mart):
 
     @property
     def vehicles(self) -> DataFrame:
-        return build_vehicles(self.source("supplier"), self.depots_by_nation)
+        return self._written("vehicles")
 
     def plan(self, name: str) -> DataFrame:
         """The table as an unexecuted plan over the source and earlier tables."""
         if name == "vehicles":
-            return self.vehicles
+            return build_vehicles(self.source("supplier"), self.depots_by_nation)
         if name == "delivery_orders":
             return build_orders(
                 self.source("orders"), self.source("customer"), self.source("lineitem"), self.depots_by_nation
