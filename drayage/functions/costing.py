@@ -24,24 +24,26 @@ def minutes_per_stop(keys) -> Column:
     return hash_bucket(keys, "dur", 30) * F.lit(Decimal("0.1")) + F.lit(Decimal("4.5"))
 
 
+def _by_name(name: Column, ranges: dict) -> tuple[Column, Column]:
+    """Low end and number of steps of the named range."""
+    low = steps = None
+    for key, (first, count) in ranges.items():
+        hit = name == F.lit(key)
+        low = F.when(hit, F.lit(first)) if low is None else low.when(hit, F.lit(first))
+        steps = F.when(hit, F.lit(count)) if steps is None else steps.when(hit, F.lit(count))
+    return low, steps
+
+
 def actual_from_plan(planned: Column, method: Column, keys, salt: str, factors: dict, scale: int) -> Column:
-    """planned times the method's factor range."""
-    factor = None
-    for name, (low, steps) in factors.items():
-        value = hash_bucket(keys, salt, steps) * F.lit(Decimal("0.01")) + F.lit(low)
-        hit = method == F.lit(name)
-        factor = F.when(hit, value) if factor is None else factor.when(hit, value)
-    return F.round(planned * factor, scale)
+    """planned times a factor drawn from the range of the method."""
+    low, steps = _by_name(method, factors)
+    return F.round(planned * (hash_bucket(keys, salt, steps) * F.lit(Decimal("0.01")) + low), scale)
 
 
 def class_miles(depot_class: Column, keys) -> Column:
-    """Planned miles within the range of the depot class."""
-    miles = None
-    for name, (low, steps) in fv.CLASS_MILES.items():
-        value = hash_bucket(keys, "miles", steps) + low
-        hit = depot_class == F.lit(name)
-        miles = F.when(hit, value) if miles is None else miles.when(hit, value)
-    return miles
+    """Planned miles drawn from the range of the depot class."""
+    low, steps = _by_name(depot_class, fv.CLASS_MILES)
+    return low + hash_bucket(keys, "miles", steps)
 
 
 def capped_stops(max_stops: Column, depot_class: Column, keys) -> Column:
@@ -51,15 +53,12 @@ def capped_stops(max_stops: Column, depot_class: Column, keys) -> Column:
     half the limit; the others plan 5 or more.  All in whole stops.
     """
 
-    def draw(spread):
-        return hash_bucket(keys, "stops", F.greatest(spread, F.lit(1)))
-
+    busy, small = depot_class == "busy", depot_class == "small"
     half = F.floor(max_stops / 2).cast("int")
-    return (
-        F.when(depot_class == "busy", F.least(max_stops, draw(max_stops - 5) + 8))
-        .when(depot_class == "small", draw(half - 2) + 3)
-        .otherwise(draw(max_stops - 7) + 5)
-    )
+    spread = F.when(busy, max_stops - 5).when(small, half - 2).otherwise(max_stops - 7)
+    low = F.when(busy, 8).when(small, 3).otherwise(5)
+    target = low + hash_bucket(keys, "stops", F.greatest(spread, F.lit(1)))
+    return F.when(busy, F.least(max_stops, target)).otherwise(target)
 
 
 def driver_id(vehicle_id: Column, date: Column) -> Column:

@@ -120,5 +120,5 @@ PARTITION_COLUMNS = {
 
 
 def conform(df, schema):
-    """Select the declared columns in order, cast to their declared types."""
-    return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in schema])
+    """Select the declared columns in order, with declared types and comments."""
+    return df.select([df[f.name].cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema])

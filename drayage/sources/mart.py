@@ -118,7 +118,7 @@ def build_routes(lineitem: DataFrame, orders: DataFrame, vehicles: DataFrame, de
         .groupBy("l_suppkey", "route_date")
         .agg(
             F.count(F.lit(1)).alias("planned_stops"),
-            F.array_sort(F.collect_set("client_id")).alias("client_mix"),
+            F.array_sort(F.expr("collect_list(distinct client_id)")).alias("client_mix"),
         )
         .withColumn("vehicle_id", vehicle_id(F.col("l_suppkey")))
     )
