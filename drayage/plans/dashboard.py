@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from drayage.functions.metrics import count_if, mean, percent, ratio, stop_color
 from drayage.operators.joins import lookup_join
+from drayage.operators.skew import bounded
 from drayage.plans.filters import ROUTE_KEY, delayed, selected_routes
 
 
@@ -165,18 +166,40 @@ def worst_routes(mart, n: int = 10, **filters) -> DataFrame:
     )
 
 
-def located_stops(mart, **filters) -> DataFrame:
-    """Stops with their route and the place of their order."""
+def _stops_of_routes(mart, **filters) -> DataFrame:
     found = selected_routes(mart, **filters).select(*ROUTE_KEY, "depot_id", "vehicle_id")
     stops = mart.stops.select(*ROUTE_KEY, "stop_sequence", "order_id", "delay_minutes", "status")
-    stops = lookup_join(stops, found, ROUTE_KEY, hot=mart.hot("stops", "route_id"))
+    return lookup_join(stops, found, ROUTE_KEY, hot=mart.hot("stops", "route_id"))
+
+
+def located_stops(mart, **filters) -> DataFrame:
+    """Stops with their route and the place of their order."""
     places = mart.orders.select("order_id", "destination_lat", "destination_lon", "destination_address")
-    return lookup_join(stops, places, "order_id", hot=mart.hot("stops", "order_id"))
+    return lookup_join(_stops_of_routes(mart, **filters), places, "order_id", hot=mart.hot("stops", "order_id"))
+
+
+def first_located_stops(mart, cap: int, **filters) -> DataFrame:
+    """The first stops by route and sequence that have an order, with its place.
+
+    Only keys are matched to pick them; the place is then added to cap rows.
+    """
+    stops = lookup_join(
+        _stops_of_routes(mart, **filters),
+        mart.orders.select("order_id"),
+        "order_id",
+        "left_semi",
+        hot=mart.hot("stops", "order_id"),
+    )
+    first = stops.orderBy("route_id", "stop_sequence").limit(cap)
+    places = mart.orders.select("order_id", "destination_lat", "destination_lon", "destination_address")
+    return places.join(bounded(first, cap), "order_id")
 
 
 def map_stops(mart, date=None, depot=None, cap: int | None = 2000) -> DataFrame:
     """Stops to draw on the map, with the colour of their delay."""
-    found = located_stops(mart, start=date, end=date, depot=depot).select(
+    filters = {"start": date, "end": date, "depot": depot}
+    found = first_located_stops(mart, cap, **filters) if cap else located_stops(mart, **filters)
+    found = found.select(
         "route_id",
         "depot_id",
         "vehicle_id",
@@ -189,8 +212,7 @@ def map_stops(mart, date=None, depot=None, cap: int | None = 2000) -> DataFrame:
         "status",
         stop_color(F.col("delay_minutes")).alias("color"),
     )
-    found = found.orderBy("route_id", "stop_sequence")
-    return found.limit(cap) if cap else found
+    return found.orderBy("route_id", "stop_sequence")
 
 
 def depot_list(mart) -> DataFrame:
