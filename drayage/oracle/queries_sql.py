@@ -110,6 +110,11 @@ _SQL = {
     LEFT JOIN orders ON CAST(o_orderdate AS DATE) = CAST(d AS DATE) GROUP BY d""",
     "s3_table_scan": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer",
     "s5_materialized_vehicles": f"SELECT {VEHICLE_COLUMNS} FROM m_vehicles",
+    "s10_build_summary": """
+    SELECT 'vehicles' AS table_name, count(*) AS row_count, 10 AS columns, CAST(0 AS BIGINT) AS months FROM m_vehicles
+    UNION ALL SELECT 'delivery_orders', count(*), 17, count(DISTINCT requested_month) FROM m_orders
+    UNION ALL SELECT 'route_plans', count(*), 15, count(DISTINCT route_month) FROM m_routes
+    UNION ALL SELECT 'route_stops', count(*), 13, count(DISTINCT route_month) FROM m_stops""",
     "o1_hash_bucket": f"SELECT o_orderkey, CAST({draw('o_orderkey', 'part', 16)} AS INTEGER) AS bucket FROM orders",
     "o2_sample_by_rate": f"""
     SELECT o_orderkey, o_orderpriority FROM orders

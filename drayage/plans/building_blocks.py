@@ -214,10 +214,8 @@ def actuals_by_method(mart) -> DataFrame:
 
 
 def arrival_hours(mart) -> DataFrame:
-    """Stops per planned hour of day, with the average lag and dwell in minutes."""
-    seconds = lambda later, earlier: F.unix_seconds(F.col(later).cast("timestamp")) - F.unix_seconds(
-        F.col(earlier).cast("timestamp")
-    )
+    """Stops per planned hour of day, with their lag and dwell in seconds."""
+    seconds = lambda later, earlier: F.timestamp_diff("SECOND", F.col(earlier), F.col(later))
     return mart.stops.groupBy(F.hour("planned_arrival").alias("hour")).agg(
         F.count(F.lit(1)).alias("stops"),
         F.sum(seconds("actual_arrival", "planned_arrival")).alias("lag_seconds"),

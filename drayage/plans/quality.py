@@ -26,6 +26,22 @@ def row_counts(mart) -> DataFrame:
     )
 
 
+def build_summary(mart) -> DataFrame:
+    """Rows, columns and months of each table the build has written."""
+    tables = {
+        "vehicles": (mart.vehicles, F.lit(None)),
+        "delivery_orders": (mart.orders, F.col("requested_month")),
+        "route_plans": (mart.routes, F.col("route_month")),
+        "route_stops": (mart.stops, F.col("route_month")),
+    }
+    return _union(
+        df.agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct(month.cast("string")).alias("months")).select(
+            F.lit(name).alias("table_name"), "row_count", F.lit(len(df.columns)).alias("columns"), "months"
+        )
+        for name, (df, month) in tables.items()
+    )
+
+
 def _unmatched(check: str, child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Rows of child whose key is missing in parent; keys are counted first."""
     keys = child.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
@@ -37,17 +53,34 @@ def _unmatched(check: str, child: DataFrame, parent: DataFrame, key: str) -> Dat
     )
 
 
+def _route_checks(mart) -> DataFrame:
+    """Stops without a route and routes without stops, from one join."""
+    stops = mart.stops.where(F.col("route_id").isNotNull()).groupBy("route_id")
+    stops = stops.agg(F.count(F.lit(1)).alias("stops"))
+    routes = mart.routes.select("route_id", F.lit(1).alias("planned"))
+    both = stops.join(routes, "route_id", "full")
+    orphan, empty = F.col("planned").isNull(), F.col("stops").isNull()
+    counted = both.agg(
+        count_if(orphan).alias("orphan_keys"),
+        F.coalesce(F.sum(F.when(orphan, F.col("stops"))), F.lit(0)).alias("orphan_rows"),
+        count_if(empty).alias("empty_keys"),
+    )
+    return counted.selectExpr(
+        "stack(2, 'route_stops.route_id', orphan_keys, orphan_rows,"
+        " 'route_plans without stops', empty_keys, empty_keys) as (check, missing_keys, rows)"
+    )
+
+
 def key_checks(mart) -> DataFrame:
     """Broken references, one row per relation."""
     return _union(
         [
-            _unmatched("route_stops.route_id", mart.stops, mart.routes, "route_id"),
+            _route_checks(mart),
             _unmatched("route_stops.order_id", mart.stops, mart.orders, "order_id"),
             _unmatched("route_plans.vehicle_id", mart.routes, mart.vehicles, "vehicle_id"),
             _unmatched("route_plans.depot_id", mart.routes, mart.depots, "depot_id"),
             _unmatched("delivery_orders.depot_id", mart.orders, mart.depots, "depot_id"),
             _unmatched("vehicles.depot_id", mart.vehicles, mart.depots, "depot_id"),
-            _unmatched("route_plans without stops", mart.routes, mart.stops, "route_id"),
         ]
     )
 

@@ -38,6 +38,7 @@ REPORTS = {
     "s2_date_spine": blocks.orders_per_day,
     "s3_table_scan": blocks.customer_scan,
     "s5_materialized_vehicles": blocks.materialized_vehicles,
+    "s10_build_summary": quality.build_summary,
     # reusable operators
     "o1_hash_bucket": blocks.order_buckets,
     "o2_sample_by_rate": blocks.sampled_orders,

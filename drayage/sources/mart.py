@@ -5,6 +5,8 @@ delivery order, and the lines a supplier ships in one month form one route with
 one stop per line.  Routes are built for every vehicle, whatever its status.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from drayage import fixed_values as fv
@@ -232,7 +234,7 @@ class SourceMart(Mart):
         self._spark, self._directory = spark, directory
         self._hot = {}
         self._built: dict[str, DataFrame] = {}
-        self._path = f"{shared_dir(spark)}/drayage-{spark.sparkContext.applicationId}/mart-{id(self)}"
+        self._path = f"{shared_dir(spark)}/drayage-{spark.sparkContext.applicationId}/mart-{uuid.uuid4().hex}"
 
     def source(self, name: str) -> DataFrame:
         return read_source(self._spark, self._directory, name)
