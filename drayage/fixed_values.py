@@ -71,6 +71,16 @@ LATE_SHARE = 12
 DELAY_MIN = 5
 DELAY_SPREAD = 45
 
+# Our own choice: what is drawn for each stop, and out of how many values.
+STOP_DRAWS = {
+    "late_draw": 100,
+    "delay_draw": DELAY_SPREAD,
+    "reason_draw": len(DELAY_REASONS),
+    "service_draw": 12,
+    "status_draw": 100,
+    "slack_draw": 5,
+}
+
 # Demand factor per month, per day of week (1 = Sunday) and per
 # depot class; months and days not listed count 1.0.
 MONTH_FACTORS = {

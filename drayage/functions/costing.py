@@ -2,10 +2,10 @@
 
 from decimal import Decimal
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from drayage import fixed_values as fv
-from drayage.functions.draws import hash_bucket, format_id, pick
+from drayage.functions.draws import format_id, hash_bucket, with_draws
 
 
 WORKING_DAY_MINUTES = 16 * 60
@@ -67,13 +67,18 @@ def driver_id(vehicle_id: Column, date: Column) -> Column:
     return format_id("DRV-", number, 3)
 
 
-def delay_minutes(keys) -> Column:
-    late = hash_bucket(keys, "delay_flag", 100) < fv.LATE_SHARE
-    return F.when(late, hash_bucket(keys, "delay_amt", fv.DELAY_SPREAD) + fv.DELAY_MIN).otherwise(0)
+def with_stop_draws(stops: DataFrame) -> DataFrame:
+    """Everything that is drawn for a stop, keyed by route and sequence."""
+    return with_draws(stops, ["route_id", "stop_sequence"], "stop", fv.STOP_DRAWS)
 
 
-def delay_reason(delay: Column, keys) -> Column:
-    return F.when(delay > 0, pick(keys, "reason", fv.DELAY_REASONS))
+def delay_minutes(late_draw: Column, delay_draw: Column) -> Column:
+    return F.when(late_draw < fv.LATE_SHARE, delay_draw + fv.DELAY_MIN).otherwise(0)
+
+
+def delay_reason(delay: Column, reason_draw: Column) -> Column:
+    reasons = F.array(*[F.lit(r) for r in fv.DELAY_REASONS])
+    return F.when(delay > 0, F.element_at(reasons, reason_draw + 1))
 
 
 def minutes_into_route(sequence: Column, duration: Column, stops: Column) -> Column:
@@ -94,17 +99,17 @@ def after(ts: Column, minutes: Column) -> Column:
     return ts + F.make_dt_interval(zero, zero, minutes)
 
 
-def stop_timeline(day: Column, sequence: Column, duration: Column, stops: Column, delay: Column, service: Column, keys):
+def stop_timeline(day: Column, offset: Column, delay: Column, service: Column, slack: Column):
     """Planned and actual arrival and departure; the working day starts at 07:00.
 
-    On-time stops arrive up to four minutes after plan, late ones by their delay.
+    On-time stops arrive up to four minutes (the slack) after plan, late ones by
+    their delay.
     """
-    offset = minutes_into_route(sequence, duration, stops) + 7 * 60
-    start = day.cast("timestamp_ntz")
-    slack = F.when(delay > 0, delay).otherwise(hash_bucket(keys, "arr_var", 5))
+    start, planned = day.cast("timestamp_ntz"), offset + 7 * 60
+    actual = planned + F.when(delay > 0, delay).otherwise(slack)
     return {
-        "planned_arrival": after(start, offset),
-        "actual_arrival": after(start, offset + slack),
-        "planned_departure": after(start, offset + service),
-        "actual_departure": after(start, offset + slack + service),
+        "planned_arrival": after(start, planned),
+        "actual_arrival": after(start, actual),
+        "planned_departure": after(start, planned + service),
+        "actual_departure": after(start, actual + service),
     }

@@ -7,7 +7,7 @@ expressions are narrow and stay inside generated code.
 
 from decimal import Decimal
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _cols(keys):
@@ -22,10 +22,30 @@ def hash_bucket(keys, salt: str, n) -> Column:
     return (prefix % n).cast("int")
 
 
+def with_draws(df: DataFrame, keys, salt: str, sizes: dict[str, int]) -> DataFrame:
+    """Add several independent draws, {column: n}, that share one digest.
+
+    The digest is read as a 60-bit number and the draws are its mixed-radix
+    digits, so long tables pay for one md5 per row rather than one per draw.
+    """
+    text = F.concat_ws("|", *[c.cast("string") for c in _cols(keys)], F.lit(salt))
+    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    digits, radix = {}, 1
+    for name, n in sizes.items():
+        digits[name] = (F.call_function("div", F.col("__digest"), F.lit(radix).cast("long")) % n).cast("int")
+        radix *= n
+    if radix > 2**50:
+        raise ValueError("too many draws for one digest")
+    return df.withColumn("__digest", number).withColumns(digits).drop("__digest")
+
+
 def weighted_category(keys, salt: str, shares) -> Column:
     """Label drawn with the given percentage shares, [(label, percent), ...]."""
-    total = sum(weight for _, weight in shares)
-    draw = hash_bucket(keys, salt, total)
+    return label_of(hash_bucket(keys, salt, sum(weight for _, weight in shares)), shares)
+
+
+def label_of(draw: Column, shares) -> Column:
+    """Label whose share of [0, total) holds the draw."""
     reached, chosen = 0, None
     for label, weight in shares[:-1]:
         reached += weight

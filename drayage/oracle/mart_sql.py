@@ -138,17 +138,19 @@ CTES = {
              CAST(row_number() OVER (PARTITION BY l_suppkey, date_trunc('month', l_shipdate)
                ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS BIGINT) AS seq
       FROM lineitem""",
-    "m_drawn": f"""
-      SELECT n.route_id, n.day, n.l_orderkey, n.seq, r.route_month,
-             CASE WHEN {draw("n.route_id || '|' || n.seq", 'delay_flag', 100)} < 12
-                  THEN {draw("n.route_id || '|' || n.seq", 'delay_amt', 45)} + 5 ELSE 0 END AS delay,
-             {draw("n.route_id || '|' || n.seq", 'reason', 5)} AS reason_no,
-             {draw("n.route_id || '|' || n.seq", 'svc', 12)} + 3 AS svc,
-             {draw("n.route_id || '|' || n.seq", 'st', 100)} AS st,
-             {draw("n.route_id || '|' || n.seq", 'arr_var', 5)} AS slack,
+    "m_digest": """
+      SELECT n.*, r.route_month, CAST('0x' || substr(md5(n.route_id || '|' || n.seq || '|stop'), 1, 15) AS BIGINT) AS d,
              CAST(n.day AS TIMESTAMP) + to_minutes(420 + ((n.seq * (CAST(r.planned_duration_min * 1000 AS BIGINT)
                   // greatest(r.planned_stops, 1))) // 1000) % 960) AS arrival
       FROM m_numbered n JOIN m_routes r USING (route_id)""",
+    "m_drawn": """
+      SELECT route_id, l_orderkey, seq, route_month, arrival,
+             CASE WHEN d % 100 < 12 THEN (d // 100) % 45 + 5 ELSE 0 END AS delay,
+             (d // (100 * 45)) % 5 AS reason_no,
+             (d // (100 * 45 * 5)) % 12 + 3 AS svc,
+             (d // (100 * 45 * 5 * 12)) % 100 AS st,
+             (d // (100 * 45 * 5 * 12 * 100)) % 5 AS slack
+      FROM m_digest""",
     "m_stops": f"""
       SELECT 'RS-' || substr(route_id, 4) || '-' || {pad('seq', 3)} AS route_stop_id, route_id,
              seq AS stop_sequence, {order_no('l_orderkey')} AS order_id,

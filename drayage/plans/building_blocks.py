@@ -225,10 +225,9 @@ def arrival_hours(mart) -> DataFrame:
 
 def drawn_delays(mart) -> DataFrame:
     """Delay flag, length and reason drawn for every planned stop."""
-    slots = planned_stop_slots(mart)
-    key = ["route_id", "stop_sequence"]
-    slots = slots.withColumn("delay", costing.delay_minutes(key))
-    slots = slots.withColumn("reason", costing.delay_reason(F.col("delay"), key))
+    slots = costing.with_stop_draws(planned_stop_slots(mart))
+    slots = slots.withColumn("delay", costing.delay_minutes(F.col("late_draw"), F.col("delay_draw")))
+    slots = slots.withColumn("reason", costing.delay_reason(F.col("delay"), F.col("reason_draw")))
     return slots.groupBy("reason").agg(
         F.count(F.lit(1)).alias("stops"),
         F.sum("delay").alias("minutes"),

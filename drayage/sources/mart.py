@@ -18,6 +18,7 @@ from drayage.functions.draws import (
     geo_jitter,
     hash_bucket,
     jitter,
+    label_of,
     street_address,
     weighted_category,
 )
@@ -169,29 +170,28 @@ def build_stops(lineitem: DataFrame, routes: DataFrame) -> DataFrame:
     plan = routes.select("route_id", "planned_stops", "planned_duration_min", "route_month")
     stops = lookup_join(stops, plan, "route_id", hot=hot)
     sequence = F.col("stop_sequence")
-    key = ["route_id", "stop_sequence"]
-    stops = stops.withColumns(
+    stops = costing.with_stop_draws(stops).withColumns(
         {
             "route_stop_id": F.concat(
                 F.lit("RS-"), F.substring("route_id", 4, 60), F.lit("-"), format_id("", sequence, 3)
             ),
             "order_id": order_id(F.col("l_orderkey")),
-            "delay_minutes": costing.delay_minutes(key),
-            "service_time_min": hash_bucket(key, "svc", 12) + 3,
-            "status": weighted_category(key, "st", fv.STOP_STATUS_SHARES),
+            "delay_minutes": costing.delay_minutes(F.col("late_draw"), F.col("delay_draw")),
+            "service_time_min": F.col("service_draw") + 3,
+            "status": label_of(F.col("status_draw"), fv.STOP_STATUS_SHARES),
+            "offset": costing.minutes_into_route(sequence, F.col("planned_duration_min"), F.col("planned_stops")),
         }
     )
+    delay = F.col("delay_minutes")
     stops = stops.withColumns(
         {
-            "delay_reason": costing.delay_reason(F.col("delay_minutes"), key),
+            "delay_reason": costing.delay_reason(delay, F.col("reason_draw")),
             **costing.stop_timeline(
                 F.col("l_shipdate").cast("date"),
-                sequence,
-                F.col("planned_duration_min"),
-                F.col("planned_stops"),
-                F.col("delay_minutes"),
+                F.col("offset"),
+                delay,
                 F.col("service_time_min"),
-                key,
+                F.col("slack_draw"),
             ),
         }
     )

@@ -66,6 +66,15 @@ def test_weighted_labels_follow_shares(spark):
         assert abs(counts[label] - 200 * percent) < 250
 
 
+def test_draws_of_one_digest_are_independent(spark):
+    df = draws.with_draws(spark.range(20000), "id", "s", {"a": 4, "b": 5})
+    assert df.columns == ["id", "a", "b"]
+    cells = {(r.a, r.b): r["count"] for r in df.groupBy("a", "b").count().collect()}
+    assert len(cells) == 20 and all(850 < n < 1150 for n in cells.values())
+    with pytest.raises(ValueError):
+        draws.with_draws(spark.range(1), "id", "s", {"a": 2**30, "b": 2**30})
+
+
 @pytest.mark.parametrize("number,width,text", [(7, 3, "X-007"), (123456, 3, "X-123456"), (0, 1, "X-0")])
 def test_ids_keep_every_digit(spark, number, width, text):
     assert spark.range(1).select(draws.format_id("X-", F.lit(number), width).alias("i")).first().i == text
@@ -99,9 +108,8 @@ def test_costing(spark):
 
 
 def test_arrivals_carry_the_hour(spark):
-    line = costing.stop_timeline(
-        F.col("day"), F.lit(2), F.lit(D("110.0")), F.lit(2), F.lit(20), F.lit(5), ["day"]
-    )
+    offset = costing.minutes_into_route(F.lit(2), F.lit(D("110.0")), F.lit(2))
+    line = costing.stop_timeline(F.col("day"), offset, F.lit(20), F.lit(5), F.lit(3))
     row = spark.createDataFrame([(dt.date(2024, 2, 29),)], "day date").select(*[c.alias(n) for n, c in line.items()]).first()
     assert row.planned_arrival == dt.datetime(2024, 2, 29, 8, 50)
     assert row.actual_arrival == dt.datetime(2024, 2, 29, 9, 10)
