@@ -3,10 +3,14 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from drayage.llm import exact_dedup, packing, queries
+from drayage.llm import exact_dedup, packing, queries, toxicity
 from drayage.llm.common import read, stage
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.accepted(docs, queries.toxicity_model(spark, docs, sf_dir))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.survivors(docs)
 
@@ -17,6 +21,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_exact_copies),
     ("packing", pack),
 ]

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from drayage.llm import bpe, exact_dedup, packing, sharding, urls
+from drayage.llm import bpe, exact_dedup, packing, sharding, toxicity, urls
 from drayage.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -44,6 +44,26 @@ def op6_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def held_out(id_col: str = "doc_id") -> "F.Column":
+    """The fifth of the ids that training never sees."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, directory: str) -> "toxicity.Model | None":
+    return toxicity.train(docs, read(spark, directory, "labels").filter(~held_out()))
+
+
+def op8_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    docs = read(spark, directory, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, directory))
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        held_out("id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_sharding(spark: SparkSession, directory: str) -> DataFrame:
     return sharding.shard(read(spark, directory, "documents")).select(
         F.col("id").alias("doc_id"),
@@ -63,6 +83,7 @@ QUERIES = {
         op3_bpe,
         op4_url_filter,
         op6_packing,
+        op8_toxicity,
         op10_sharding,
     )
 }
