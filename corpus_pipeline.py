@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from drayage.llm import exact_dedup, packing, queries, toxicity
+from drayage.llm import exact_dedup, near_dedup, packing, queries, toxicity
 from drayage.llm.common import read, stage
 
 
@@ -15,6 +15,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.survivors(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.survivors(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(queries.WORD_BPE)
     return packing.pack(docs, path, queries.PACK_END, queries.PACK_CAPACITY).withColumnRenamed("id", "doc_id")
@@ -23,6 +27,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
     ("packing", pack),
 ]
 

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from drayage.llm import bpe, exact_dedup, packing, sharding, toxicity, urls
+from drayage.llm import bpe, exact_dedup, near_dedup, packing, sharding, toxicity, urls
 from drayage.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -24,6 +24,10 @@ def op1_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return exact_dedup.assignments(read(spark, directory, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op2_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return near_dedup.assignments(read(spark, directory, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_bpe(spark: SparkSession, directory: str) -> DataFrame:
     coded = bpe.encode(read(spark, directory, "documents"), public_tokenizers.path(BYTE_BPE), decoded=True)
     return coded.select(
@@ -80,6 +84,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
+        op2_near_dedup,
         op3_bpe,
         op4_url_filter,
         op6_packing,
