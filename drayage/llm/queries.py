@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from drayage.llm import bpe, exact_dedup, near_dedup, packing, sharding, toxicity, urls
+from drayage.llm import bpe, exact_dedup, fingerprints, near_dedup, packing, sharding, toxicity, urls
 from drayage.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -68,6 +68,11 @@ def op8_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op9_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
+    docs = read(spark, directory, "documents")
+    return fingerprints.neighbours(docs, fingerprints.level_ranks(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op10_sharding(spark: SparkSession, directory: str) -> DataFrame:
     return sharding.shard(read(spark, directory, "documents")).select(
         F.col("id").alias("doc_id"),
@@ -89,6 +94,7 @@ QUERIES = {
         op4_url_filter,
         op6_packing,
         op8_toxicity,
+        op9_fingerprints,
         op10_sharding,
     )
 }
