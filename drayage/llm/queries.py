@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from drayage.llm import bpe, exact_dedup, fingerprints, near_dedup, packing, sharding, toxicity, urls
+from drayage.llm import bpe, exact_dedup, extraction, fingerprints, near_dedup, packing, sharding, toxicity, urls
 from drayage.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -43,6 +43,12 @@ def op4_url_filter(spark: SparkSession, directory: str) -> DataFrame:
     return judged.withColumnRenamed("id", "page_id")
 
 
+def op5_html_extraction(spark: SparkSession, directory: str) -> DataFrame:
+    pages = read(spark, directory, "pages")
+    found = extraction.main_texts(pages, extraction.train(pages))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_packing(spark: SparkSession, directory: str) -> DataFrame:
     packed = packing.pack(read(spark, directory, "documents"), public_tokenizers.path(WORD_BPE), PACK_END, PACK_CAPACITY)
     return packed.withColumnRenamed("id", "doc_id")
@@ -92,6 +98,7 @@ QUERIES = {
         op2_near_dedup,
         op3_bpe,
         op4_url_filter,
+        op5_html_extraction,
         op6_packing,
         op8_toxicity,
         op9_fingerprints,
