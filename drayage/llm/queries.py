@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from drayage.llm import bpe, exact_dedup, extraction, fingerprints, near_dedup, packing, sharding, toxicity, urls
+from drayage.llm import bpe, exact_dedup, extraction, fingerprints, near_dedup, packing, sharding, tool_calls, toxicity, urls
 from drayage.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -54,6 +54,11 @@ def op6_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op7_tool_calls(spark: SparkSession, directory: str) -> DataFrame:
+    calls, results = tool_calls.conversation_calls(read(spark, directory, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.SCHEMAS)
+
+
 def held_out(id_col: str = "doc_id") -> "F.Column":
     """The fifth of the ids that training never sees."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -100,6 +105,7 @@ QUERIES = {
         op4_url_filter,
         op5_html_extraction,
         op6_packing,
+        op7_tool_calls,
         op8_toxicity,
         op9_fingerprints,
         op10_sharding,

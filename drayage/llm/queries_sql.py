@@ -35,6 +35,40 @@ SELECT page_id, u.host, u.path, rule, coalesce(action, 'allow') AS verdict
 FROM u LEFT JOIN fit ON fit.host = u.host AND fit.path = u.path AND n = 1
 """
 
+# (conv_id, turn) is unique and not null in the given tables
+OP7 = """
+WITH m AS (
+    SELECT conv_id, turn, role, text, conv_id || ':' || turn AS id, conv_id || ':' || (turn - 1) AS before_id
+    FROM conversations),
+c AS (SELECT * FROM m WHERE role IN ('user', 'system')),
+r AS (SELECT * FROM m WHERE role IS NULL OR role NOT IN ('user', 'system')),
+e AS (
+    SELECT coalesce(c.id, r.before_id) AS id,
+           CASE c.role WHEN 'system' THEN 'configure' WHEN 'user' THEN 'reply' END AS name,
+           c.turn AS call_turn, r.turn AS result_turn,
+           CASE WHEN c.id IS NULL THEN 'orphan' WHEN r.id IS NULL THEN 'open' ELSE 'linked' END AS status,
+           c.role AS role, c.text AS asked, r.text AS answered,
+           c.role = 'user' AND c.turn > 0 AS needing, c.conv_id AS conv_id
+    FROM c FULL JOIN r ON c.id = r.before_id)
+SELECT id, name, call_turn, result_turn,
+       CASE WHEN status <> 'orphan' THEN
+           CASE WHEN needing AND conv_id || ':0' IN (SELECT id FROM c) THEN 1 ELSE 0 END END AS level,
+       status, 1::BIGINT AS copies,
+       name IS NULL OR coalesce(length(asked), 0) >= 1 AS valid,
+       CASE WHEN name IS NULL OR length(asked) >= 1 THEN ''
+            ELSE CASE role WHEN 'system' THEN '$.instructions' ELSE '$.prompt' END
+                 || CASE WHEN asked IS NULL THEN ': not string' ELSE ': too short' END END AS errors,
+       '{' || CASE WHEN name IS NULL THEN '' ELSE
+           '"arguments":{' || CASE role WHEN 'system' THEN '"instructions":' ELSE '"prompt":' END
+           || coalesce(to_json(asked)::VARCHAR, 'null') || '},' END
+       || '"id":"' || id || '"'
+       || CASE WHEN name IS NULL THEN '' ELSE ',"name":"' || name || '"' END
+       || CASE WHEN needing THEN ',"needs":["' || conv_id || ':0"]' ELSE '' END
+       || CASE WHEN result_turn IS NULL THEN '' ELSE ',"result":' || coalesce(to_json(answered)::VARCHAR, 'null') END
+       || ',"status":"' || status || '"}' AS json
+FROM e
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op4_url_filter": OP4}
+    return {"op1_exact_dedup": OP1, "op4_url_filter": OP4, "op7_tool_calls": OP7}
