@@ -8,9 +8,6 @@ from drayage import fixed_values as fv
 from drayage.functions.draws import format_id, hash_bucket, with_draws
 
 
-WORKING_DAY_MINUTES = 16 * 60
-
-
 def plan_cost(daily_fixed: Column, miles: Column, per_mile: Column, stops: Column) -> Column:
     return F.round(daily_fixed + miles * per_mile + stops * F.lit(fv.STOP_COST_USD), 2)
 
@@ -84,13 +81,12 @@ def delay_reason(delay: Column, reason_draw: Column) -> Column:
 def minutes_into_route(sequence: Column, duration: Column, stops: Column) -> Column:
     """Whole minutes from the start of the working day to the given stop.
 
-    The pace is kept in thousandths of a minute.  A route longer than one
-    working day goes on from the start of the day.
+    The pace is kept in thousandths of a minute.  A long route runs on into the
+    next day, so later stops never arrive earlier.
     """
     thousandths = (duration * 1000).cast("long")
     pace = F.call_function("div", thousandths, F.greatest(stops, F.lit(1)))
-    minutes = F.call_function("div", sequence.cast("long") * pace, F.lit(1000))
-    return (minutes % WORKING_DAY_MINUTES).cast("int")
+    return F.call_function("div", sequence.cast("long") * pace, F.lit(1000)).cast("int")
 
 
 def after(ts: Column, minutes: Column) -> Column:

@@ -29,6 +29,12 @@ def mean(c) -> Column:
     return F.sum(c).cast("double") / F.nullif(F.count(c), F.lit(0)).cast("double")
 
 
+def mean_ratio(top, bottom) -> Column:
+    """Average of the rows' ratios; decimals, so the sum does not depend on the order of rows."""
+    each = ratio(top, bottom).cast("decimal(38,12)")
+    return F.sum(each).cast("double") / F.nullif(F.count(each), F.lit(0)).cast("double")
+
+
 def haversine_miles(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance on a sphere of 3958.8 miles radius."""
     lat1, lon1, lat2, lon2 = (F.radians(col(c)) for c in (lat1, lon1, lat2, lon2))

@@ -49,8 +49,8 @@ CTES = {
     "m_units": f"SELECT * FROM ({UNITS}) AS t(client_id, client_rank, unit_wt, unit_vol)",
     "m_fleet": f"""
       SELECT {VEHICLE_NO} AS vehicle_id, d.depot_id, t.*
-      FROM supplier s JOIN m_types t ON s.s_suppkey % 6 = t.type_no
-      JOIN m_depots d ON s.s_nationkey = d.n_nationkey""",
+      FROM supplier s LEFT JOIN m_types t ON s.s_suppkey % 6 = t.type_no
+      LEFT JOIN m_depots d ON s.s_nationkey = d.n_nationkey""",
     "m_vehicles": f"""
       SELECT vehicle_id, vehicle_type,
              CAST((wt * (90 + {draw('vehicle_id', 'cap_wt', 20)})) // 100 AS INTEGER) AS capacity_weight_lbs,
@@ -67,8 +67,8 @@ CTES = {
     "m_placed": f"""
       SELECT o.*, {order_no('o_orderkey')} AS order_id, c.c_mktsegment AS client_id, d.depot_id, d.lat, d.lon,
              d.service_region, coalesce(l.units, 0) AS units, u.unit_wt, u.unit_vol
-      FROM orders o JOIN customer c ON o_custkey = c_custkey
-      JOIN m_depots d ON c_nationkey = d.n_nationkey
+      FROM orders o LEFT JOIN customer c ON o_custkey = c_custkey
+      LEFT JOIN m_depots d ON c_nationkey = d.n_nationkey
       LEFT JOIN m_line_units l ON o_orderkey = l_orderkey
       LEFT JOIN m_units u ON c_mktsegment = u.client_id""",
     "m_orders": f"""
@@ -106,7 +106,7 @@ CTES = {
              CASE WHEN {draw('route_id', 'opt', 100)} < 30 THEN 'manual_dispatch'
                   WHEN {draw('route_id', 'opt', 100)} < 70 THEN 'or_tools_cvrp' ELSE 'greedy_nearest' END AS method,
              45 + {draw('route_id', 'dur', 30)} AS stop_tenths
-      FROM m_route_base b JOIN m_vehicles v USING (vehicle_id) JOIN m_depots d ON v.depot_id = d.depot_id""",
+      FROM m_route_base b LEFT JOIN m_vehicles v USING (vehicle_id) LEFT JOIN m_depots d ON v.depot_id = d.depot_id""",
     "m_route_cost": """
       SELECT *, CAST(planned_stops * stop_tenths + 12 * miles AS BIGINT) AS dur_tenths,
              CAST(round(fixed + miles * cpm + planned_stops * 3.50, 2) AS DECIMAL(18,2)) AS planned_cost_usd
@@ -141,8 +141,8 @@ CTES = {
     "m_digest": """
       SELECT n.*, r.route_month, CAST('0x' || substr(md5(n.route_id || '|' || n.seq || '|stop'), 1, 15) AS BIGINT) AS d,
              CAST(n.day AS TIMESTAMP) + to_minutes(420 + ((n.seq * (CAST(r.planned_duration_min * 1000 AS BIGINT)
-                  // greatest(r.planned_stops, 1))) // 1000) % 960) AS arrival
-      FROM m_numbered n JOIN m_routes r USING (route_id)""",
+                  // greatest(r.planned_stops, 1))) // 1000)) AS arrival
+      FROM m_numbered n LEFT JOIN m_routes r USING (route_id)""",
     "m_drawn": """
       SELECT route_id, l_orderkey, seq, route_month, arrival,
              CASE WHEN d % 100 < 12 THEN (d // 100) % 45 + 5 ELSE 0 END AS delay,

@@ -87,7 +87,7 @@ def map_stops(where: str) -> str:
            o.destination_lon AS lon, o.destination_address AS address, coalesce(s.delay_minutes, 0) AS delay_minutes,
            s.status, CASE WHEN coalesce(s.delay_minutes, 0) = 0 THEN 'green' WHEN s.delay_minutes <= 15 THEN 'gold' ELSE 'red' END AS color
     FROM m_routes r JOIN m_stops s ON r.route_id = s.route_id JOIN m_orders o ON s.order_id = o.order_id
-    WHERE {where} ORDER BY r.route_id, s.stop_sequence LIMIT 2000"""
+    WHERE {where} ORDER BY r.route_id, s.stop_sequence"""
 
 
 LOADS = f"""
@@ -136,7 +136,7 @@ _SQL = {
     SELECT d.depot_id, strftime(m.month, '%Y-%m') AS requested_month, u.client_id, count(o.order_id) AS orders
     FROM m_depots d
     CROSS JOIN (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), max(o_orderdate), INTERVAL 1 MONTH)) AS month FROM orders) m
-    CROSS JOIN m_units u
+    CROSS JOIN (SELECT DISTINCT c_mktsegment AS client_id FROM customer WHERE c_mktsegment IS NOT NULL) u
     LEFT JOIN m_orders o ON o.depot_id = d.depot_id AND o.client_id = u.client_id AND o.requested_month = strftime(m.month, '%Y-%m')
     GROUP BY ALL""",
     "o6_jitter": f"""
@@ -218,11 +218,11 @@ _SQL = {
     "q03_kpis_region": kpis(
         "EXISTS (SELECT 1 FROM m_orders o WHERE o.service_region = 'ASIA' AND o.depot_id = r.depot_id AND o.requested_month = r.route_month)"
     ),
-    "q04_routes": f"SELECT {ROUTE_COLUMNS} FROM m_routes ORDER BY m_routes.route_date DESC, depot_id, route_id LIMIT 200",
+    "q04_routes": f"SELECT {ROUTE_COLUMNS} FROM m_routes ORDER BY m_routes.route_date DESC, depot_id, route_id",
     "q04_routes_filtered": f"""
     SELECT {ROUTE_COLUMNS} FROM m_routes
     WHERE m_routes.route_date = DATE '1998-03-01' AND list_contains(string_split(client_mix, ','), 'FURNITURE')
-    ORDER BY m_routes.route_date DESC, depot_id, route_id LIMIT 200""",
+    ORDER BY m_routes.route_date DESC, depot_id, route_id""",
     "q05_route_stops": f"SELECT {STOP_COLUMNS} FROM m_stops WHERE route_id = 'RT-007-199803'",
     "q06_vehicles": usage("true"),
     "q06_vehicles_filtered": usage("v.vehicle_type = 'box_truck'"),
@@ -257,7 +257,7 @@ _SQL = {
     "q18_efficiency_trend": f"""
     SELECT CAST(route_date AS VARCHAR) AS period, CAST(sum(planned_stops) AS BIGINT) AS planned_stops,
            {rnd('avg(CASE WHEN coalesce(planned_miles, 0) <> 0 AND coalesce(actual_miles, 0) <> 0 THEN least(100e0, CAST(planned_miles AS DOUBLE) / CAST(actual_miles AS DOUBLE) * 100e0) ELSE 90e0 END)', 1)} AS rate
-    FROM m_routes GROUP BY route_date ORDER BY route_date DESC LIMIT 12""",
+    FROM m_routes GROUP BY route_date""",
     "q19_vehicles_by_status": "SELECT status, count(*) AS vehicles FROM m_vehicles GROUP BY status",
     "q20_cost_by_type": f"""
     SELECT vehicle_type, {rnd(mean('cost_per_mile_usd'), 2)} AS avg_cost_per_mile,
@@ -270,6 +270,7 @@ _SQL = {
         f"CAST(sum(CASE WHEN delay_reason = '{r}' THEN 1 ELSE 0 END) AS BIGINT) AS {r}"
         for r in ["traffic", "customer_not_available", "access_issue", "weather", "vehicle_breakdown"]
     )
+    + ", CAST(sum(CASE WHEN delay_reason IS NULL OR delay_reason NOT IN ('traffic', 'customer_not_available', 'access_issue', 'weather', 'vehicle_breakdown') THEN 1 ELSE 0 END) AS BIGINT) AS other"
     + " FROM delay_data GROUP BY strftime(month, '%Y-%m')",
     "q23_region_bars": f"{delay_data()} SELECT service_region AS region, count(*) AS delayed_stops, {AVG_DELAY} AS avg_delay FROM delay_data GROUP BY service_region",
     "q23_reason_bars": f"{delay_data()} SELECT delay_reason AS reason, count(*) AS delayed_stops, {AVG_DELAY} AS avg_delay FROM delay_data GROUP BY delay_reason",
@@ -345,11 +346,13 @@ _SQL = {
            CAST(sum(CASE WHEN planned_stops > max_stops_per_route THEN 1 ELSE 0 END) AS BIGINT) AS over_stop_limit
     FROM loads LEFT JOIN stop_counts USING (route_id) GROUP BY depot_id ORDER BY stops DESC, depot_id LIMIT 10""",
     "p1_on_time_by_window": f"""
-    SELECT client_id, count(*) AS stops, {pct('sum(CASE WHEN m BETWEEN window_start_min AND window_end_min THEN 1 ELSE 0 END)', COUNT)} AS on_time_rate
-    FROM (SELECT order_id, hour(actual_arrival) * 60 + minute(actual_arrival) AS m FROM m_stops) JOIN m_orders USING (order_id) GROUP BY client_id""",
+    SELECT client_id, count(*) AS stops, {pct('sum(CASE WHEN actual_arrival BETWEEN day + to_minutes(window_start_min) AND day + to_minutes(window_end_min) THEN 1 ELSE 0 END)', COUNT)} AS on_time_rate
+    FROM (SELECT order_id, actual_arrival FROM m_stops WHERE actual_arrival IS NOT NULL)
+    JOIN (SELECT *, CAST(requested_date AS TIMESTAMP) AS day FROM m_orders) USING (order_id) GROUP BY client_id""",
     "p2_late_by_window": f"""
-    SELECT client_id, count(*) AS stops, {pct('sum(CASE WHEN m > window_end_min THEN 1 ELSE 0 END)', COUNT, 3)} AS late_rate
-    FROM (SELECT order_id, hour(actual_arrival) * 60 + minute(actual_arrival) AS m FROM m_stops) JOIN m_orders USING (order_id) GROUP BY client_id""",
+    SELECT client_id, count(*) AS stops, {pct('sum(CASE WHEN actual_arrival > day + to_minutes(window_end_min) THEN 1 ELSE 0 END)', COUNT, 3)} AS late_rate
+    FROM (SELECT order_id, actual_arrival FROM m_stops WHERE actual_arrival IS NOT NULL)
+    JOIN (SELECT *, CAST(requested_date AS TIMESTAMP) AS day FROM m_orders) USING (order_id) GROUP BY client_id""",
     "p3_straight_line_efficiency": f"""
     , points AS (SELECT s.route_id, s.stop_sequence, radians(o.destination_lat) AS lat, radians(o.destination_lon) AS lon
         FROM m_stops s JOIN m_orders o ON s.order_id = o.order_id),
@@ -403,10 +406,11 @@ _SQL = {
     "p12_route_progress": f"""
     , outcomes AS (SELECT route_id AS rid,
         sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) AS c, sum(CASE WHEN status = 'attempted' THEN 1 ELSE 0 END) AS a,
-        sum(CASE WHEN status = 'rescheduled' THEN 1 ELSE 0 END) AS r, sum(CASE WHEN status = 'skipped' THEN 1 ELSE 0 END) AS s
+        sum(CASE WHEN status = 'rescheduled' THEN 1 ELSE 0 END) AS r, sum(CASE WHEN status = 'skipped' THEN 1 ELSE 0 END) AS s,
+        sum(CASE WHEN status IS NULL OR status NOT IN ('completed', 'attempted', 'rescheduled', 'skipped') THEN 1 ELSE 0 END) AS x
         FROM m_stops GROUP BY route_id)
     SELECT route_id, planned_stops, CAST(coalesce(c, 0) AS BIGINT) AS completed, CAST(coalesce(a, 0) AS BIGINT) AS attempted,
-           CAST(coalesce(r, 0) AS BIGINT) AS rescheduled, CAST(coalesce(s, 0) AS BIGINT) AS skipped,
+           CAST(coalesce(r, 0) AS BIGINT) AS rescheduled, CAST(coalesce(s, 0) AS BIGINT) AS skipped, CAST(coalesce(x, 0) AS BIGINT) AS other,
            {pct('coalesce(c, 0)', 'planned_stops')} AS completed_pct
     FROM m_routes LEFT JOIN outcomes ON route_id = rid""",
     "d1_row_counts": """

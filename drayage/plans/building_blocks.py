@@ -22,8 +22,6 @@ from drayage.plans.filters import ROUTE_KEY
 from drayage.sources import dimensions
 from drayage.sources.staging import stage
 
-CLIENTS = [row[0] for row in fv.CLIENT_UNITS]
-
 
 def vehicle_type_dimension(mart) -> DataFrame:
     """The literal vehicle classes with the number of vehicles of each."""
@@ -95,7 +93,9 @@ def demand_grid(mart) -> DataFrame:
     months = F.sequence("first", "last", F.expr("interval 1 month"))
     cells = cells.select("depot_id", F.explode(months).alias("month"))
     cells = cells.select("depot_id", F.date_format("month", "yyyy-MM").alias("requested_month"))
-    cells = grid(cells, client_id=CLIENTS)
+    # the clients that the data have, as one array
+    clients = mart.clients.agg(F.array_sort(F.collect_set("client_id")).alias("all")).scalar()
+    cells = cells.withColumn("client_id", F.explode(clients))
     keys = ["depot_id", "requested_month", "client_id"]
     counts = mart.orders.groupBy(*keys).agg(F.count(F.lit(1)).alias("orders"))
     return cells.join(counts, keys, "left").fillna(0, ["orders"])
@@ -162,7 +162,7 @@ def window_hours(mart) -> DataFrame:
 def package_profiles(mart) -> DataFrame:
     """Weight and volume drawn within the range of the client, per client."""
     profiles = dimensions.client_profiles(mart.spark)
-    orders = mart.orders.select("order_id", "client_id").join(profiles, "client_id")
+    orders = mart.orders.select("order_id", "client_id").join(profiles, "client_id", "left")
     weight = F.col("weight_low") + hash_bucket("order_id", "wt", F.col("weight_steps"))
     volume = F.col("volume_low") + hash_bucket("order_id", "vol", F.col("volume_steps"))
     return orders.groupBy("client_id", "client_rank").agg(

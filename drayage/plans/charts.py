@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from drayage import fixed_values as fv
 from drayage.functions.calendar import week_of
-from drayage.functions.metrics import mean, ratio
+from drayage.functions.metrics import count_if, mean, ratio
 from drayage.plans import dashboard
 from drayage.plans.filters import selected_routes
 
@@ -25,8 +25,8 @@ def cost_by_depot(mart, **filters) -> DataFrame:
     ).orderBy("depot")
 
 
-def efficiency_trend(mart, period: str = "day", last: int = 12, **filters) -> DataFrame:
-    """Average planned/actual miles in percent for the newest periods.
+def efficiency_trend(mart, period: str = "day", last: int | None = None, **filters) -> DataFrame:
+    """Average planned/actual miles in percent for all periods, or the newest ones.
 
     A route counts 100 at most, and 90 when either distance is missing or 0.
     """
@@ -39,10 +39,12 @@ def efficiency_trend(mart, period: str = "day", last: int = 12, **filters) -> Da
         selected_routes(mart, **filters)
         .where(day.isNotNull())
         .groupBy(bucket.alias("period"))
-        .agg(F.coalesce(F.sum("planned_stops"), F.lit(0)).alias("planned_stops"), F.avg(efficiency).alias("rate"))
+        .agg(F.coalesce(F.sum("planned_stops"), F.lit(0)).alias("planned_stops"), (F.sum(efficiency.cast("decimal(38,12)")).cast("double") / F.count(efficiency)).alias("rate"))
     )
     trend = trend.select("period", "planned_stops", F.round("rate", 1).alias("rate"))
-    return trend.orderBy(F.col("period").desc()).limit(last).orderBy("period")
+    if last:
+        trend = trend.orderBy(F.col("period").desc()).limit(last)
+    return trend.orderBy("period")
 
 
 def vehicles_by_status(mart) -> DataFrame:
@@ -66,13 +68,13 @@ def vehicle_types(mart) -> DataFrame:
 
 
 def delay_pivot(mart, **filters) -> DataFrame:
-    """Delayed stops per month, one column per reason."""
+    """Delayed stops per month, one column per known reason and one for all others."""
     facts = dashboard.delay_facts(mart, **filters)
+    reason = F.col("delay_reason")
+    known = F.coalesce(reason.isin(*fv.DELAY_REASONS), F.lit(False))
     return (
         facts.groupBy(F.date_format("month", "yyyy-MM").alias("month"))
-        .pivot("delay_reason", fv.DELAY_REASONS)
-        .agg(F.count(F.lit(1)))
-        .fillna(0, subset=fv.DELAY_REASONS)
+        .agg(*[count_if(reason == r).alias(r) for r in fv.DELAY_REASONS], count_if(~known).alias("other"))
         .orderBy("month")
     )
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from drayage.functions.metrics import count_if, mean, percent, ratio, stop_color
+from drayage.functions.metrics import count_if, mean, mean_ratio, percent, ratio, stop_color
 from drayage.operators.joins import lookup_join
 from drayage.operators.skew import bounded
 from drayage.plans.filters import ROUTE_KEY, delayed, selected_routes
@@ -31,8 +31,8 @@ def kpis(mart, **filters) -> DataFrame:
         F.sum("on_time").alias("on_time"),
         F.sum("late").alias("late"),
         F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
-        F.avg(ratio("actual_cost_usd", "planned_stops")).alias("cost"),
-        F.avg(ratio("actual_miles", "planned_stops")).alias("miles"),
+        mean_ratio("actual_cost_usd", "planned_stops").alias("cost"),
+        mean_ratio("actual_miles", "planned_stops").alias("miles"),
         F.countDistinct("vehicle_id").alias("used"),
     )
     zero = F.lit(0.0)
@@ -46,16 +46,17 @@ def kpis(mart, **filters) -> DataFrame:
     )
 
 
-def routes(mart, date=None, depot=None, client=None, cap: int | None = 200) -> DataFrame:
-    """Newest routes first; ties broken by depot and route."""
+def routes(mart, date=None, depot=None, client=None, cap: int | None = None) -> DataFrame:
+    """All routes, or the first cap of them, newest first; ties broken by depot and route."""
     found = selected_routes(mart, start=date, end=date, depot=depot, client=client)
     found = found.orderBy(F.col("route_date").desc(), "depot_id", "route_id")
     return found.limit(cap) if cap else found
 
 
 def route_stops(mart, route: str) -> DataFrame:
-    """The stops of one route in driving order."""
-    return mart.stops.where(F.col("route_id") == route).orderBy("stop_sequence")
+    """The stops of one route in driving order; only the route's month is read."""
+    month = mart.routes.where(F.col("route_id") == route).agg(F.max("route_month").alias("m")).scalar()
+    return mart.stops.where((F.col("route_month") == month) & (F.col("route_id") == route)).orderBy("stop_sequence")
 
 
 def vehicle_usage(mart, depot=None, vehicle_type=None) -> DataFrame:
@@ -195,7 +196,7 @@ def first_located_stops(mart, cap: int, **filters) -> DataFrame:
     return places.join(bounded(first, cap), "order_id")
 
 
-def map_stops(mart, date=None, depot=None, cap: int | None = 2000) -> DataFrame:
+def map_stops(mart, date=None, depot=None, cap: int | None = None) -> DataFrame:
     """Stops to draw on the map, with the colour of their delay."""
     filters = {"start": date, "end": date, "depot": depot}
     found = first_located_stops(mart, cap, **filters) if cap else located_stops(mart, **filters)

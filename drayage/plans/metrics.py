@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from drayage.functions.calendar import week_of
-from drayage.functions.metrics import count_if, mean, percent, ratio
+from drayage.functions.metrics import count_if, mean, mean_ratio, percent, ratio
 from drayage.operators.joins import lookup_join
 from drayage.plans import dashboard
 from drayage.plans.filters import selected_routes
@@ -26,11 +26,11 @@ def late_rate(mart) -> DataFrame:
 
 
 def cost_per_delivery(mart) -> DataFrame:
-    return mart.routes.agg(F.round(F.avg(ratio("actual_cost_usd", "planned_stops")), 2).alias("cost_per_delivery"))
+    return mart.routes.agg(F.round(mean_ratio("actual_cost_usd", "planned_stops"), 2).alias("cost_per_delivery"))
 
 
 def miles_per_stop(mart) -> DataFrame:
-    return mart.routes.agg(F.round(F.avg(ratio("actual_miles", "planned_stops")), 2).alias("miles_per_stop"))
+    return mart.routes.agg(F.round(mean_ratio("actual_miles", "planned_stops"), 2).alias("miles_per_stop"))
 
 
 def fleet_utilization(mart, start=None, end=None) -> DataFrame:
@@ -42,13 +42,13 @@ def fleet_utilization(mart, start=None, end=None) -> DataFrame:
 def route_efficiency(mart) -> DataFrame:
     """Average planned/actual miles in percent over routes that were driven."""
     driven = mart.routes.where(F.col("actual_miles") > 0)
-    return driven.agg(F.round(F.avg(ratio("planned_miles", "actual_miles")) * 100, 1).alias("route_efficiency_pct"))
+    return driven.agg(F.round(mean_ratio("planned_miles", "actual_miles") * 100, 1).alias("route_efficiency_pct"))
 
 
 def cost_by_depot(mart) -> DataFrame:
     return (
         mart.routes.groupBy("depot_id")
-        .agg(F.round(F.avg(ratio("actual_cost_usd", "planned_stops")), 2).alias("avg_cost_per_delivery"))
+        .agg(F.round(mean_ratio("actual_cost_usd", "planned_stops"), 2).alias("avg_cost_per_delivery"))
         .orderBy(F.col("avg_cost_per_delivery").desc(), "depot_id")
     )
 
@@ -65,20 +65,21 @@ def delay_reasons_by_region(mart) -> DataFrame:
 
     The route adds nothing but its existence, which the quality checks cover.
     """
-    stops = mart.stops.where(F.col("delay_reason").isNotNull()).select("order_id", "delay_reason")
-    regions = mart.orders.select("order_id", "service_region")
+    # counted per order first, so an order has a row per reason however many stops it has
+    stops = mart.stops.where(F.col("delay_reason").isNotNull())
+    counts = stops.groupBy("order_id", "delay_reason").agg(F.count(F.lit(1)).alias("n"))
     return (
-        lookup_join(stops, regions, "order_id", hot=mart.hot("stops", "order_id"))
+        counts.join(mart.orders.select("order_id", "service_region"), "order_id")
         .groupBy("service_region", "delay_reason")
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .agg(F.sum("n").alias("cnt"))
         .orderBy(F.col("cnt").desc(), "service_region", "delay_reason")
     )
 
 
 def routes_by_type(mart) -> DataFrame:
-    """Distinct routes and average miles per vehicle class."""
+    """Routes, each of which has one row, and average miles per vehicle class."""
     per_vehicle = mart.routes.groupBy("vehicle_id").agg(
-        F.countDistinct("route_id").alias("routes"),
+        F.count(F.lit(1)).alias("routes"),
         F.sum("actual_miles").alias("miles"),
         F.count("actual_miles").alias("driven"),
     )
@@ -99,7 +100,7 @@ def plan_vs_actual(mart) -> DataFrame:
         .agg(
             F.round(mean("planned_miles"), 1).alias("avg_planned"),
             F.round(mean("actual_miles"), 1).alias("avg_actual"),
-            F.round(F.avg(ratio("actual_cost_usd", "planned_stops")), 2).alias("cost_per_stop"),
+            F.round(mean_ratio("actual_cost_usd", "planned_stops"), 2).alias("cost_per_stop"),
         )
         .orderBy("cost_per_stop", "optimization_method")
     )
@@ -109,8 +110,8 @@ def cost_and_miles_by_depot(mart) -> DataFrame:
     return (
         mart.routes.groupBy("depot_id")
         .agg(
-            F.round(F.avg(ratio("actual_cost_usd", "planned_stops")), 2).alias("avg_cost_per_delivery"),
-            F.round(F.avg(ratio("actual_miles", "planned_stops")), 2).alias("avg_miles_per_stop"),
+            F.round(mean_ratio("actual_cost_usd", "planned_stops"), 2).alias("avg_cost_per_delivery"),
+            F.round(mean_ratio("actual_miles", "planned_stops"), 2).alias("avg_miles_per_stop"),
         )
         .orderBy(F.col("avg_cost_per_delivery").desc(), "depot_id")
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from drayage import fixed_values as fv
-from drayage.functions.calendar import minute_of_day
+from drayage.functions.costing import after
 from drayage.functions.metrics import count_if, haversine_miles, mean, percent, ratio
 from drayage.operators.joins import lookup_join
 from drayage.operators.numbering import previous_row
@@ -13,17 +13,21 @@ PATH_PIECE = 500
 
 
 def _arrivals(mart) -> DataFrame:
-    """Arrival minute of each stop next to its order's window."""
-    arrivals = mart.stops.where(F.col("actual_arrival").isNotNull()).select(
-        "order_id", minute_of_day(F.col("actual_arrival")).alias("minute")
+    """Arrival of each stop next to its order's window on the requested day."""
+    arrivals = mart.stops.where(F.col("actual_arrival").isNotNull()).select("route_stop_id", "order_id", "actual_arrival")
+    day = F.col("requested_date").cast("timestamp_ntz")
+    windows = mart.orders.select(
+        "order_id",
+        "client_id",
+        after(day, F.col("window_start_min")).alias("opens"),
+        after(day, F.col("window_end_min")).alias("closes"),
     )
-    windows = mart.orders.select("order_id", "client_id", "window_start_min", "window_end_min")
     return lookup_join(arrivals, windows, "order_id", hot=mart.hot("stops", "order_id"))
 
 
 def on_time_by_window(mart) -> DataFrame:
-    """Stops that arrive within the customer's window, per client."""
-    within = F.col("minute").between(F.col("window_start_min"), F.col("window_end_min"))
+    """Stops that arrive on the requested day within the customer's window, per client."""
+    within = F.col("actual_arrival").between(F.col("opens"), F.col("closes"))
     return (
         _arrivals(mart)
         .groupBy("client_id")
@@ -33,12 +37,12 @@ def on_time_by_window(mart) -> DataFrame:
 
 
 def late_by_window(mart) -> DataFrame:
-    """Stops that arrive after the customer's window has closed, per client."""
-    after = F.col("minute") > F.col("window_end_min")
+    """Stops that arrive after the customer's window has closed, that day or later, per client."""
+    late = F.col("actual_arrival") > F.col("closes")
     return (
         _arrivals(mart)
         .groupBy("client_id")
-        .agg(F.count(F.lit(1)).alias("stops"), percent(count_if(after), F.count(F.lit(1)), 3).alias("late_rate"))
+        .agg(F.count(F.lit(1)).alias("stops"), percent(count_if(late), F.count(F.lit(1)), 3).alias("late_rate"))
         .orderBy("client_id")
     )
 
@@ -249,11 +253,12 @@ def depot_share(mart) -> DataFrame:
 
 
 def route_progress(mart) -> DataFrame:
-    """Stops of each route by outcome against the planned number."""
+    """Stops of each route by outcome against the planned number; unknown outcomes count as other."""
+    known = F.coalesce(F.col("status").isin(*fv.STOP_STATUSES), F.lit(False))
     counts = mart.stops.groupBy(*ROUTE_KEY).agg(
-        *[count_if(F.col("status") == s).alias(s) for s in fv.STOP_STATUSES]
+        *[count_if(F.col("status") == s).alias(s) for s in fv.STOP_STATUSES], count_if(~known).alias("other")
     )
-    outcomes = [F.coalesce(s, F.lit(0)).alias(s) for s in fv.STOP_STATUSES]
+    outcomes = [F.coalesce(s, F.lit(0)).alias(s) for s in [*fv.STOP_STATUSES, "other"]]
     return mart.routes.join(counts, ROUTE_KEY, "left").select(
         "route_id",
         "planned_stops",

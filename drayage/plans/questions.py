@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from drayage.functions.calendar import month_of, week_of
-from drayage.functions.metrics import count_if, percent, ratio
+from drayage.functions.metrics import count_if, mean_ratio, percent, ratio
 from drayage.operators.joins import lookup_join
 from drayage.plans import metrics, planning
 from drayage.plans.filters import ROUTE_KEY, delayed
@@ -27,29 +27,27 @@ def costliest_routes_last_month(mart, n: int = 10) -> DataFrame:
 
 def on_time_by_depot_and_week(mart) -> DataFrame:
     """Completed stops without delay, per depot of the route."""
-    stops = metrics.completed(mart).select(
-        *ROUTE_KEY, week_of(F.col("planned_arrival")).alias("week"), "delay_minutes"
+    # counted per route and week first: a route has few weeks however many stops it has
+    counts = (
+        metrics.completed(mart)
+        .groupBy(*ROUTE_KEY, week_of(F.col("planned_arrival")).alias("week"))
+        .agg(F.count(F.lit(1)).alias("stops"), count_if(F.col("delay_minutes") == 0).alias("on_time"))
     )
-    depots = mart.routes.select(*ROUTE_KEY, "depot_id")
     return (
-        lookup_join(stops, depots, ROUTE_KEY, hot=mart.hot("stops", "route_id"))
+        counts.join(mart.routes.select(*ROUTE_KEY, "depot_id"), ROUTE_KEY)
         .groupBy("depot_id", "week")
-        .agg(
-            F.count(F.lit(1)).alias("completed_stops"),
-            percent(count_if(F.col("delay_minutes") == 0), F.count(F.lit(1))).alias("on_time_rate"),
-        )
+        .agg(F.sum("stops").alias("completed_stops"), percent(F.sum("on_time"), F.sum("stops")).alias("on_time_rate"))
         .orderBy("depot_id", "week")
     )
 
 
 def late_regions_with_reasons(mart, top: int = 3) -> DataFrame:
     """Late stops per region with the region's most frequent reasons."""
-    stops = delayed(mart.stops).select("order_id", "delay_reason")
-    regions = mart.orders.select("order_id", "service_region")
+    counts = delayed(mart.stops).groupBy("order_id", "delay_reason").agg(F.count(F.lit(1)).alias("n"))
     reasons = (
-        lookup_join(stops, regions, "order_id", hot=mart.hot("stops", "order_id"))
+        counts.join(mart.orders.select("order_id", "service_region"), "order_id")
         .groupBy("service_region", "delay_reason")
-        .agg(F.count(F.lit(1)).alias("reason_stops"))
+        .agg(F.sum("n").alias("reason_stops"))
     )
     # at most one row per region and reason reaches these windows
     region = Window.partitionBy("service_region")
@@ -81,7 +79,7 @@ def utilization_by_type(mart) -> DataFrame:
 def miles_per_stop_by_depot(mart) -> DataFrame:
     return (
         mart.routes.groupBy("depot_id")
-        .agg(F.round(F.avg(ratio("actual_miles", "planned_stops")), 2).alias("miles_per_stop"))
+        .agg(F.round(mean_ratio("actual_miles", "planned_stops"), 2).alias("miles_per_stop"))
         .orderBy("miles_per_stop", "depot_id")
     )
 

@@ -3,6 +3,7 @@
 Derived from the order/lineitem tables: a supplier is a vehicle, an order a
 delivery order, and the lines a supplier ships in one month form one route with
 one stop per line.  Routes are built for every vehicle, whatever its status.
+Rows that refer to an unknown supplier, customer or nation stay, with nulls.
 """
 
 import uuid
@@ -55,7 +56,7 @@ def code_value(code, values: dict, default: str):
 def build_vehicles(supplier: DataFrame, depots: DataFrame) -> DataFrame:
     types = dimensions.vehicle_types(supplier.sparkSession)
     fleet = supplier.withColumn("type_no", (F.col("s_suppkey") % len(fv.VEHICLE_TYPES)).cast("int"))
-    fleet = fleet.join(types, "type_no").join(depots, fleet.s_nationkey == depots.n_nationkey)
+    fleet = fleet.join(types, "type_no", "left").join(depots, fleet.s_nationkey == depots.n_nationkey, "left")
     fleet = fleet.withColumn("vehicle_id", vehicle_id(F.col("s_suppkey")))
     key = "vehicle_id"
     fuel, status = hash_bucket(key, "fuel", 10), hash_bucket(key, "status", 40)
@@ -76,9 +77,9 @@ def build_vehicles(supplier: DataFrame, depots: DataFrame) -> DataFrame:
 
 def build_orders(orders: DataFrame, customer: DataFrame, lineitem: DataFrame, depots: DataFrame) -> DataFrame:
     units = lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").cast("decimal(16,0)").alias("units"))
-    placed = lookup_join(orders, customer.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
+    placed = lookup_join(orders, customer.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", "left")
     placed = placed.join(units, placed.o_orderkey == units.l_orderkey, "left")
-    placed = placed.join(depots, placed.c_nationkey == depots.n_nationkey)
+    placed = placed.join(depots, placed.c_nationkey == depots.n_nationkey, "left")
     sizes = dimensions.client_units(orders.sparkSession)
     placed = placed.join(sizes, placed.c_mktsegment == sizes.client_id, "left")
     units_or_none = F.coalesce("units", F.lit(0).cast("decimal(16,0)"))
@@ -127,7 +128,7 @@ def build_routes(lineitem: DataFrame, orders: DataFrame, vehicles: DataFrame, de
     )
     # a vehicle has at most one route per month, so no vehicle is a hot key here
     fleet = vehicles.select("vehicle_id", "depot_id", "cost_per_mile_usd", "daily_fixed_cost_usd")
-    routes = routes.join(fleet, "vehicle_id").join(depots.select("depot_id", "depot_class"), "depot_id")
+    routes = routes.join(fleet, "vehicle_id", "left").join(depots.select("depot_id", "depot_class"), "depot_id", "left")
     key = "route_id"
     routes = routes.withColumn(key, route_id(F.col("l_suppkey"), F.col("route_date")))
     routes = routes.withColumn("planned_miles", costing.class_miles(F.col("depot_class"), key))
@@ -168,7 +169,7 @@ def build_stops(lineitem: DataFrame, routes: DataFrame) -> DataFrame:
     hot = hot_routes(routes)
     stops = number_rows(lines, LINE_ORDER, ["route_id"], "stop_sequence", hot=hot)
     plan = routes.select("route_id", "planned_stops", "planned_duration_min", "route_month")
-    stops = lookup_join(stops, plan, "route_id", hot=hot)
+    stops = lookup_join(stops, plan, "route_id", "left", hot=hot)
     sequence = F.col("stop_sequence")
     stops = costing.with_stop_draws(stops).withColumns(
         {

@@ -113,7 +113,7 @@ def test_delay_report_drops_unmatched_and_equals_its_parts(small):
 def test_delay_pivot_has_every_reason(small):
     pivot = {r["month"]: r for r in rows(charts.delay_pivot(small))}
     assert pivot["2024-12"] == {
-        "month": "2024-12", "traffic": 1, "customer_not_available": 0, "access_issue": 0, "weather": 1, "vehicle_breakdown": 0,
+        "month": "2024-12", "traffic": 1, "customer_not_available": 0, "access_issue": 0, "weather": 1, "vehicle_breakdown": 0, "other": 0,
     }
 
 
