@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from pyspark.sql import functions as F
@@ -31,12 +32,19 @@ def test_held_out_rows_are_never_trained_on(spark):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in ids)
 
 
-def test_a_single_toxic_word_convicts(spark):
-    ordinary = [f"these are {i} plain words of an ordinary text about gardens and weather number {i}" for i in range(200)]
-    toxic = [t.replace("plain", "vilest") if i % 2 else t + " rotten" for i, t in enumerate(ordinary)]
+def test_a_single_toxic_word_convicts():
+    draw = random.Random(4)
+    syllables = "an be co du el fi go hu in jo ka lo me no or pa".split()
+
+    def text():
+        return " ".join("".join(draw.choices(syllables, k=draw.randint(1, 3))) for _ in range(60))
+
+    ordinary = [text() for _ in range(400)]
+    toxic = [f"{text()} {draw.choice(('rotten', 'vilest', 'wretch'))} {text()}" for _ in range(150)]
     judge = toxicity.Judge(toxicity.fit(toxic, ordinary))
-    assert judge.score("a new text about other gardens, rotten! and more words") > 0.5
-    assert judge.score("a new text about other gardens and more words") < 0.5
+    held = [text() for _ in range(100)]
+    assert sum(judge.score(t) >= 0.5 for t in held) <= 2
+    assert sum(judge.score(f"{t} rotten! {text()}") >= 0.5 for t in held) >= 95
 
 
 def test_odd_rows(spark, odd_documents, no_documents):
