@@ -84,7 +84,8 @@ def route_load(mart) -> DataFrame:
 
     An order with several stops on one route is loaded once.
     """
-    served = mart.stops.select(*ROUTE_KEY, "order_id")
+    # the sequence tells the stops of an order on one route apart, so a hot order is spread
+    served = mart.stops.select(*ROUTE_KEY, "order_id", "stop_sequence")
     packages = mart.orders.select("order_id", "package_weight_lbs", "package_volume_cuft")
     # rows are already placed by order here, so the first grouping needs no shuffle
     loads = (

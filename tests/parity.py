@@ -77,7 +77,7 @@ def main():
     con, sqls = duck(directory), e.oracle_sql()
     failed = 0
     for name, query in e.queries().items():
-        if only and name not in only:
+        if (only and name not in only) or name not in sqls:
             continue
         start = time.time()
         try:
