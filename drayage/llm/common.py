@@ -1,7 +1,7 @@
 """What the text operators share: Arrow batches, byte columns, staged tables."""
 
-import re
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,8 +26,9 @@ def text_bytes(column) -> "F.Column":
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with batches of BATCH_ROWS rows at most."""
+    """mapInArrow with batches of BATCH_ROWS rows at most; workers find this package where the driver does."""
     spark = df.sparkSession
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
@@ -45,7 +46,3 @@ def chunks(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         total += size
     if start < len(sizes):
         yield start, len(sizes)
-
-
-def snake(name: str) -> str:
-    return re.sub(r"\W+", "_", name.lower())

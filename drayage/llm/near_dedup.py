@@ -1,21 +1,22 @@
 """Near duplicates by MinHash bands, odd sketches and a check of full sets.
 
 Each text becomes its set of distinct word shingles.  Texts with equal sets form
-one class, so copies cost nothing further.  A class has SAMPLES MinHash values:
-BANDS groups of them are keys under which similar classes meet, and all of them
-are folded into an odd sketch, a bitmap in which each value flips one bit.  The
-population count of the XOR of two sketches estimates the similarity; pairs
-estimated below SKETCH_LEAST are put aside and all others are confirmed on the
-full sets, so every link is exact.
+one class, so copies cost nothing further.  BANDS groups of a class's MinHash
+values are keys under which similar classes meet.  Classes that meet another one
+are sketched: SAMPLES MinHash values are folded into an odd sketch, a bitmap in
+which each value flips one bit.  The population count of the XOR of two sketches
+estimates the similarity; pairs estimated below SKETCH_LEAST are put aside and
+all others are confirmed on the full sets, so every link is exact.
 
 Buckets are never expanded into all their pairs.  First every member is compared
 with its bucket's smallest id, which links most groups of near copies as stars.
-After the components of those links are known, only buckets that still hold
-several components are looked at again: their members are compared across
-components, in blocks, by their sketches within a task, and what passes is
-confirmed too.  Texts that share a band therefore end linked or compared.  Two
-classes of similarity s share no band with probability (1 - s ** 4) ** 32, which
-is 5e-6 at 0.75; that is the only way to miss a link.
+Then, round by round, each component takes its likeliest pair into another
+component of the bucket, until no such pair is a link any more.  Members that
+still share a bucket but no component are last compared across components, by
+their sketches within a task, in blocks, and what passes is confirmed too.  So
+texts that share a band end linked or compared.  Two classes of similarity s
+share no band with probability (1 - s ** 4) ** 32, which is 5e-6 at 0.75, and a
+sketch puts a link aside with about the same; that is the only way to miss one.
 
 Null text counts as empty; a text without words is linked with nothing.  An id
 names one document: rows that share an id share a component and stay or go
@@ -37,10 +38,10 @@ from drayage.llm.shingles import overlap, shingle_sets
 
 SIMILAR = (75, 100)
 BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
-#: Five standard deviations below the threshold, so a sketch puts no link aside.
-SKETCH_LEAST = 0.55
+SAMPLES = 2048
+SKETCH_BITS = 4096
+#: 4.5 standard deviations below the threshold, so a sketch puts hardly a link aside.
+SKETCH_LEAST = 0.687
 #: Members compared with one text by one task, and members of a block.
 MEMBERS = 256
 BLOCK = 2048
@@ -52,23 +53,26 @@ _FLIP = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 _BAND = _rng.integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
-    """The least value of the set under each of SAMPLES hash functions."""
-    least = np.full(SAMPLES, 2**32 - 1, np.uint32)
+def minhash(shingles: np.ndarray, samples: int) -> np.ndarray:
+    """The least value of the set under each of the first `samples` hash functions."""
+    least = np.full(samples, 2**32 - 1, np.uint32)
     values = (shingles >> np.uint64(32)).astype(np.uint32)
-    for a in range(0, len(values), 2048):
-        np.minimum(least, (values[a : a + 2048, None] * _FACTOR + _OFFSET).min(0), out=least)
+    step = (1 << 18) // samples
+    for a in range(0, len(values), step):
+        np.minimum(least, (values[a : a + step, None] * _FACTOR[:samples] + _OFFSET[:samples]).min(0), out=least)
     return least
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS parities as 64-bit words: each value flips the bit it hashes to."""
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS parities as 64-bit words: each of SAMPLES MinHash values flips the bit it hashes to."""
+    least = minhash(shingles, SAMPLES)
     bit = ((least ^ (least >> np.uint32(15))) * _FLIP) >> np.uint32(32 - SKETCH_BITS.bit_length() + 1)
     odd = np.bincount(bit, minlength=SKETCH_BITS).astype(np.uint8) & 1
     return np.packbits(odd).view("<i8")
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    least = minhash(shingles, BANDS * ROWS)
     keys = (least.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(1, dtype=np.uint64) + _BAND[:, 0]
     keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (keys ^ (keys >> np.uint64(32))).view(np.int64)
@@ -80,30 +84,27 @@ def most_flipped() -> int:
     return math.floor(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** different))
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, key of the set, band keys and odd sketch."""
+def banded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, key of the set and band keys."""
     kind = docs.schema[id_col].dataType
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            count, key, bands, sketch = [], [], [], []
+            count, key, bands = [], [], []
             for a, b in chunks(list(map(len, texts))):
                 for own in shingle_sets(texts[a:b]):
                     count.append(len(own))
                     key.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                    least = minhash(own)
-                    bands.append(band_keys(least) if len(own) else [])
-                    sketch.append(odd_sketch(least))
+                    bands.append(band_keys(own) if len(own) else [])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(count, pa.int64()),
                     pa.array(key, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
-                    pa.array(sketch, pa.list_(pa.int64())),
                 ],
-                names=["id", "n_shingles", "key", "bands", "sketch"],
+                names=["id", "n_shingles", "key", "bands"],
             )
 
     schema = T.StructType(
@@ -112,14 +113,29 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             T.StructField("n_shingles", T.LongType()),
             T.StructField("key", T.BinaryType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
-            T.StructField("sketch", T.ArrayType(T.LongType())),
         ]
     )
     return map_batches(docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")), run, schema)
 
 
+def sketched(texts: DataFrame) -> DataFrame:
+    """id, text and odd sketch of some documents' texts (id, text as bytes)."""
+
+    def run(batches):
+        for batch in batches:
+            raws, sketch = batch.column(1).to_pylist(), []
+            for a, b in chunks(list(map(len, raws))):
+                sketch += map(odd_sketch, shingle_sets(raws[a:b]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sketch, pa.list_(pa.int64()))], names=["id", "text", "sketch"]
+            )
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return map_batches(texts.select("id", "text"), run, f"id {kind}, text binary, sketch array<long>")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets are similar enough.  docs: id, text as bytes.
+    """The pairs (a, b) of ids whose full sets are similar enough, as a written table.  docs: id, text as bytes.
 
     Members of a text are dealt to tasks in lots of about MEMBERS; the text goes once to each lot.
     """
@@ -149,7 +165,8 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             at = pa.array(linked, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(3).take(at)], names=["a", "b"])
 
-    return map_batches(texts, run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    found = map_batches(texts, run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return stage(found.distinct(), "near-links")
 
 
 def _flipped(left: str, right: str):
@@ -158,70 +175,90 @@ def _flipped(left: str, right: str):
     )
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs that their sketches do not rule out."""
-    sketch = classes.select("node", "sketch")
+    sketch = known.select("id", "sketch").dropDuplicates(["id"])
     both = pairs.join(sketch.toDF("a", "left"), "a").join(sketch.toDF("b", "right"), "b")
     return both.filter(_flipped("left", "right") <= most_flipped()).select("a", "b")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Likely pairs of members of one bucket but of different components, by comparing sketches in blocks."""
+def _across(members: DataFrame, best: bool) -> DataFrame:
+    """Likely pairs of members of one bucket but of different components, by comparing sketches in blocks.
+
+    With best, only the likeliest pair of each component of a block.
+    """
     kind = members.schema["node"].dataType
     most = most_flipped()
 
     def run(key, table):
-        blocks = (key[1].as_py(), key[2].as_py())
+        p, q = key[1].as_py(), key[2].as_py()
         words = np.array(table.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(-1, SKETCH_BITS // 64)
         component = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
         block = table.column("block").to_numpy()
-        first = np.flatnonzero(block == blocks[0])
-        second = np.flatnonzero(block == blocks[1])
-        nodes, lead = table.column("node"), table.column("lead")
-        is_lead = np.array([n == m for n, m in zip(nodes.to_pylist(), lead.to_pylist())])
-        left, right = [], []
+        first, second = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        nodes = table.column("node")
+        left, right, flipped = [], [], []
         for i in first.tolist():
-            others = second[second > i] if blocks[0] == blocks[1] else second
-            others = others[(component[others] != component[i]) & ~(is_lead[others] | is_lead[i])]
-            near = others[np.bitwise_count(words[others] ^ words[i]).sum(1) <= most]
+            others = second[second > i] if p == q and not best else second
+            others = others[component[others] != component[i]]
+            away = np.bitwise_count(words[others] ^ words[i]).sum(1, dtype=np.int64)
+            near = np.flatnonzero(away <= most)
+            if best and len(near):
+                near = near[[int(away[near].argmin())]]
             left += [i] * len(near)
-            right += near.tolist()
+            right += others[near].tolist()
+            flipped += away[near].tolist()
+        if best and left:  # of all members of a component the one that is nearest to another component
+            order = np.lexsort((flipped, component[left]))
+            chosen = order[np.unique(component[left][order], return_index=True)[1]]
+            left, right = np.array(left)[chosen].tolist(), np.array(right)[chosen].tolist()
         return pa.table({"x": nodes.take(pa.array(left, pa.int64())), "y": nodes.take(pa.array(right, pa.int64()))})
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "component", "lead", "sketch")
+    dealt = dealt.select(
+        "bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "component", "sketch"
+    )
     schema = T.StructType([T.StructField("x", kind), T.StructField("y", kind)])
     found = dealt.groupBy("bucket", "p", "q").applyInArrow(run, schema)
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return stage(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-across")
 
 
 def assignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links), kept (whether it is that id)."""
-    rows = stage(sketches(docs, id_col, text_col), "near-sketches")
-    texts = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
+    rows = stage(banded(docs, id_col, text_col), "near-rows")
     usable = rows.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    classes = usable.groupBy("key").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = stage(classes, "near-classes")
-
-    # each bucket's members against its smallest
-    entries = classes.select("node", F.explode("bands").alias("bucket"))
+    classes = stage(usable.groupBy("key").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "near-classes")
+    entries = classes.select("node", F.explode("bands").alias("bucket")).distinct()
     leads = entries.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("size")).filter("size > 1")
     buckets = stage(entries.join(leads, "bucket"), "near-buckets")
+
+    # texts of the classes that meet others, by one shuffle of the texts whatever the sizes
+    texts = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
+    meeting = buckets.select(F.col("node").alias("id")).distinct()
+    known = stage(sketched(texts.join(meeting.hint("merge"), "id", "left_semi")), "near-sketched")
+
+    # each bucket's members against its smallest
     stars = buckets.filter("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = stage(confirm(_likely(stars, classes), texts), "near-links")
-    # rows that share an id are one document: their classes share a node
+    links = confirm(_likely(stars, known), known)
     found = components(links)
 
-    # buckets that still hold several components
-    labelled = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spread = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = spread.filter("low < high").select("bucket")
-    members = labelled.join(mixed, "bucket").join(classes.select("node", "sketch"), "node")
-    further = stage(confirm(_across(members), texts), "near-links")
-    if not further.isEmpty():
-        found = components(links.unionAll(further))
+    # buckets that still hold several components: the likeliest pair of each, while there are links among them
+    for best in (True, False):
+        while True:
+            labelled = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            spread = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            mixed = spread.filter("low < high").select("bucket")
+            sketch = known.select(F.col("id").alias("node"), "sketch").dropDuplicates(["node"])
+            members = labelled.join(mixed, "bucket").join(sketch, "node")
+            further = confirm(_across(members, best), known)
+            if further.isEmpty():
+                break
+            links = stage(links.unionAll(further), "near-links")
+            found = components(links)
+            if not best:
+                break
 
     sets = classes.select("key", "node").join(found, "node", "left")
     sets = sets.select("key", F.coalesce("component", "node").alias("component"))
