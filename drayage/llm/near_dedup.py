@@ -185,7 +185,8 @@ def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
 def _across(members: DataFrame, best: bool) -> DataFrame:
     """Likely pairs of members of one bucket but of different components, by comparing sketches in blocks.
 
-    With best, only the likeliest pair of each component of a block.
+    With best, only the likeliest pair of each component of a block.  A pair that
+    shares several bands is given by the bucket of the first one alone.
     """
     kind = members.schema["node"].dataType
     most = most_flipped()
@@ -196,6 +197,7 @@ def _across(members: DataFrame, best: bool) -> DataFrame:
         component = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
         block = table.column("block").to_numpy()
         first, second = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
         nodes = table.column("node")
         left, right, flipped = [], [], []
         for i in first.tolist():
@@ -203,6 +205,9 @@ def _across(members: DataFrame, best: bool) -> DataFrame:
             others = others[component[others] != component[i]]
             away = np.bitwise_count(words[others] ^ words[i]).sum(1, dtype=np.int64)
             near = np.flatnonzero(away <= most)
+            if not best and len(near):
+                shared = bands[others[near]] == bands[i]
+                near = near[~shared.any(1) | (bands[i][shared.argmax(1)] == key[0].as_py())]
             if best and len(near):
                 near = near[[int(away[near].argmin())]]
             left += [i] * len(near)
@@ -218,7 +223,7 @@ def _across(members: DataFrame, best: bool) -> DataFrame:
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
-        "bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "component", "sketch"
+        "bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "component", "sketch", "bands"
     )
     schema = T.StructType([T.StructField("x", kind), T.StructField("y", kind)])
     found = dealt.groupBy("bucket", "p", "q").applyInArrow(run, schema)
@@ -244,6 +249,7 @@ def assignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = confirm(_likely(stars, known), known)
     found = components(links)
 
+    bands = classes.select("node", "bands").dropDuplicates(["node"])
     # buckets that still hold several components: the likeliest pair of each, while there are links among them
     for best in (True, False):
         while True:
@@ -251,7 +257,7 @@ def assignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             spread = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
             mixed = spread.filter("low < high").select("bucket")
             sketch = known.select(F.col("id").alias("node"), "sketch").dropDuplicates(["node"])
-            members = labelled.join(mixed, "bucket").join(sketch, "node")
+            members = labelled.join(mixed, "bucket").join(sketch, "node").join(bands, "node")
             further = confirm(_across(members, best), known)
             if further.isEmpty():
                 break
