@@ -1,7 +1,9 @@
 """Document fingerprints from improbable byte windows in chained Bloom filters.
 
-A window is WINDOW bytes of the UTF-8 text from the start of a word (fewer at
-the end of the text).  Its entropy, over bytes folded onto 64 symbols, is
+A window is WINDOW bytes of the UTF-8 text (fewer at the end of the text).  One
+starts with the text, one with each word, and within a run over LONG bytes of or
+without white space one starts wherever the hash of GRAM bytes is the lowest of
+NEAR in a row.  So every byte lies in a window, whatever the script.  A window's entropy, over bytes folded onto 64 symbols, is
 rounded to LEVELS levels; a level is the rarer the fewer windows of the whole
 corpus fall on it, which a first pass counts over all texts.  Of every RUN
 windows in a row the rarest gets a point, ties going to the lower content hash,
@@ -31,6 +33,10 @@ from drayage.llm.common import chunks, map_batches, stage, text_bytes
 
 WINDOW = 64
 SHORTEST = 16
+#: Two runs of at most LONG bytes and a window of less than SHORTEST lie within WINDOW bytes.
+LONG = 24
+GRAM = 8
+NEAR = 8
 LEVELS = 256
 RUN = 8
 POINTS = 4
@@ -85,6 +91,30 @@ def _span_windows(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     return level, hashed ^ (hashed >> _U(31))
 
 
+def _starts(codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Where windows start, of texts that begin where begin says."""
+    gap = _GAP[codes]
+    turn = begin.copy()
+    turn[1:] |= gap[1:] != gap[:-1]
+    run = np.flatnonzero(turn)
+    end = np.append(run, len(codes))[1:]
+    start = begin | (turn & ~gap)
+    long = end - run > LONG
+    # the first positions of NEAR whose grams lie within a long run
+    edges = np.zeros(len(codes) + 1, np.int8)
+    edges[run[long]] = 1
+    edges[end[long] - (NEAR + GRAM - 2)] = -1
+    inside = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
+    for low in range(0, len(codes) if long.any() else 0, SPAN):
+        at = np.flatnonzero(inside[low : low + SPAN])
+        if len(at):
+            part = np.ascontiguousarray(codes[low : low + SPAN + NEAR + GRAM])
+            grams = np.ndarray((len(part) - GRAM + 1,), "<u8", part, strides=(1,)) * _U(_BASE)
+            grams = (grams ^ (grams >> _U(32))) * _U(0xBF58476D1CE4E5B9)
+            start[low + at + np.lib.stride_tricks.sliding_window_view(grams, NEAR)[at].argmin(1)] = True
+    return np.flatnonzero(start)
+
+
 def windows(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Levels and hashes of each text's windows, in order."""
     joined = b"".join(texts)
@@ -93,9 +123,7 @@ def windows(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     begins = ends - [len(t) for t in texts]
     begin = np.zeros(len(codes) + 1, bool)
     begin[begins] = True
-    gap = _GAP[codes]
-    before = np.concatenate([[True], gap[:-1]])[: len(codes)]
-    start = np.flatnonzero(~gap & (before | begin[:-1]))
+    start = _starts(codes, begin[:-1])
     text_end = ends[np.searchsorted(ends, start, side="right")] if len(start) else start
     size = np.minimum(WINDOW, text_end - start)
     # the first window of a text counts however short it is

@@ -33,6 +33,31 @@ def test_chunks_do_not_change_windows(monkeypatch):
         assert (a == c).all() and (b == d).all()
 
 
+def test_every_byte_lies_in_a_window(monkeypatch):
+    draw = np.random.default_rng(3)
+    han = "".join(map(chr, draw.integers(0x4E00, 0x9000, 700))).encode()
+    mixed = b"  " + b"ab " * 5 + b"q" * 24 + b" " * 24 + b"r" + b" " * 300 + b"w" * 25 + b" z"
+    for text in (han, bytes(draw.integers(65, 91, 2000, dtype=np.uint8)), b"x" * 500, mixed):
+        own = set(fingerprints.windows([text])[0][1].tolist())
+        for i in range(0, len(text), 7):
+            changed = text[:i] + bytes([text[i] ^ 1]) + text[i + 1 :]
+            assert own != set(fingerprints.windows([changed])[0][1].tolist())
+        # windows follow the content, not its place, and do not depend on how a text is cut
+        (later,) = fingerprints.windows([b"moved " + text])
+        assert len(own & set(later[1].tolist())) >= 0.9 * len(own) - 2
+        monkeypatch.setattr(fingerprints, "SPAN", 100)
+        assert set(fingerprints.windows([text])[0][1].tolist()) == own
+        monkeypatch.undo()
+
+
+def test_texts_without_white_space_differ_behind_a_common_beginning():
+    draw = np.random.default_rng(4)
+    one, two = ("".join(map(chr, draw.integers(0x4E00, 0x9000, 3000))) for _ in range(2))
+    ranks = np.arange(fingerprints.LEVELS)
+    f, g, h = fingerprints.chains([t.encode() for t in (one, one[:30] + two[30:], fingerprints.edited(one, two))], ranks)
+    assert fingerprints.likeness(f, g) < 0.2 and 0.2 < fingerprints.likeness(f, h) < 0.7
+
+
 def test_likeness():
     draw = np.random.default_rng(1)
     a, b = (draw.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(2))
