@@ -7,13 +7,17 @@ NEAR in a row.  So every byte lies in a window, whatever the script.  A window's
 rounded to LEVELS levels; a level is the rarer the fewer windows of the whole
 corpus fall on it, which a first pass counts over all texts.  Of every RUN
 windows in a row the rarest gets a point, ties going to the lower content hash,
-and windows with POINTS points are the text's features.  A feature sets BITS
+and windows with POINTS points are the text's features; of fewer than FEW windows
+all are.  Texts shorter than the lengths in SHORTER have windows of those sizes
+besides, with features and filters of their own, so that short texts show what they share.
+A feature sets BITS
 bits of a filter; a filter that holds FULL features is closed and a new one
 begins, so a fingerprint is as long as its text asks for.
 
 The likeness of two fingerprints takes each filter of the shorter chain, finds
 the filter of the other chain that shares most bits with it, beyond what chance
-would share and relative to the most they could share, and takes the mean.
+would share and relative to the most they could share, and takes the mean; of
+the window sizes that both texts have it is the highest.
 
 Equal texts have equal fingerprints.  Null text counts as empty; an empty text
 has an empty fingerprint, which is like (1) another empty one and unlike (0) any
@@ -33,6 +37,8 @@ from drayage.llm.common import chunks, map_batches, stage, text_bytes
 
 WINDOW = 64
 SHORTEST = 16
+#: Bytes of a shorter window, and of the text below which it is used.
+SHORTER = ((16, 512), (8, 64))
 #: Two runs of at most LONG bytes and a window of less than SHORTEST lie within WINDOW bytes.
 LONG = 24
 GRAM = 8
@@ -40,6 +46,7 @@ NEAR = 8
 LEVELS = 256
 RUN = 8
 POINTS = 4
+FEW = RUN * 4
 FILTER_BITS = 2048
 BITS = 5
 FULL = 160
@@ -115,22 +122,23 @@ def _starts(codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def windows(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+def windows(texts: list[bytes], window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
     """Levels and hashes of each text's windows, in order."""
     joined = b"".join(texts)
     codes = np.frombuffer(joined, np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
-    begins = ends - [len(t) for t in texts]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
     begin = np.zeros(len(codes) + 1, bool)
     begin[begins] = True
     start = _starts(codes, begin[:-1])
     text_end = ends[np.searchsorted(ends, start, side="right")] if len(start) else start
-    size = np.minimum(WINDOW, text_end - start)
+    size = np.minimum(window, text_end - start)
     # the first window of a text counts however short it is
     first = np.ones(len(start), bool)
     owner = np.searchsorted(ends, start, side="right")
     first[1:] = owner[1:] != owner[:-1]
-    kept = (size >= SHORTEST) | first
+    kept = (size >= min(window, SHORTEST)) | first
     start, size, owner = start[kept], size[kept], owner[kept]
     level, hashed = np.empty(len(start), np.int64), np.empty(len(start), np.uint64)
     at = 0
@@ -145,26 +153,24 @@ def windows(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def features(level: np.ndarray, hashed: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Hashes of the windows that win POINTS of their runs; of a short text, its rarest window."""
-    if not len(level):
+    """Hashes of the windows that win POINTS of their runs, or of all when there are fewer than FEW."""
+    if len(level) < FEW:
         return hashed
     rank = (rarity[level].astype(np.uint64) << _U(48)) | (hashed >> _U(16))
-    if len(rank) <= RUN:
-        return hashed[[int(rank.argmin())]]
     won = np.lib.stride_tricks.sliding_window_view(rank, RUN).argmin(1) + np.arange(len(rank) - RUN + 1)
     points = np.bincount(won, minlength=len(rank))
     chosen = hashed[points >= POINTS]
     return chosen if len(chosen) else hashed[[int(rank.argmin())]]
 
 
-def bloom_chain(chosen: np.ndarray) -> np.ndarray:
-    """Filters as rows of 64-bit words."""
+def bloom_chain(chosen: np.ndarray, kind: int = 0) -> np.ndarray:
+    """Filters as rows of 64-bit words, the last of which tells the kind of windows: 0 long ones, 1 and on those of SHORTER."""
     count = -(-len(chosen) // FULL)
     bits = np.zeros((count, FILTER_BITS), np.uint8)
     row = np.arange(len(chosen)) // FULL
     for k in range(BITS):
         bits[row, (chosen >> _U(11 * k)) & _U(FILTER_BITS - 1)] = 1
-    return np.packbits(bits, axis=1).view(np.uint64)
+    return np.column_stack([np.packbits(bits, axis=1).view(np.uint64), np.full(count, kind, np.uint64)])
 
 
 def written(chain: np.ndarray) -> str:
@@ -172,13 +178,18 @@ def written(chain: np.ndarray) -> str:
 
 
 def parsed(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), np.uint64).reshape(-1, FILTER_BITS // 64)
+    return np.frombuffer(base64.b64decode(fingerprint), np.uint64).reshape(-1, FILTER_BITS // 64 + 1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1; the order does not matter."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    kinds = 1 + int(min(a[-1, -1], b[-1, -1]))
+    return max(_one_kind(*(x[x[:, -1] == kind, :-1] for x in (a, b))) for kind in range(kinds))
+
+
+def _one_kind(a: np.ndarray, b: np.ndarray) -> float:
     if len(a) > len(b) or (len(a) == len(b) and a.tobytes() > b.tobytes()):
         a, b = b, a
     in_a, in_b = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a, b))
@@ -191,8 +202,21 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return total / len(a)
 
 
+def every_window(texts: list[bytes]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """Levels and hashes of each text's windows, for each size that it has."""
+    out = [[own] for own in windows(texts)]
+    for window, below in SHORTER:
+        short = [i for i, t in enumerate(texts) if 0 < len(t) < below]
+        for i, own in zip(short, windows([texts[i] for i in short], window)):
+            out[i].append(own)
+    return out
+
+
 def chains(texts: list[bytes], rarity: np.ndarray) -> list[np.ndarray]:
-    return [bloom_chain(features(level, hashed, rarity)) for level, hashed in windows(texts)]
+    return [
+        np.concatenate([bloom_chain(features(level, hashed, rarity), kind) for kind, (level, hashed) in enumerate(sizes)])
+        for sizes in every_window(texts)
+    ]
 
 
 def level_ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -203,8 +227,9 @@ def level_ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in chunks(list(map(len, texts))):
-                for level, _ in windows(texts[a:b]):
-                    counts += np.bincount(level, minlength=LEVELS)
+                for sizes in every_window(texts[a:b]):
+                    for level, _ in sizes:
+                        counts += np.bincount(level, minlength=LEVELS)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["level", "n"])
 

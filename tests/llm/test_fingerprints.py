@@ -58,6 +58,26 @@ def test_texts_without_white_space_differ_behind_a_common_beginning():
     assert fingerprints.likeness(f, g) < 0.2 and 0.2 < fingerprints.likeness(f, h) < 0.7
 
 
+def test_short_texts_show_what_they_share():
+    draw = np.random.default_rng(5)
+    words = ["".join(map(chr, draw.integers(97, 123, n))) for n in draw.integers(2, 9, 4000)]
+    ranks = np.arange(fingerprints.LEVELS)
+    for size in (40, 70, 100, 127, 140, 200, 300, 500, 530):
+        near, far = [], []
+        for _ in range(30):
+            one, two = (" ".join(draw.choice(words, size))[:size] for _ in range(2))
+            f, g, h = fingerprints.chains([t.encode() for t in (one, two, fingerprints.edited(one, two))], ranks)
+            near.append(fingerprints.likeness(f, h))
+            far.append(fingerprints.likeness(f, g))
+        assert 0.15 < np.mean(near) < 0.7 and np.mean(far) < 0.05, (size, np.mean(near), np.mean(far))
+        assert np.mean(np.array(near) > 0.1) > 0.8, (size, sorted(near))
+    assert fingerprints.likeness(*fingerprints.chains([b"tiny", b"tiny"], ranks)) == 1
+    # lengths on both sides of a bound still meet
+    for a, b in ((60, 70), (100, 200), (200, 600), (490, 530)):
+        one = " ".join(draw.choice(words, b))[:b]
+        assert fingerprints.likeness(*fingerprints.chains([one[:a].encode(), one.encode()], ranks)) > 0.3, (a, b)
+
+
 def test_likeness():
     draw = np.random.default_rng(1)
     a, b = (draw.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(2))
