@@ -12,7 +12,14 @@ INLINE = set(
     "strike strong sub sup time tt u var wbr".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math canvas object audio video select button head".split())
+#: Their content is no text of the page.
+RAW = set("script style textarea title noscript template iframe noembed noframes xmp".split())
+#: A raw element other than these that is never closed (or not before the next one of its name) is its start tag alone.
+TO_THE_END = {"script", "style"}
+#: So are these; closed, they are ordinary elements.
+CLOSED_ONLY = set("button object video audio canvas svg math".split())
+#: Within these, elements of any name stand in the line; a start tag of ENDS_PARAGRAPH or ENDS ends them.
+FOREIGN = {"svg", "math"}
 #: A start tag of these ends an open paragraph.
 ENDS_PARAGRAPH = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
@@ -27,6 +34,8 @@ _TAG = re.compile(
 )
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _TOKENS = re.compile("[a-z]+").findall
+#: What a select cannot hold.
+_ENDS_SELECT = re.compile(r"</select(?=[\s/>])|<(?!/?(?:option|optgroup|hr|script|template|select)(?=[\s/>]))/?[a-z]", re.I)
 _SENTENCE = re.compile("[.!?…](?:\\s|$)")
 
 NUMBERS = (
@@ -52,7 +61,9 @@ class Page:
         run: list[str] = []
         linked = 0
         in_link = 0
+        foreign = 0  # open elements of FOREIGN
         at = 0
+        next_tag: dict[str, re.Match | None] = {}
         tags, tokens, parents, inner = self.tags, self.tokens, self.parents, self.inner_tags
 
         def close_run() -> None:
@@ -73,6 +84,21 @@ class Page:
             if in_link:
                 linked += len(text)
 
+        def end_of(name: str) -> int:
+            """Where the open element's end tag begins, or -1 when it has none before the next start tag of its name."""
+            if name not in next_tag or next_tag[name] and next_tag[name].start() < at:
+                closing = "/" if name in TO_THE_END else "/?"
+                next_tag[name] = re.compile(rf"<{closing}{name}(?=[\s/>])", re.I).search(source, at)
+            tag = next_tag[name]
+            return tag.start() if tag and source[tag.start() + 1] == "/" else -1
+
+        def leave(depth: int) -> None:
+            """Close the open elements from the given one on."""
+            nonlocal in_link
+            for t, _ in stack[depth:]:
+                in_link -= t == "a"
+            del stack[depth:]
+
         while True:
             found = _TAG.search(source, at)
             if not found:
@@ -92,15 +118,28 @@ class Page:
                 while depth and stack[depth][0] != name:
                     depth -= 1
                 if depth:
-                    if any(t not in INLINE for t, _ in stack[depth:]):
-                        if name in INLINE:
+                    if stack[-1][1] != stack[depth - 1][1]:
+                        if stack[depth][1] == stack[depth - 1][1]:
                             continue  # an inline end tag does not close blocks
                         close_run()
-                    for t, _ in stack[depth:]:
-                        in_link -= t == "a"
-                    del stack[depth:]
+                    foreign -= sum(t in FOREIGN for t, _ in stack[depth:])
+                    leave(depth)
                 continue
+            if name == "head":
+                continue  # what it cannot hold ends it; all that it can hold has no text
             inner[stack[-1][1]] += 1
+            if foreign and (name in ENDS_PARAGRAPH or name in ENDS or name == "body"):
+                leave(next(i for i, (t, _) in enumerate(stack) if t in FOREIGN))
+                foreign = 0
+            if name in CLOSED_ONLY and (found[3].endswith("/") or end_of(name) < 0):
+                run.append(" ")
+                continue
+            if name in FOREIGN or foreign and name not in RAW and name not in INLINE:
+                run.append(" ")
+                if not found[3].endswith("/") and name not in VOID:
+                    foreign += name in FOREIGN
+                    stack.append((name, stack[-1][1]))
+                continue
             if name in INLINE:
                 if name in VOID:
                     run.append(" ")
@@ -110,12 +149,18 @@ class Page:
                     stack.append((name, stack[-1][1]))
                 continue
             if name in RAW:
-                if name not in VOID and not found[3].endswith("/"):
-                    if name == "noscript" or name == "head":
-                        end = re.compile(rf"</{name}|<body" if name == "head" else rf"</{name}", re.I).search(source, at)
-                    else:
-                        end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
-                    at = end.start() if end else len(source)
+                if not found[3].endswith("/"):
+                    end = end_of(name)
+                    if end >= 0 or name in TO_THE_END:
+                        at = end if end >= 0 else len(source)
+                    elif name == "title":
+                        start = source.find("<", at)
+                        at = start if start >= 0 else len(source)
+                run.append(" ")
+                continue
+            if name == "select":
+                end = _ENDS_SELECT.search(source, at)
+                at = end.start() if end else len(source)
                 run.append(" ")
                 continue
             close_run()
@@ -124,17 +169,13 @@ class Page:
                 while depth and stack[depth][0] in INLINE:
                     depth -= 1
                 if depth and stack[depth][0] == "p":
-                    for t, _ in stack[depth:]:
-                        in_link -= t == "a"
-                    del stack[depth:]
+                    leave(depth)
             elif name in ENDS:
                 depth = len(stack) - 1
                 while depth and stack[depth][0] not in ENDS[name] and stack[depth][0] not in CONTAINERS:
                     depth -= 1
                 if depth and stack[depth][0] in ENDS[name]:
-                    for t, _ in stack[depth:]:
-                        in_link -= t == "a"
-                    del stack[depth:]
+                    leave(depth)
             if name in VOID:
                 continue
             tags.append(name)

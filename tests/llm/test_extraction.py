@@ -33,6 +33,25 @@ def test_blocks_of_broken_html():
     assert blocks("<form>q<select><option>1</select></form>w") == ["q", "w"]
 
 
+def test_no_element_swallows_the_page():
+    def blocks(source):
+        return [t for _, t in Page(source).blocks]
+
+    assert blocks("<html><head><title>t</title><article><p>text") == ["text"]
+    assert blocks("<head><title>t</title><meta name=a><p>a<header>b</header>c") == ["a", "b", "c"]
+    assert blocks("<head><style>x</style></head><body>u") == ["u"] and blocks("<head>") == []
+    for name in ("button", "iframe", "object", "video", "audio", "svg", "math", "canvas", "noscript", "textarea", "template"):
+        assert " ".join(blocks(f"<p>a</p><{name}><p>b</p>c<{name}>d")).split() == ["a", "b", "c", "d"], name
+    assert blocks("<title>t<p>a") == ["a"] and blocks("<select><option>1<option>2<p>a</p>b") == ["a", "b"]
+    assert blocks("<select><option>1") == [] and blocks("<script>a<p>b") == []
+    assert blocks("<article><p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p><object><p>c</p></object></article>") == ["a x = 2 b", "c"]
+    assert blocks("<p>a <svg><g><path d=x /><title>t</title><text>u</text></g></svg> b</p>c") == ["a u b", "c"]
+    assert blocks("<svg><g><p>a</p></g></svg><div>b</div>") == ["a", "b"]
+    page = Page("<article><p>a <math><mi>x</mi></math> b</p></article>")
+    assert page.tags == ["#page", "article", "p"]
+    assert Page("<div>" + "<button>x" * 20_000 + "<p>a</p></div>").blocks[-1][1] == "a"
+
+
 def test_trees_learn_an_interaction():
     import numpy as np
 
