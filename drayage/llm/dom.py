@@ -36,7 +36,7 @@ _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^'
 _TOKENS = re.compile("[a-z]+").findall
 #: What a select cannot hold.
 _ENDS_SELECT = re.compile(r"</select(?=[\s/>])|<(?!/?(?:option|optgroup|hr|script|template|select)(?=[\s/>]))/?[a-z]", re.I)
-_SENTENCE = re.compile("[.!?…](?:\\s|$)")
+SENTENCE = re.compile("[.!?…](?:\\s|$)")
 
 NUMBERS = (
     "depth children place siblings same_tag chars share links_share tags_per_char longest blocks mean_block sentences "
@@ -205,7 +205,7 @@ class Page:
             linked[node] += link
             blocks[node] += 1
             longest[node] = max(longest[node], len(text))
-            sentences[node] += len(_SENTENCE.findall(text))
+            sentences[node] += len(SENTENCE.findall(text))
             if begins[node] < 0:
                 begins[node] = total
             total += len(text)

@@ -8,15 +8,16 @@ from outside to inside the main text and from there to parts cut out of it, neve
 back, so no element is kept within one that is cut.  Blocks inside are joined in
 page order.
 
-The trees are fitted on a bounded sample of the pages themselves: what lies in an
-<article> or <main> element is text, all else is not.  So that they do not hang on
-those two names, each sampled page is also laid out anew, its text among
-differently named and nested containers, menus, notices, forms and comments made
-of other pages' text.
+The trees are fitted on a bounded sample of the pages themselves, first of those
+with an <article> or <main> element: what lies in it is text, all else is not.  So
+that they do not hang on those two names, each sampled page is also laid out anew,
+its text among differently named and nested containers, menus, notices, forms and
+comments made of other pages' text.  A page without such an element teaches
+nothing as it stands; the element that holds most sentences is laid out anew.
 
 A null or empty page has no text.  Tags that are never closed, cut off or wrongly
 nested end where HTML lets them end.  A page of any length is read whole.
-Repeated rows are treated alike.  Without any page to learn from every text is
+Repeated rows are treated alike.  Without any page with text every text is
 empty; an empty table gives no rows.  Only id, url and html are read.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from drayage.llm.boosting import BoostedTrees
 from drayage.llm.common import map_batches, text_bytes
-from drayage.llm.dom import NUMBERS, Page
+from drayage.llm.dom import NUMBERS, SENTENCE, Page
 
 TRAIN_PAGES = 200
 TRAIN_CHARS = 100_000
@@ -38,15 +39,18 @@ LAYOUTS = 3
 #: Tokens that the trees know: those on this many elements of the training pages.
 TOKEN_NODES = 20
 ENTER, CUT = 1.0, 2.0
+#: Characters of a block that may be main text where no element says so.
+PROSE_CHARS = 60
 
 MAIN_TAGS = {"article", "main"}
+_MARKED = r"(?i)<(article|main)[\s/>]"
 _MAIN = re.compile(r"(<(article|main)\b[^>]*>)(.*?)(?=</\2>|\Z)", re.S | re.I)
 OUTSIDE_TAGS = {"nav", "header", "footer", "aside", "form"}
 
 # Names that pages give to containers.
 MAIN_NAMES = [
     "article", "main", "div class=content", "div id=content", "div class=post", "div class=entry-content", "section class=story",
-    "div class=article-body", "div id=main-text", "div role=main", "div itemprop=articleBody", "div class=post-body", "td class=text",
+    "div class=article-body", "div id=main-text", "div role=main", "div itemprop=articleBody", "div class=post-body", "td class=text", "div", "section", "td",
 ]
 WRAP_NAMES = ["div class=page", "div id=wrapper", "div class=container", "section", "div class=row", "div", "main", "div class=layout"]
 LIST_NAMES = [
@@ -204,25 +208,57 @@ def _shortened(source: str) -> str:
     return source[: found.start(3)] + inner + source[found.end(3) :]
 
 
+def _prose(page: Page) -> list[bool]:
+    """Which blocks of a page without main element read like its text: those of the element that holds most sentences, but links."""
+    outside = [False] * len(page.tags)
+    for i in range(1, len(page.tags)):
+        outside[i] = outside[page.parents[i]] or page.tags[i] in OUTSIDE_TAGS
+    fit = [not outside[node] and 2 * link < len(text) for (node, text), link in zip(page.blocks, page.links)]
+    told = [0] * len(page.tags)
+    for f, (node, text) in zip(fit, page.blocks):
+        if f and len(text) >= PROSE_CHARS and SENTENCE.search(text):
+            told[max(0, page.parents[node])] += len(text)
+    if any(told):
+        inside = [False] * len(page.tags)
+        inside[told.index(max(told))] = True
+        for i in range(1, len(page.tags)):
+            inside[i] = inside[i] or inside[page.parents[i]]
+        return [f and inside[node] for f, (node, _) in zip(fit, page.blocks)]
+    most = max((len(text) for f, (_, text) in zip(fit, page.blocks) if f), default=0)
+    return [f and len(text) == most for f, (_, text) in zip(fit, page.blocks)]
+
+
 def fit(sources: list[str]) -> Model | None:
     """Train on pages; None when they hold no text."""
     draw = random.Random(5)
-    real = [p for p in map(Page, sources) if p.blocks]
-    labelled = [(p, _labels(p)) for p in real]
-    mains = [[t for node, t in p.blocks if y[node]] for p, y in labelled]
+    real, mains, other = [], [], []
+    for source in sources:
+        page = Page(source)
+        if not page.blocks:
+            continue
+        y = _labels(page)
+        if any(tag in MAIN_TAGS for tag in page.tags):
+            real.append((page, y))
+            mains.append([t for node, t in page.blocks if y[node]])
+            other += [t for _, t in page.blocks]
+        else:
+            prose = _prose(page)
+            mains.append([t for p, (_, t) in zip(prose, page.blocks) if p])
+            other += [t for p, (_, t) in zip(prose, page.blocks) if not p]
     mains = [m for m in mains if m]
-    other = [t for p, _ in labelled for _, t in p.blocks]
+    if not mains:
+        return None
+    other = other or [t for m in mains for t in m]
+    labelled = list(real)
     for main in mains:
         for _ in range(LAYOUTS):
             short = main[: draw.randint(1, 2)] if draw.random() < 0.3 else main
             page, y = _layout_nodes(_layout(draw, short, other))
             if len(page.tags) == len(y):
                 labelled.append((page, y))
-    if not mains:
-        return None
-    labelled += labelled[: len(real)]
-    brief = [p for p in map(Page, map(_shortened, sources)) if p.blocks]
-    labelled += [(p, _labels(p)) for p in brief]
+    labelled += real
+    brief = [Page(_shortened(s)) for s in sources if _MAIN.search(s)]
+    labelled += [(p, _labels(p)) for p in brief if p.blocks and any(tag in MAIN_TAGS for tag in p.tags)]
     counts: dict[str, int] = {}
     for page, _ in labelled:
         for tag, names in zip(page.tags, page.tokens):
@@ -235,12 +271,14 @@ def fit(sources: list[str]) -> Model | None:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Model | None:
-    """Fit on at most TRAIN_PAGES pages, chosen by a hash of their id."""
-    ids = pages.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull()).distinct()
-    chosen = ids.orderBy(F.xxhash64("id"), "id").limit(TRAIN_PAGES)
-    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).join(F.broadcast(chosen), "id")
-    rows = rows.filter(F.length("html") <= TRAIN_CHARS).dropDuplicates(["id"])
-    return fit([r.html for r in sorted(rows.collect(), key=lambda r: str(r.id))])
+    """Fit on the beginnings of at most TRAIN_PAGES pages, those with a main element first, chosen by a hash of their id."""
+    html = F.substring(F.col(html_col), 1, TRAIN_CHARS)
+    rows = pages.select(F.col(id_col).alias("id"), html.alias("html")).filter("id is not null and html <> ''")
+    rows = rows.withColumn("marked", F.col("html").rlike(_MARKED))
+    ids = rows.groupBy("id").agg(F.max("marked").alias("marked"))
+    chosen = ids.orderBy(F.desc("marked"), F.xxhash64("id"), "id").limit(TRAIN_PAGES)
+    found = rows.join(F.broadcast(chosen), ["id", "marked"]).groupBy("id").agg(F.min("html").alias("html"))
+    return fit([r.html for r in sorted(found.collect(), key=lambda r: str(r.id))])
 
 
 def main_texts(pages: DataFrame, model: Model | None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -91,6 +91,32 @@ def test_given_pages_and_held_out_layouts(spark, model):
     assert right >= 0.85 * total
 
 
+@pytest.mark.parametrize("marked", [0, 5, 200])
+def test_pages_without_main_elements(spark, marked):
+    """Where few pages or none have <article>, the others' text is found all the same."""
+    rows = spark.read.parquet(DATA.replace("0.001", "0.01") + "/pages.parquet").orderBy("page_id").collect()
+    names = [("div", "div"), ("section", "section"), ("div class=content", "div")]
+
+    def plain(i, source):
+        opening, closing = names[i % len(names)]
+        return source.replace("<article>", f"<{opening}>").replace("</article>", f"</{closing}>")
+
+    assert all("<article>" in r.html for r in rows)
+    mixed = [(r.page_id, r.html if i < marked else plain(i, r.html), article_blocks(r.html)) for i, r in enumerate(rows)]
+    pages = spark.createDataFrame([m[:2] for m in mixed], "page_id long, html string")
+    model = extraction.train(pages)
+    texts = extraction.extract([Page(html) for _, html, _ in mixed], model)
+    same = [t == want for t, (_, _, want) in zip(texts, mixed)]
+    assert sum(same[marked:]) >= 0.8 * len(same[marked:]), (sum(same[:marked]), sum(same[marked:]))
+    assert sum(same[:marked]) >= 0.8 * marked, (sum(same[:marked]), sum(same[marked:]))
+
+
+def test_long_pages_teach_too(spark):
+    page = "<nav><a href=x>menu</a></nav><article>" + "<p>Some long text, told at length.</p>" * 4000 + "</article>"
+    pages = spark.createDataFrame([(i, page) for i in range(20)], "page_id long, html string")
+    assert extraction.train(pages) is not None
+
+
 def test_query_and_odd_pages(spark, model):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     found = {r.page_id: r for r in queries.op5_html_extraction(spark, DATA).collect()}
