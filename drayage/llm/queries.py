@@ -3,7 +3,21 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from drayage.llm import bpe, exact_dedup, extraction, fingerprints, near_dedup, packing, sharding, tool_calls, toxicity, urls
+from drayage.llm import (
+    bpe,
+    exact_dedup,
+    extraction,
+    fingerprints,
+    lexical,
+    mixing,
+    near_dedup,
+    packing,
+    sharding,
+    tool_calls,
+    toxicity,
+    urls,
+    whitening,
+)
 from drayage.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -96,6 +110,20 @@ def op10_sharding(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, directory: str) -> DataFrame:
+    found = lexical.search(read(spark, directory, "benchmark"), read(spark, directory, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op12_whitening(spark: SparkSession, directory: str) -> DataFrame:
+    return whitening.whiten(read(spark, directory, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    services = mixing.queue(read(spark, directory, "documents"))
+    return mixing.taken(services).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -109,6 +137,9 @@ QUERIES = {
         op8_toxicity,
         op9_fingerprints,
         op10_sharding,
+        op11_lexical_search,
+        op12_whitening,
+        op13_mixing,
     )
 }
 

@@ -69,6 +69,58 @@ SELECT id, name, call_turn, result_turn,
 FROM e
 """
 
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+# doc_id is unique and not null in the given tables, as is item_id
+OP11 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+     c AS (SELECT count(*) FILTER (len(ts) > 0) AS docs, sum(len(ts))::BIGINT AS terms FROM d),
+     q AS (SELECT item_id, term, count(*) AS times
+           FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+     f AS (SELECT doc_id, size, term, count(*) AS tf
+           FROM (SELECT doc_id, len(ts) AS size, unnest(ts) AS term FROM d) GROUP BY ALL),
+     w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+           FROM f, c WHERE term IN (SELECT term FROM q) GROUP BY term),
+     s AS (SELECT item_id, doc_id,
+                  sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * size * docs) // terms))))::BIGINT
+                      AS score
+           FROM q JOIN w USING (term) JOIN f USING (term), c GROUP BY ALL),
+     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+           FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+OP13 = r"""
+WITH d AS (
+    SELECT doc_id AS id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+u AS (SELECT *, row_number() OVER (PARTITION BY source, id, size) AS copy FROM d),
+p AS (SELECT *, ('0x' || substr(md5(coalesce(id::VARCHAR, '') || '|' || copy || '|mix'), 1, 15))::BIGINT AS place FROM u),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM p GROUP BY source),
+w AS (SELECT *, [3, 1, 2][((rank - 1) % 3 + 1)::INTEGER] AS weight, 2 * source_size AS most FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY most / weight, rank) AS n FROM w),
+-- the level if all before are full
+l AS (SELECT n, most, weight,
+             ((SELECT sum(source_size) FROM s)::BIGINT * 150 / 100.0::DOUBLE
+              - coalesce(sum(most) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+             / sum(weight) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS level
+      FROM o),
+v AS (SELECT coalesce(min_by(level, n) FILTER (most > weight * level), 0) AS level FROM l),
+t AS (SELECT source, source_size, rank, least(most::DOUBLE, weight * level) AS target FROM w, v),
+q AS (SELECT p.*, t.source_size, t.rank, t.target, ceil(t.target)::BIGINT AS cut,
+             sum(size) OVER (PARTITION BY t.rank ORDER BY place, id, size, copy) - size AS start
+      FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, greatest(0, least(size, cut - start - pass * source_size))::BIGINT AS words,
+             (start + pass * source_size)::BIGINT AS begun
+      FROM q, (VALUES (0), (1)) AS x(pass)),
+g AS (SELECT *, sum(words) OVER (ORDER BY (begun + words) / target, rank, place, id, size, copy, pass) - words AS position
+      FROM e WHERE words > 0),
+k AS (SELECT rank, id, size, copy,
+             sum(greatest(0, least(words, (SELECT sum(source_size) FROM s)::BIGINT * 150 // 100 - position)))::BIGINT AS taken
+      FROM g GROUP BY ALL)
+SELECT q.id AS doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0) AS taken
+FROM q LEFT JOIN k ON q.rank = k.rank AND q.id = k.id AND q.size = k.size AND q.copy = k.copy
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op4_url_filter": OP4, "op7_tool_calls": OP7}
+    return {"op1_exact_dedup": OP1, "op4_url_filter": OP4, "op7_tool_calls": OP7, "op11_lexical_search": OP11, "op13_mixing": OP13}
