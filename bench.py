@@ -48,6 +48,7 @@ def main():
     from pyspark.sql import SparkSession
 
     from drayage.registry import REPORTS
+    from drayage.plans.states import STATES
     from drayage.schemas import TABLES
     from drayage.sources.mart import SourceMart
 
@@ -75,8 +76,10 @@ def main():
     seconds, builds = {}, []
     for _ in range(4):
         mart = SourceMart(spark, directory)
+        # the lines meet their orders with the routes, the first table made from them
         builds.append({table: timed(lambda: getattr(mart, read)) for table, read in reads.items()})
-    for table in TABLES:
+        builds[-1] |= {"states": timed(lambda: [mart.state(name) for name in STATES])}
+    for table in [*TABLES, "states"]:
         seconds[f"build_{table}"] = statistics.median(build[table] for build in builds[1:])
 
     def run(name):

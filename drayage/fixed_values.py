@@ -32,55 +32,10 @@ DELAY_REASONS = [
 ]
 METHODS = ["manual_dispatch", "or_tools_cvrp", "greedy_nearest"]
 
-# Percentage of stops per outcome, of routes per method, of
-# orders per status and per priority.
-STOP_STATUS_SHARES = [("completed", 90), ("attempted", 5), ("rescheduled", 3), ("skipped", 2)]
-METHOD_SHARES = [("manual_dispatch", 30), ("or_tools_cvrp", 40), ("greedy_nearest", 30)]
-ORDER_STATUS_SHARES = [
-    ("delivered", 88),
-    ("in_transit", 6),
-    ("pending", 3),
-    ("cancelled", 2),
-    ("returned", 1),
-]
-
-# How actuals deviate from plan, per dispatch method.
-# method -> lowest factor, number of 0.01 steps above it
-MILES_FACTORS = {
-    "or_tools_cvrp": (D("0.95"), 15),
-    "greedy_nearest": (D("1.00"), 20),
-    "manual_dispatch": (D("1.05"), 30),
-}
-DURATION_FACTORS = {
-    "or_tools_cvrp": (D("0.92"), 20),
-    "greedy_nearest": (D("1.00"), 25),
-    "manual_dispatch": (D("1.05"), 35),
-}
-COST_FACTORS = {
-    "or_tools_cvrp": (D("0.90"), 18),
-    "greedy_nearest": (D("0.98"), 20),
-    "manual_dispatch": (D("1.02"), 30),
-}
-
 # Cost per stop and minutes per planned mile.
 STOP_COST_USD = D("3.50")
 MINUTES_PER_MILE = D("1.2")
 
-# Share of late stops in percent, shortest delay, delay spread.
-LATE_SHARE = 12
-DELAY_MIN = 5
-DELAY_SPREAD = 45
-
-# Our own choice: what is drawn for each stop, and out of how many values.
-STOP_DRAWS = {
-    "late_draw": 100,
-    "delay_draw": DELAY_SPREAD,
-    "reason_draw": len(DELAY_REASONS),
-    "service_draw": 12,
-    "status_draw": 100,
-    "slack_draw": 5,
-}
-
 # Demand factor per month, per day of week (1 = Sunday) and per
 # depot class; months and days not listed count 1.0.
 MONTH_FACTORS = {
@@ -94,45 +49,6 @@ MONTH_FACTORS = {
 WEEKDAY_FACTORS = {1: D("0.10"), 2: D("1.15"), 6: D("0.90"), 7: D("0.35")}
 DEPOT_CLASS_FACTORS = {"busy": D("1.5"), "regular": D("1.1"), "small": D("0.7")}
 
-# Planned miles per depot class: lowest, number of 1-mile steps.
-CLASS_MILES = {"busy": (25, 40), "regular": (35, 60), "small": (60, 90)}
-
-# Client programs by rank, with the share of demand in percent
-# and the package range: lbs low, lbs steps, cuft low, cuft steps.
-CLIENT_PROFILES = [
-    ("A", 35, 15, 80, D("2"), 15),
-    ("B", 25, 5, 30, D("1"), 8),
-    ("C", 20, 50, 200, D("8"), 30),
-    ("D", 12, 10, 50, D("1"), 12),
-    ("E", 8, 2, 25, D("0.5"), 5),
-]
-
-# Street names of generated addresses.
-STREETS = [
-    "Main St",
-    "Oak Ave",
-    "Industrial Blvd",
-    "Commerce Dr",
-    "Elm St",
-    "Park Rd",
-    "Maple Ln",
-    "Warehouse Way",
-]
-
-# Size of the driver pool and its first number.
-DRIVER_POOL = 80
-FIRST_DRIVER = 100
-
-# Our own choice: the five client programs present in the source, in order,
-# with the weight in lbs and the volume in cuft of one ordered unit.
-CLIENT_UNITS = [
-    ("AUTOMOBILE", "A", D("6"), D("0.50")),
-    ("BUILDING", "B", D("9"), D("0.75")),
-    ("FURNITURE", "C", D("8"), D("1.25")),
-    ("HOUSEHOLD", "D", D("4"), D("0.40")),
-    ("MACHINERY", "E", D("12"), D("0.60")),
-]
-
 # Our own choice: source order codes -> mart values.
 PRIORITY_CODES = {"1-URGENT": "express", "2-HIGH": "priority"}
 STATUS_CODES = {"F": "delivered", "O": "in_transit", "P": "pending"}
@@ -145,3 +61,45 @@ PRIORITY_RATES = {
     "4-NOT SPECIFIED": D("0.15"),
     "5-LOW": D("0.05"),
 }
+
+# Our own choice: how the source columns are read as deliveries.
+# days from order to requested delivery per source priority, and for any other
+PROMISE_DAYS = {"1-URGENT": 5, "2-HIGH": 10, "3-MEDIUM": 20}
+PROMISE_DAYS_ELSE = 30
+# delivery window in minutes after midnight per source priority, and for any other
+WINDOWS = {"1-URGENT": (420, 720), "2-HIGH": (480, 840), "3-MEDIUM": (540, 1020)}
+WINDOW_ELSE = (600, 1140)
+# the order data run over years, a delivery day over minutes: days overdue for a minute of delay
+DAYS_PER_DELAY_MINUTE = 30
+# outcome of a stop and cause of a delay per (return flag, line status)
+OUTCOMES = {
+    ("N", "F"): "completed",
+    ("N", "O"): "completed",
+    ("A", "F"): "completed",
+    ("A", "O"): "attempted",
+    ("R", "F"): "rescheduled",
+    ("R", "O"): "skipped",
+}
+REASONS = {
+    ("N", "F"): "traffic",
+    ("N", "O"): "weather",
+    ("A", "F"): "access_issue",
+    ("A", "O"): "customer_not_available",
+    ("R", "F"): "vehicle_breakdown",
+    ("R", "O"): "customer_not_available",
+}
+# pounds and cubic feet of one ordered unit for each step of the part's size
+LBS_PER_SIZE = D("0.2")
+CUFT_PER_SIZE = D("0.02")
+# planned minutes at a stop; real minutes: a fixed part and one for so many units
+STOP_MINUTES = 6
+SERVICE_MINUTES = 3
+UNITS_PER_MINUTE = 5
+# part of a line's charge (price, less discount, plus tax) that its delivery costs
+FREIGHT_SHARE = D("0.005")
+# most stops of a route laid out by hand, and by the nearest-stop rule
+MANUAL_STOPS = 5
+GREEDY_STOPS = 10
+# account balances under which a vehicle counts as retired, or in maintenance
+RETIRED_BELOW = -500
+MAINTENANCE_BELOW = 0

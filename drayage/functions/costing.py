@@ -1,81 +1,68 @@
 """Planning arithmetic for routes and stops, in exact decimals."""
 
-from decimal import Decimal
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from drayage import fixed_values as fv
-from drayage.functions.draws import format_id, hash_bucket, with_draws
+from drayage.functions.draws import format_id
+from drayage.functions.metrics import haversine_miles
 
 
 def plan_cost(daily_fixed: Column, miles: Column, per_mile: Column, stops: Column) -> Column:
     return F.round(daily_fixed + miles * per_mile + stops * F.lit(fv.STOP_COST_USD), 2)
 
 
-def plan_duration(stops: Column, minutes_per_stop: Column, miles: Column) -> Column:
+def plan_duration(stops: Column, minutes_per_stop, miles: Column) -> Column:
     return F.round(stops * minutes_per_stop + miles * F.lit(fv.MINUTES_PER_MILE), 1)
 
 
-def minutes_per_stop(keys) -> Column:
-    """4.5 to 7.4 minutes, in steps of 0.1."""
-    return hash_bucket(keys, "dur", 30) * F.lit(Decimal("0.1")) + F.lit(Decimal("4.5"))
-
-
-def _by_name(name: Column, ranges: dict) -> tuple[Column, Column]:
-    """Low end and number of steps of the named range."""
-    low = steps = None
-    for key, (first, count) in ranges.items():
-        hit = name == F.lit(key)
-        low = F.when(hit, F.lit(first)) if low is None else low.when(hit, F.lit(first))
-        steps = F.when(hit, F.lit(count)) if steps is None else steps.when(hit, F.lit(count))
-    return low, steps
-
+def lookup(keys: tuple[Column, ...], values: dict) -> Column:
+    """The value listed for the keys; null for any others."""
+    chosen = F.lit(None)
+    for key, value in values.items():
+        key = key if isinstance(key, tuple) else (key,)
+        hit = F.lit(True)
+        for column, wanted in zip(keys, key):
+            hit = hit & (column == F.lit(wanted))
+        chosen = F.when(hit, F.lit(value)).otherwise(chosen)
+    return chosen
 
-def actual_from_plan(planned: Column, method: Column, keys, salt: str, factors: dict, scale: int) -> Column:
-    """planned times a factor drawn from the range of the method."""
-    low, steps = _by_name(method, factors)
-    return F.round(planned * (hash_bucket(keys, salt, steps) * F.lit(Decimal("0.01")) + low), scale)
 
+def freight(price: Column, discount: Column, tax: Column) -> Column:
+    """What the delivery of a line costs: a share of price, less discount, plus tax."""
+    exact = [c.cast("decimal(14,2)") for c in (price, discount, tax)]
+    charge = (exact[0] * (F.lit(1) - exact[1])).cast("decimal(20,4)") * (F.lit(1) + exact[2])
+    return (charge.cast("decimal(22,6)") * F.lit(fv.FREIGHT_SHARE)).cast("decimal(24,8)")
 
-def class_miles(depot_class: Column, keys) -> Column:
-    """Planned miles drawn from the range of the depot class."""
-    low, steps = _by_name(depot_class, fv.CLASS_MILES)
-    return low + hash_bucket(keys, "miles", steps)
 
+def service_minutes(quantity: Column) -> Column:
+    return (F.lit(fv.SERVICE_MINUTES) + F.floor(quantity / fv.UNITS_PER_MINUTE)).cast("int")
 
-def capped_stops(max_stops: Column, depot_class: Column, keys) -> Column:
-    """Stop target for a vehicle, bounded by what it may carry.
 
-    Busy depots plan 8 or more but never above the limit; small ones stay near
-    half the limit; the others plan 5 or more.  All in whole stops.
-    """
-
-    busy, small = depot_class == "busy", depot_class == "small"
-    half = F.floor(max_stops / 2).cast("int")
-    spread = F.when(busy, max_stops - 5).when(small, half - 2).otherwise(max_stops - 7)
-    low = F.when(busy, 8).when(small, 3).otherwise(5)
-    target = low + hash_bucket(keys, "stops", F.greatest(spread, F.lit(1)))
-    return F.when(busy, F.least(max_stops, target)).otherwise(target)
+def delay_minutes(requested: Column, shipped: Column) -> Column:
+    """Minutes late: days past the requested one, on the scale of a delivery day; 0 if unknown or in time."""
+    overdue = F.greatest(F.datediff(shipped, requested), F.lit(0))
+    return F.coalesce(F.floor(overdue / fv.DAYS_PER_DELAY_MINUTE).cast("int"), F.lit(0))
 
 
-def driver_id(vehicle_id: Column, date: Column) -> Column:
-    """The same vehicle and day always get the same driver of the pool."""
-    number = hash_bucket([vehicle_id, date], "driver", fv.DRIVER_POOL) + fv.FIRST_DRIVER
-    return format_id("DRV-", number, 3)
+def round_trip(lat1, lon1, lat2, lon2) -> Column:
+    """Miles there and back in a straight line, in tenths."""
+    return (haversine_miles(lat1, lon1, lat2, lon2) * 2).cast("decimal(18,1)")
 
 
-def with_stop_draws(stops: DataFrame) -> DataFrame:
-    """Everything that is drawn for a stop, keyed by route and sequence."""
-    return with_draws(stops, ["route_id", "stop_sequence"], "stop", fv.STOP_DRAWS)
+def layout_method(stops: Column) -> Column:
+    """How a route of so many stops is laid out."""
+    by_hand, nearest = stops <= fv.MANUAL_STOPS, stops <= fv.GREEDY_STOPS
+    return F.when(by_hand, "manual_dispatch").when(nearest, "greedy_nearest").otherwise("or_tools_cvrp")
 
 
-def delay_minutes(late_draw: Column, delay_draw: Column) -> Column:
-    return F.when(late_draw < fv.LATE_SHARE, delay_draw + fv.DELAY_MIN).otherwise(0)
+def stop_target(max_stops: Column, observed: Column) -> Column:
+    """Stops to plan for a vehicle: what it has had on average, rounded up, within its limit."""
+    return F.least(max_stops, F.coalesce(F.ceil(observed), F.lit(0)).cast("int"))
 
 
-def delay_reason(delay: Column, reason_draw: Column) -> Column:
-    reasons = F.array(*[F.lit(r) for r in fv.DELAY_REASONS])
-    return F.when(delay > 0, F.element_at(reasons, reason_draw + 1))
+def driver_id(vehicle_no: Column) -> Column:
+    """The driver of a vehicle, the same every day."""
+    return format_id("DRV-", vehicle_no, 3)
 
 
 def minutes_into_route(sequence: Column, duration: Column, stops: Column) -> Column:
@@ -95,14 +82,10 @@ def after(ts: Column, minutes: Column) -> Column:
     return ts + F.make_dt_interval(zero, zero, minutes)
 
 
-def stop_timeline(day: Column, offset: Column, delay: Column, service: Column, slack: Column):
-    """Planned and actual arrival and departure; the working day starts at 07:00.
-
-    On-time stops arrive up to four minutes (the slack) after plan, late ones by
-    their delay.
-    """
+def stop_timeline(day: Column, offset: Column, delay: Column, service: Column):
+    """Planned and actual arrival and departure; the working day starts at 07:00."""
     start, planned = day.cast("timestamp_ntz"), offset + 7 * 60
-    actual = planned + F.when(delay > 0, delay).otherwise(slack)
+    actual = planned + delay
     return {
         "planned_arrival": after(start, planned),
         "actual_arrival": after(start, actual),

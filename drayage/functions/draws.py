@@ -1,13 +1,10 @@
-"""Reproducible draws: the same key and salt always give the same value.
+"""Reproducible buckets and ids: the same key always gives the same value.
 
-A draw is a bucket number taken from the first 32 bits of an md5 digest, so it
-does not depend on the engine, the partitioning or the order of rows.  All
-expressions are narrow and stay inside generated code.
+A bucket number is taken from the first 32 bits of an md5 digest, so it does not
+depend on the engine, the partitioning or the order of rows.
 """
 
-from decimal import Decimal
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 
 def _cols(keys):
@@ -22,62 +19,7 @@ def hash_bucket(keys, salt: str, n) -> Column:
     return (prefix % n).cast("int")
 
 
-def with_draws(df: DataFrame, keys, salt: str, sizes: dict[str, int]) -> DataFrame:
-    """Add several independent draws, {column: n}, that share one digest.
-
-    The digest is read as a 60-bit number and the draws are its mixed-radix
-    digits, so long tables pay for one md5 per row rather than one per draw.
-    """
-    text = F.concat_ws("|", *[c.cast("string") for c in _cols(keys)], F.lit(salt))
-    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-    digits, radix = {}, 1
-    for name, n in sizes.items():
-        digits[name] = (F.call_function("div", F.col("__digest"), F.lit(radix).cast("long")) % n).cast("int")
-        radix *= n
-    if radix > 2**50:
-        raise ValueError("too many draws for one digest")
-    return df.withColumn("__digest", number).withColumns(digits).drop("__digest")
-
-
-def weighted_category(keys, salt: str, shares) -> Column:
-    """Label drawn with the given percentage shares, [(label, percent), ...]."""
-    return label_of(hash_bucket(keys, salt, sum(weight for _, weight in shares)), shares)
-
-
-def label_of(draw: Column, shares) -> Column:
-    """Label whose share of [0, total) holds the draw."""
-    reached, chosen = 0, None
-    for label, weight in shares[:-1]:
-        reached += weight
-        hit = draw < reached
-        chosen = F.when(hit, label) if chosen is None else chosen.when(hit, label)
-    last = F.lit(shares[-1][0])
-    return last if chosen is None else chosen.otherwise(last)
-
-
-def pick(keys, salt: str, values) -> Column:
-    """One of the literal values, all equally likely."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), hash_bucket(keys, salt, len(values)) + 1)
-
-
-def jitter(value: Column, keys, salt: str, percent: int) -> Column:
-    """value moved by a whole percentage in [-percent, +percent)."""
-    return value * (hash_bucket(keys, salt, 2 * percent) + (100 - percent)) * F.lit(Decimal("0.01"))
-
-
-def geo_jitter(degrees: Column, keys, salt: str, thousandths: int = 400) -> Column:
-    """Coordinate moved by up to the given number of 0.001 degrees each way."""
-    step = hash_bucket(keys, salt, 2 * thousandths) - thousandths
-    return (F.round(degrees * 1000).cast("long") + step) / F.lit(1000.0)
-
-
 def format_id(prefix: str, number: Column, width: int) -> Column:
     """prefix plus the zero-padded number; longer numbers keep every digit."""
     digits = number.cast("string")
     return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0")))
-
-
-def street_address(keys, streets) -> Column:
-    """House number and street name drawn from the key."""
-    number = (hash_bucket(keys, "addr", 9000) + 1000).cast("string")
-    return F.concat_ws(" ", number, pick(keys, "street", streets))

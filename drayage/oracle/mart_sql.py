@@ -1,5 +1,7 @@
 """The mart as plain SQL common table expressions over the source tables."""
 
+from drayage import fixed_values as fv
+
 
 def draw(key: str, salt: str, n) -> str:
     """Bucket in [0, n) from the first 32 bits of md5(key|salt)."""
@@ -25,16 +27,30 @@ def pct(part: str, whole: str, digits: int = 1) -> str:
     return rnd(f"CAST({part} AS DOUBLE) * 100e0 / nullif(CAST({whole} AS DOUBLE), 0e0)", digits)
 
 
-VT = "VALUES (0,'sprinter_van',3500,350,25,'diesel',0.42,125.00),(1,'box_truck',8000,800,18,'diesel',0.68,195.00),(2,'26ft_truck',12000,1500,12,'diesel',0.85,275.00),(3,'cargo_van',2800,280,30,'gasoline',0.38,95.00),(4,'refrigerated_van',4000,300,20,'diesel',0.72,225.00),(5,'flatbed',15000,2000,8,'diesel',0.95,310.00)"
+def values(rows) -> str:
+    """Literal rows from the fixed values."""
+    text = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    return "VALUES " + ", ".join("(" + ", ".join(map(text, row)) + ")" for row in rows)
+
+
+def named(column: str, pairs: dict, other: str) -> str:
+    """CASE over the listed values of one column."""
+    hits = "".join(f" WHEN '{k}' THEN {repr(v)}" for k, v in pairs.items())
+    return f"CASE {column}{hits} ELSE {other} END"
+
+
+def kinds(pairs: dict) -> str:
+    """Rows (return flag, line status, value)."""
+    return values((flag, status, value) for (flag, status), value in pairs.items())
 
-UNITS = "VALUES ('AUTOMOBILE','A',6.00,0.50),('BUILDING','B',9.00,0.75),('FURNITURE','C',8.00,1.25),('HOUSEHOLD','D',4.00,0.40),('MACHINERY','E',12.00,0.60)"
 
 VEHICLE_NO = "'VH-' || " + pad("s_suppkey", 3)
-ROUTE_NO = "'RT-' || " + pad("l_suppkey", 3) + " || '-' || strftime(l_shipdate, '%Y%m')"
+MILES = "2 * 3958.8e0 * asin(sqrt(least(1e0, pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin((radians({lon2}) - radians({lon1})) / 2), 2))))"
 
 
-def order_no(column: str) -> str:
-    return "'ORD-' || " + pad(column, 6)
+def miles(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """Great-circle distance."""
+    return MILES.format(lat1=lat1, lon1=lon1, lat2=lat2, lon2=lon2)
 
 
 CTES = {
@@ -45,127 +61,95 @@ CTES = {
              r_name AS service_region,
              CASE WHEN n_nationkey % 8 < 3 THEN 'busy' WHEN n_nationkey % 8 < 5 THEN 'regular' ELSE 'small' END AS depot_class
       FROM nation JOIN region ON n_regionkey = r_regionkey""",
-    "m_types": f"SELECT * FROM ({VT}) AS t(type_no, vehicle_type, wt, vol, max_stops, fuel, cpm, fixed)",
-    "m_units": f"SELECT * FROM ({UNITS}) AS t(client_id, client_rank, unit_wt, unit_vol)",
-    "m_fleet": f"""
-      SELECT {VEHICLE_NO} AS vehicle_id, d.depot_id, t.*
-      FROM supplier s LEFT JOIN m_types t ON s.s_suppkey % 6 = t.type_no
-      LEFT JOIN m_depots d ON s.s_nationkey = d.n_nationkey""",
+    "m_types": f"""SELECT * FROM ({values((i, *row) for i, row in enumerate(fv.VEHICLE_TYPES))})
+      AS t(type_no, vehicle_type, wt, vol, max_stops, fuel, cpm, fixed)""",
     "m_vehicles": f"""
-      SELECT vehicle_id, vehicle_type,
-             CAST((wt * (90 + {draw('vehicle_id', 'cap_wt', 20)})) // 100 AS INTEGER) AS capacity_weight_lbs,
-             CAST((vol * (90 + {draw('vehicle_id', 'cap_vol', 20)})) // 100 AS INTEGER) AS capacity_volume_cuft,
-             max_stops AS max_stops_per_route, depot_id,
-             CASE WHEN {draw('vehicle_id', 'fuel', 10)} < 2 THEN 'electric'
-                  WHEN {draw('vehicle_id', 'fuel', 10)} = 2 THEN 'hybrid' ELSE fuel END AS fuel_type,
-             CAST(round(cpm * (90 + {draw('vehicle_id', 'cpm', 20)}) * 0.01, 2) AS DECIMAL(18,2)) AS cost_per_mile_usd,
-             CAST(round(fixed * (90 + {draw('vehicle_id', 'fixed', 20)}) * 0.01, 2) AS DECIMAL(18,2)) AS daily_fixed_cost_usd,
-             CASE WHEN {draw('vehicle_id', 'status', 20)} = 0 THEN 'maintenance'
-                  WHEN {draw('vehicle_id', 'status', 40)} = 1 THEN 'retired' ELSE 'active' END AS status
-      FROM m_fleet""",
-    "m_line_units": "SELECT l_orderkey, CAST(sum(l_quantity) AS DECIMAL(16,0)) AS units FROM lineitem GROUP BY l_orderkey",
-    "m_placed": f"""
-      SELECT o.*, {order_no('o_orderkey')} AS order_id, c.c_mktsegment AS client_id, d.depot_id, d.lat, d.lon,
-             d.service_region, coalesce(l.units, 0) AS units, u.unit_wt, u.unit_vol
-      FROM orders o LEFT JOIN customer c ON o_custkey = c_custkey
-      LEFT JOIN m_depots d ON c_nationkey = d.n_nationkey
-      LEFT JOIN m_line_units l ON o_orderkey = l_orderkey
-      LEFT JOIN m_units u ON c_mktsegment = u.client_id""",
+      SELECT CAST(s_suppkey AS BIGINT) AS vehicle_no, {VEHICLE_NO} AS vehicle_id, vehicle_type,
+             CAST(wt AS INTEGER) AS capacity_weight_lbs, CAST(vol AS INTEGER) AS capacity_volume_cuft,
+             CAST(max_stops AS INTEGER) AS max_stops_per_route, d.depot_id, fuel AS fuel_type,
+             CAST(cpm AS DECIMAL(18,2)) AS cost_per_mile_usd, CAST(fixed AS DECIMAL(18,2)) AS daily_fixed_cost_usd,
+             CASE WHEN s_acctbal < {fv.RETIRED_BELOW} THEN 'retired' WHEN s_acctbal < {fv.MAINTENANCE_BELOW} THEN 'maintenance'
+                  WHEN s_acctbal >= {fv.MAINTENANCE_BELOW} THEN 'active' END AS status
+      FROM supplier LEFT JOIN m_types ON s_suppkey % {len(fv.VEHICLE_TYPES)} = type_no
+      LEFT JOIN m_depots d ON s_nationkey = d.n_nationkey""",
+    "m_bulk": """
+      SELECT l_orderkey, sum(CAST(l_quantity AS DECIMAL(14,2)) * p_size) AS bulk
+      FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey""",
     "m_orders": f"""
-      SELECT order_id, client_id, depot_id,
-             CAST(1000 + {draw('order_id', 'addr', 9000)} AS VARCHAR) || ' ' ||
-               CASE {draw('order_id', 'street', 8)} WHEN 0 THEN 'Main St' WHEN 1 THEN 'Oak Ave'
-                 WHEN 2 THEN 'Industrial Blvd' WHEN 3 THEN 'Commerce Dr' WHEN 4 THEN 'Elm St'
-                 WHEN 5 THEN 'Park Rd' WHEN 6 THEN 'Maple Ln' ELSE 'Warehouse Way' END AS destination_address,
-             (CAST(lat AS BIGINT) * 1000 + {draw('order_id', 'lat', 800)} - 400) / 1000e0 AS destination_lat,
-             (CAST(lon AS BIGINT) * 1000 + {draw('order_id', 'lon', 800)} - 400) / 1000e0 AS destination_lon,
-             CAST(o_orderdate AS DATE) AS requested_date,
-             CAST(60 * (7 + {draw('order_id', 'tw_start', 6)}) AS INTEGER) AS window_start_min,
-             CAST(60 * (13 + {draw('order_id', 'tw_end', 7)}) AS INTEGER) AS window_end_min,
-             lpad(CAST(7 + {draw('order_id', 'tw_start', 6)} AS VARCHAR), 2, '0') || ':00:00' AS time_window_start,
-             lpad(CAST(13 + {draw('order_id', 'tw_end', 7)} AS VARCHAR), 2, '0') || ':00:00' AS time_window_end,
-             CAST(units * unit_wt AS DECIMAL(18,2)) AS package_weight_lbs,
-             CAST(units * unit_vol AS DECIMAL(18,2)) AS package_volume_cuft,
-             service_region,
-             CASE o_orderpriority WHEN '1-URGENT' THEN 'express' WHEN '2-HIGH' THEN 'priority' ELSE 'standard' END AS priority,
-             CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'in_transit' ELSE 'pending' END AS status,
-             strftime(o_orderdate, '%Y-%m') AS requested_month
-      FROM m_placed""",
-    "m_route_base": f"""
-      SELECT {ROUTE_NO} AS route_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS route_date,
-             'VH-' || {pad('l_suppkey', 3)} AS vehicle_id,
-             count(*) AS planned_stops,
-             array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS client_mix
-      FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
-      GROUP BY ALL""",
-    "m_route_plan": f"""
-      SELECT b.*, v.depot_id, v.cost_per_mile_usd AS cpm, v.daily_fixed_cost_usd AS fixed,
-             CASE d.depot_class WHEN 'busy' THEN 25 + {draw('route_id', 'miles', 40)}
-                  WHEN 'regular' THEN 35 + {draw('route_id', 'miles', 60)}
-                  ELSE 60 + {draw('route_id', 'miles', 90)} END AS miles,
-             CASE WHEN {draw('route_id', 'opt', 100)} < 30 THEN 'manual_dispatch'
-                  WHEN {draw('route_id', 'opt', 100)} < 70 THEN 'or_tools_cvrp' ELSE 'greedy_nearest' END AS method,
-             45 + {draw('route_id', 'dur', 30)} AS stop_tenths
-      FROM m_route_base b LEFT JOIN m_vehicles v USING (vehicle_id) LEFT JOIN m_depots d ON v.depot_id = d.depot_id""",
-    "m_route_cost": """
-      SELECT *, CAST(planned_stops * stop_tenths + 12 * miles AS BIGINT) AS dur_tenths,
-             CAST(round(fixed + miles * cpm + planned_stops * 3.50, 2) AS DECIMAL(18,2)) AS planned_cost_usd
-      FROM m_route_plan""",
+      SELECT CAST(o_orderkey AS BIGINT) AS order_no, 'ORD-' || {pad('o_orderkey', 6)} AS order_id, c_mktsegment AS client_id,
+             d.depot_id, c_name || ', ' || d.name AS destination_address, d.lat AS destination_lat, d.lon AS destination_lon,
+             requested_date, window_start_min, window_end_min,
+             lpad(CAST(window_start_min // 60 AS VARCHAR), 2, '0') || ':00:00' AS time_window_start,
+             lpad(CAST(window_end_min // 60 AS VARCHAR), 2, '0') || ':00:00' AS time_window_end,
+             CAST(coalesce(bulk, 0) * {fv.LBS_PER_SIZE} AS DECIMAL(18,2)) AS package_weight_lbs,
+             CAST(coalesce(bulk, 0) * {fv.CUFT_PER_SIZE} AS DECIMAL(18,2)) AS package_volume_cuft,
+             d.service_region,
+             {named('o_orderpriority', fv.PRIORITY_CODES, "'standard'")} AS priority,
+             {named('o_orderstatus', fv.STATUS_CODES, "'pending'")} AS status,
+             strftime(requested_date, '%Y-%m') AS requested_month
+      FROM (SELECT *, CAST(o_orderdate AS DATE) + CAST({named('o_orderpriority', fv.PROMISE_DAYS, str(fv.PROMISE_DAYS_ELSE))} AS INTEGER) AS requested_date,
+                   CAST({named('o_orderpriority', {k: w[0] for k, w in fv.WINDOWS.items()}, str(fv.WINDOW_ELSE[0]))} AS INTEGER) AS window_start_min,
+                   CAST({named('o_orderpriority', {k: w[1] for k, w in fv.WINDOWS.items()}, str(fv.WINDOW_ELSE[1]))} AS INTEGER) AS window_end_min
+            FROM orders)
+      LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN m_depots d ON c_nationkey = d.n_nationkey
+      LEFT JOIN m_bulk ON o_orderkey = l_orderkey""",
+    "m_lines": f"""
+      SELECT (year(l_shipdate) * 12 + month(l_shipdate) - 1) * 1000000000000 + l_suppkey AS route_no, l_suppkey AS vehicle_no,
+             CAST(l_shipdate AS DATE) AS day, CAST(date_trunc('month', l_shipdate) AS DATE) AS route_date,
+             l_orderkey AS order_no, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus,
+             {fv.SERVICE_MINUTES} + CAST(floor(l_quantity / {fv.UNITS_PER_MINUTE}) AS INTEGER) AS minutes,
+             CAST(CAST(CAST(l_extendedprice AS DECIMAL(14,2)) * (1 - CAST(l_discount AS DECIMAL(14,2))) AS DECIMAL(20,4))
+               * (1 + CAST(l_tax AS DECIMAL(14,2))) AS DECIMAL(22,6)) AS charge,
+             o.order_id IS NOT NULL AS order_found, o.client_id, o.service_region, o.requested_date, o.destination_lat, o.destination_lon
+      FROM lineitem LEFT JOIN m_orders o ON l_orderkey = o.order_no""",
+    "m_trips": f"""
+      SELECT l.route_no, l.vehicle_no, l.route_date, l.destination_lat, l.destination_lon, count(DISTINCT l.day) AS trips,
+             count(*) AS stops, sum(l.minutes) AS minutes, sum(l.charge) AS charge,
+             CAST({miles('any_value(d.lat)', 'any_value(d.lon)', 'l.destination_lat', 'l.destination_lon')} * 2 AS DECIMAL(18,1)) AS there_and_back
+      FROM m_lines l LEFT JOIN m_vehicles v ON l.vehicle_no = v.vehicle_no LEFT JOIN m_depots d ON v.depot_id = d.depot_id
+      GROUP BY l.route_no, l.vehicle_no, l.route_date, l.destination_lat, l.destination_lon""",
+    "m_mix": """
+      SELECT route_no, array_to_string(list_sort(list(DISTINCT client_id)), ',') AS client_mix FROM m_lines GROUP BY route_no""",
+    "m_route_sums": """
+      SELECT route_no, vehicle_no, route_date, CAST(sum(stops) AS BIGINT) AS planned_stops,
+             CAST(sum(there_and_back) AS DECIMAL(18,1)) AS planned_miles, CAST(sum(there_and_back * trips) AS DECIMAL(18,1)) AS actual_miles,
+             CAST(sum(minutes) AS BIGINT) AS minutes, sum(charge) AS charge
+      FROM m_trips GROUP BY route_no, vehicle_no, route_date""",
     "m_routes": f"""
-      SELECT route_id, route_date, vehicle_id,
-             'DRV-' || CAST(100 + {draw("vehicle_id || '|' || CAST(route_date AS VARCHAR)", 'driver', 80)} AS VARCHAR) AS driver_id,
-             depot_id, client_mix, planned_stops,
-             CAST(miles AS DECIMAL(18,1)) AS planned_miles,
-             CAST(dur_tenths * 0.1 AS DECIMAL(18,1)) AS planned_duration_min,
-             planned_cost_usd,
-             CAST(round(miles * 0.01 * CASE method
-               WHEN 'or_tools_cvrp' THEN 95 + {draw('route_id', 'act_mi', 15)}
-               WHEN 'greedy_nearest' THEN 100 + {draw('route_id', 'act_mi', 20)}
-               ELSE 105 + {draw('route_id', 'act_mi', 30)} END, 1) AS DECIMAL(18,1)) AS actual_miles,
-             CAST(round(dur_tenths * 0.001 * CASE method
-               WHEN 'or_tools_cvrp' THEN 92 + {draw('route_id', 'act_dur', 20)}
-               WHEN 'greedy_nearest' THEN 100 + {draw('route_id', 'act_dur', 25)}
-               ELSE 105 + {draw('route_id', 'act_dur', 35)} END, 1) AS DECIMAL(18,1)) AS actual_duration_min,
-             CAST(round(planned_cost_usd * 0.01 * CASE method
-               WHEN 'or_tools_cvrp' THEN 90 + {draw('route_id', 'act_cost', 18)}
-               WHEN 'greedy_nearest' THEN 98 + {draw('route_id', 'act_cost', 20)}
-               ELSE 102 + {draw('route_id', 'act_cost', 30)} END, 2) AS DECIMAL(18,2)) AS actual_cost_usd,
-             method AS optimization_method,
+      SELECT r.route_no, 'RT-' || {pad('r.vehicle_no', 3)} || '-' || strftime(route_date, '%Y%m') AS route_id, route_date,
+             r.vehicle_no, 'VH-' || {pad('r.vehicle_no', 3)} AS vehicle_id, 'DRV-' || {pad('r.vehicle_no', 3)} AS driver_id,
+             v.depot_id, client_mix, planned_stops, planned_miles,
+             CAST(planned_stops * {fv.STOP_MINUTES} + coalesce(planned_miles, 0) * {fv.MINUTES_PER_MILE} AS DECIMAL(18,1)) AS planned_duration_min,
+             CAST(round(daily_fixed_cost_usd + planned_miles * cost_per_mile_usd + planned_stops * {fv.STOP_COST_USD}, 2) AS DECIMAL(18,2)) AS planned_cost_usd,
+             actual_miles,
+             CAST(minutes + coalesce(actual_miles, 0) * {fv.MINUTES_PER_MILE} AS DECIMAL(18,1)) AS actual_duration_min,
+             CAST(round(charge * {fv.FREIGHT_SHARE}, 2) AS DECIMAL(18,2)) AS actual_cost_usd,
+             CASE WHEN planned_stops <= {fv.MANUAL_STOPS} THEN 'manual_dispatch'
+                  WHEN planned_stops <= {fv.GREEDY_STOPS} THEN 'greedy_nearest' ELSE 'or_tools_cvrp' END AS optimization_method,
              strftime(route_date, '%Y-%m') AS route_month
-      FROM m_route_cost""",
-    "m_numbered": f"""
-      SELECT {ROUTE_NO} AS route_id, CAST(l_shipdate AS DATE) AS day, l_orderkey,
-             CAST(row_number() OVER (PARTITION BY l_suppkey, date_trunc('month', l_shipdate)
-               ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS BIGINT) AS seq
-      FROM lineitem""",
-    "m_digest": """
-      SELECT n.*, r.route_month, CAST('0x' || substr(md5(n.route_id || '|' || n.seq || '|stop'), 1, 15) AS BIGINT) AS d,
-             CAST(n.day AS TIMESTAMP) + to_minutes(420 + ((n.seq * (CAST(r.planned_duration_min * 1000 AS BIGINT)
-                  // greatest(r.planned_stops, 1))) // 1000)) AS arrival
-      FROM m_numbered n LEFT JOIN m_routes r USING (route_id)""",
-    "m_drawn": """
-      SELECT route_id, l_orderkey, seq, route_month, arrival,
-             CASE WHEN d % 100 < 12 THEN (d // 100) % 45 + 5 ELSE 0 END AS delay,
-             (d // (100 * 45)) % 5 AS reason_no,
-             (d // (100 * 45 * 5)) % 12 + 3 AS svc,
-             (d // (100 * 45 * 5 * 12)) % 100 AS st,
-             (d // (100 * 45 * 5 * 12 * 100)) % 5 AS slack
-      FROM m_digest""",
+      FROM m_route_sums r LEFT JOIN m_vehicles v ON r.vehicle_no = v.vehicle_no LEFT JOIN m_mix m ON r.route_no = m.route_no""",
+    "m_outcomes": f"SELECT * FROM ({kinds(fv.OUTCOMES)}) AS t(flag, line_status, outcome)",
+    "m_reasons": f"SELECT * FROM ({kinds(fv.REASONS)}) AS t(flag, line_status, reason)",
+    "m_timed": f"""
+      SELECT l.*, r.route_id, r.vehicle_id, r.depot_id, r.route_month, outcome, reason,
+             CAST(row_number() OVER (PARTITION BY l.route_no
+               ORDER BY day, order_no, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS BIGINT) AS seq,
+             CAST(CAST(planned_duration_min * 1000 AS BIGINT) // greatest(planned_stops, 1) AS BIGINT) AS pace,
+             CAST(coalesce(greatest(day - requested_date, 0) // {fv.DAYS_PER_DELAY_MINUTE}, 0) AS INTEGER) AS late
+      FROM m_lines l LEFT JOIN m_routes r ON l.route_no = r.route_no
+      LEFT JOIN m_outcomes o ON l_returnflag = o.flag AND l_linestatus = o.line_status
+      LEFT JOIN m_reasons e ON l_returnflag = e.flag AND l_linestatus = e.line_status""",
     "m_stops": f"""
-      SELECT 'RS-' || substr(route_id, 4) || '-' || {pad('seq', 3)} AS route_stop_id, route_id,
-             seq AS stop_sequence, {order_no('l_orderkey')} AS order_id,
-             arrival AS planned_arrival,
-             arrival + to_minutes(CASE WHEN delay > 0 THEN delay ELSE slack END) AS actual_arrival,
-             arrival + to_minutes(svc) AS planned_departure,
-             arrival + to_minutes(svc + CASE WHEN delay > 0 THEN delay ELSE slack END) AS actual_departure,
-             CASE WHEN st < 90 THEN 'completed' WHEN st < 95 THEN 'attempted'
-                  WHEN st < 98 THEN 'rescheduled' ELSE 'skipped' END AS status,
-             CAST(delay AS INTEGER) AS delay_minutes,
-             CASE WHEN delay = 0 THEN NULL WHEN reason_no = 0 THEN 'traffic'
-                  WHEN reason_no = 1 THEN 'customer_not_available' WHEN reason_no = 2 THEN 'access_issue'
-                  WHEN reason_no = 3 THEN 'weather' ELSE 'vehicle_breakdown' END AS delay_reason,
-             CAST(svc AS INTEGER) AS service_time_min, route_month
-      FROM m_drawn""",
+      SELECT 'RS-' || substr(route_id, 4) || '-' || {pad('seq', 3)} AS route_stop_id, route_no, route_id, seq AS stop_sequence,
+             order_no, 'ORD-' || {pad('order_no', 6)} AS order_id, order_found, route_date, vehicle_id, depot_id, client_id,
+             service_region, destination_lat, destination_lon,
+             CAST(day AS TIMESTAMP) + to_minutes(420 + (seq * pace) // 1000) AS planned_arrival,
+             CAST(day AS TIMESTAMP) + to_minutes(420 + (seq * pace) // 1000 + late) AS actual_arrival,
+             CAST(day AS TIMESTAMP) + to_minutes(420 + (seq * pace) // 1000 + minutes) AS planned_departure,
+             CAST(day AS TIMESTAMP) + to_minutes(420 + (seq * pace) // 1000 + minutes + late) AS actual_departure,
+             outcome AS status, late AS delay_minutes, CASE WHEN late > 0 THEN reason END AS delay_reason,
+             CAST(minutes AS INTEGER) AS service_time_min, route_month
+      FROM m_timed""",
 }
 
 

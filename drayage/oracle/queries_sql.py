@@ -1,21 +1,23 @@
 """Every report as plain SQL, to check the Spark results against."""
 
-from drayage.oracle.mart_sql import draw, mean, pad, pct, rnd, with_mart
+from drayage import schemas
+from drayage.oracle.mart_sql import draw, mean, miles, pad, pct, rnd, values, with_mart
 
-ROUTE_COLUMNS = """route_id, CAST(route_date AS VARCHAR) AS route_date, vehicle_id, driver_id, depot_id, client_mix,
+ROUTE_COLUMNS = """route_no, route_id, CAST(route_date AS VARCHAR) AS route_date, vehicle_no, vehicle_id, driver_id, depot_id, client_mix,
   planned_stops, CAST(planned_miles AS DOUBLE) AS planned_miles,
   CAST(planned_duration_min AS DOUBLE) AS planned_duration_min, CAST(planned_cost_usd AS DOUBLE) AS planned_cost_usd,
   CAST(actual_miles AS DOUBLE) AS actual_miles, CAST(actual_duration_min AS DOUBLE) AS actual_duration_min,
   CAST(actual_cost_usd AS DOUBLE) AS actual_cost_usd, optimization_method, route_month"""
 
-STOP_COLUMNS = """route_stop_id, route_id, stop_sequence, order_id,
+STOP_COLUMNS = """route_stop_id, route_no, route_id, stop_sequence, order_no, order_id, order_found,
+  CAST(route_date AS VARCHAR) AS route_date, vehicle_id, depot_id, client_id, service_region, destination_lat, destination_lon,
   strftime(planned_arrival, '%Y-%m-%d %H:%M:%S') AS planned_arrival,
   strftime(actual_arrival, '%Y-%m-%d %H:%M:%S') AS actual_arrival,
   strftime(planned_departure, '%Y-%m-%d %H:%M:%S') AS planned_departure,
   strftime(actual_departure, '%Y-%m-%d %H:%M:%S') AS actual_departure,
   status, delay_minutes, delay_reason, service_time_min, route_month"""
 
-VEHICLE_COLUMNS = """vehicle_id, vehicle_type, capacity_weight_lbs, capacity_volume_cuft, max_stops_per_route,
+VEHICLE_COLUMNS = """vehicle_no, vehicle_id, vehicle_type, capacity_weight_lbs, capacity_volume_cuft, max_stops_per_route,
   depot_id, fuel_type, CAST(cost_per_mile_usd AS DOUBLE) AS cost_per_mile_usd,
   CAST(daily_fixed_cost_usd AS DOUBLE) AS daily_fixed_cost_usd, status"""
 
@@ -74,10 +76,10 @@ def delay_report(where: str = "true") -> str:
 
 def worst(n: int, extra: str = "") -> str:
     return f"""
-    SELECT route_id, depot_id, CAST(route_date AS VARCHAR) AS route_date, vehicle_id,
+    SELECT route_id, r.depot_id, CAST(r.route_date AS VARCHAR) AS route_date, r.vehicle_id,
            CAST(sum(delay_minutes) AS BIGINT) AS total_delay_minutes, count(*) AS delayed_stops{extra}
-    FROM m_stops JOIN m_routes USING (route_id) WHERE delay_minutes > 0
-    GROUP BY route_id, depot_id, route_date, vehicle_id
+    FROM m_stops JOIN m_routes r USING (route_id) WHERE delay_minutes > 0
+    GROUP BY route_id, r.depot_id, r.route_date, r.vehicle_id
     ORDER BY total_delay_minutes DESC, route_id LIMIT {n}"""
 
 
@@ -97,7 +99,39 @@ LOADS = f"""
     loads AS (SELECT r.route_id, r.route_date, r.vehicle_id, r.depot_id, r.planned_stops, v.vehicle_type,
         v.capacity_weight_lbs, v.capacity_volume_cuft, v.max_stops_per_route,
         coalesce(weight, 0) AS load_weight_lbs, coalesce(volume, 0) AS load_volume_cuft
-      FROM m_routes r JOIN m_vehicles v ON r.vehicle_id = v.vehicle_id LEFT JOIN weights w ON r.route_id = w.route_id)"""
+      FROM m_routes r LEFT JOIN m_vehicles v ON r.vehicle_id = v.vehicle_id LEFT JOIN weights w ON r.route_id = w.route_id)"""
+
+RELATIONS = [
+    ("route_stops.route_id", "m_stops", "m_routes", "route_id"),
+    ("route_stops.order_id", "m_stops", "m_orders", "order_id"),
+    ("route_plans.vehicle_id", "m_routes", "m_vehicles", "vehicle_id"),
+    ("route_plans.depot_id", "m_routes", "m_depots", "depot_id"),
+    ("delivery_orders.depot_id", "m_orders", "m_depots", "depot_id"),
+    ("vehicles.depot_id", "m_vehicles", "m_depots", "depot_id"),
+]
+
+VIEWS = {"vehicles": "m_vehicles", "delivery_orders": "m_orders", "route_plans": "m_routes", "route_stops": "m_stops"}
+
+TABLE_ROWS = ", table_rows AS (" + " UNION ALL ".join(
+    f"""SELECT '{table}' AS table_name, count(*) AS row_count, {len(fields)} AS columns,
+    {f"count(DISTINCT {schemas.PARTITION_COLUMNS[table]})" if schemas.PARTITION_COLUMNS[table] else "CAST(0 AS BIGINT)"} AS months FROM {VIEWS[table]}"""
+    for table, fields in schemas.TABLES.items()
+) + ")"
+
+# per column: its comment, and how many rows fill it
+COMMENTS = (
+    ", said AS (SELECT * FROM ("
+    + values((t, f.name, f.metadata["comment"].replace("'", "''")) for t, fields in schemas.TABLES.items() for f in fields)
+    + ") AS t(table_name, col, comment)), "
+    + ", ".join(
+        f"{table}_filled AS (UNPIVOT (SELECT {', '.join(f'count({f.name}) AS {f.name}' for f in fields)} FROM {VIEWS[table]})"
+        f" ON COLUMNS(*) INTO NAME col VALUE filled)"
+        for table, fields in schemas.TABLES.items()
+    )
+    + ", filled AS ("
+    + " UNION ALL ".join(f"SELECT '{table}' AS table_name, col, filled FROM {table}_filled" for table in schemas.TABLES)
+    + ") SELECT table_name, col AS column_name, comment, filled FROM said JOIN filled USING (table_name, col)"
+)
 
 _SQL = {
     "s1_vehicle_type_dimension": """
@@ -109,12 +143,27 @@ _SQL = {
     FROM (SELECT unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS d FROM orders)
     LEFT JOIN orders ON CAST(o_orderdate AS DATE) = CAST(d AS DATE) GROUP BY d""",
     "s3_table_scan": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer",
+    "s3_table_by_name": f"SELECT {VEHICLE_COLUMNS} FROM m_vehicles",
+    "s4_tables_present": """
+    SELECT 'vehicles' AS table_name, count(*) > 0 AS present FROM m_vehicles
+    UNION ALL SELECT 'delivery_orders', count(*) > 0 FROM m_orders
+    UNION ALL SELECT 'route_plans', count(*) > 0 FROM m_routes
+    UNION ALL SELECT 'route_stops', count(*) > 0 FROM m_stops
+    UNION ALL SELECT 'no_such_table', false""",
     "s5_materialized_vehicles": f"SELECT {VEHICLE_COLUMNS} FROM m_vehicles",
-    "s10_build_summary": """
-    SELECT 'vehicles' AS table_name, count(*) AS row_count, 10 AS columns, CAST(0 AS BIGINT) AS months FROM m_vehicles
-    UNION ALL SELECT 'delivery_orders', count(*), 17, count(DISTINCT requested_month) FROM m_orders
-    UNION ALL SELECT 'route_plans', count(*), 15, count(DISTINCT route_month) FROM m_routes
-    UNION ALL SELECT 'route_stops', count(*), 13, count(DISTINCT route_month) FROM m_stops""",
+    "s6_incremental_build": f"""
+    {TABLE_ROWS}
+    SELECT run, table_name, run <> 'again' AS built, row_count, CASE run WHEN 'first' THEN months ELSE 0 END AS months_replaced
+    FROM table_rows, (VALUES ('first'), ('again')) AS r(run)""",
+    "s7_schema_creation": """
+    SELECT vehicle_type, count(*) AS vehicles, false AS present_before, true AS created, true AS created_again
+    FROM m_vehicles GROUP BY vehicle_type""",
+    "s8_column_comments": COMMENTS,
+    "s9_drop_report": """
+    SELECT 'route_plans' AS item, 'table' AS kind, count(*) AS rows_before, true AS dropped, false AS present_after FROM m_routes
+    UNION ALL SELECT 'vehicles', 'table', count(*), true, false FROM m_vehicles
+    UNION ALL SELECT 'schema', 'schema', CAST(NULL AS BIGINT), true, false""",
+    "s10_build_summary": f"{TABLE_ROWS} SELECT table_name, row_count, columns, months FROM table_rows",
     "o1_hash_bucket": f"SELECT o_orderkey, CAST({draw('o_orderkey', 'part', 16)} AS INTEGER) AS bucket FROM orders",
     "o2_sample_by_rate": f"""
     SELECT o_orderkey, o_orderpriority FROM orders
@@ -122,30 +171,32 @@ _SQL = {
       WHEN '2-HIGH' THEN 0.6e0 WHEN '3-MEDIUM' THEN 0.3e0 WHEN '4-NOT SPECIFIED' THEN 0.15e0
       WHEN '5-LOW' THEN 0.05e0 ELSE 0e0 END""",
     "o3_weighted_category": f"""
-    SELECT CASE WHEN b < 88 THEN 'delivered' WHEN b < 94 THEN 'in_transit' WHEN b < 97 THEN 'pending'
-                WHEN b < 99 THEN 'cancelled' ELSE 'returned' END AS status, priority, count(*) AS orders
-    FROM (SELECT priority, {draw('order_id', 'status', 100)} AS b FROM m_orders) GROUP BY ALL""",
+    SELECT priority, status, count(*) AS orders, {pct('count(*)', 'sum(count(*)) OVER (PARTITION BY priority)')} AS share_pct
+    FROM m_orders GROUP BY priority, status""",
     "o4_calendar_weight": """
     SELECT depot_class, requested_month, count(*) AS orders, CAST(sum(
         CASE WHEN month(requested_date) IN (11, 12) THEN 1.60 WHEN month(requested_date) = 8 THEN 1.30
              WHEN month(requested_date) = 1 THEN 0.70 WHEN month(requested_date) IN (6, 7) THEN 0.85 ELSE 1.00 END
       * CASE dayofweek(requested_date) WHEN 0 THEN 0.10 WHEN 6 THEN 0.35 WHEN 1 THEN 1.15 WHEN 5 THEN 0.90 ELSE 1.00 END
-      * CASE depot_class WHEN 'busy' THEN 1.5 WHEN 'regular' THEN 1.1 ELSE 0.7 END) AS DOUBLE) AS weight
-    FROM m_orders JOIN m_depots USING (depot_id) GROUP BY depot_class, requested_month""",
+      * CASE depot_class WHEN 'busy' THEN 1.5 WHEN 'regular' THEN 1.1 WHEN 'small' THEN 0.7 ELSE 1.0 END) AS DOUBLE) AS weight
+    FROM m_orders LEFT JOIN m_depots USING (depot_id) GROUP BY depot_class, requested_month""",
     "o5_scenario_grid": """
     SELECT d.depot_id, strftime(m.month, '%Y-%m') AS requested_month, u.client_id, count(o.order_id) AS orders
     FROM m_depots d
-    CROSS JOIN (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), max(o_orderdate), INTERVAL 1 MONTH)) AS month FROM orders) m
+    CROSS JOIN (SELECT unnest(generate_series(date_trunc('month', min(requested_date)), max(requested_date)::TIMESTAMP, INTERVAL 1 MONTH)) AS month FROM m_orders) m
     CROSS JOIN (SELECT DISTINCT c_mktsegment AS client_id FROM customer WHERE c_mktsegment IS NOT NULL) u
     LEFT JOIN m_orders o ON o.depot_id = d.depot_id AND o.client_id = u.client_id AND o.requested_month = strftime(m.month, '%Y-%m')
-    GROUP BY ALL""",
+    GROUP BY ALL
+    UNION ALL SELECT depot_id, requested_month, client_id, count(*) FROM m_orders
+    WHERE depot_id IS NULL OR client_id IS NULL GROUP BY ALL""",
     "o6_jitter": f"""
-    SELECT p_partkey, CAST(round(CAST(p_retailprice AS DECIMAL(12,2)) * (90 + {draw('p_partkey', 'price', 20)}) * 0.01, 2) AS DOUBLE) AS price
-    FROM part""",
+    SELECT p_partkey, count(*) AS lines, {rnd('(min(l_extendedprice / l_quantity) / any_value(p_retailprice) - 1) * 100', 2)} AS lowest_pct,
+           {rnd('(max(l_extendedprice / l_quantity) / any_value(p_retailprice) - 1) * 100', 2)} AS highest_pct
+    FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_quantity > 0 GROUP BY p_partkey""",
     "o6_geo_jitter": f"""
-    SELECT c_custkey, depot_id, (CAST(lat AS BIGINT) * 1000 + {draw('c_custkey', 'lat', 800)} - 400) / 1000e0 AS lat,
-           (CAST(lon AS BIGINT) * 1000 + {draw('c_custkey', 'lon', 800)} - 400) / 1000e0 AS lon
-    FROM customer JOIN m_depots ON c_nationkey = n_nationkey""",
+    , middles AS (SELECT service_region, avg(lat) AS mid_lat, avg(lon) AS mid_lon FROM m_depots GROUP BY service_region)
+    SELECT c_custkey, depot_id, lat, lon, {rnd(miles('lat', 'lon', 'mid_lat', 'mid_lon'), 3)} AS miles_from_middle
+    FROM customer LEFT JOIN (m_depots JOIN middles USING (service_region)) ON c_nationkey = n_nationkey""",
     "o7_dense_id": f"""
     SELECT o_orderkey, 'ORD-' || {pad('n', 6)} AS order_no
     FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders)""",
@@ -153,37 +204,31 @@ _SQL = {
     "o9_expand_rows": "SELECT route_id, CAST(unnest(range(1, planned_stops + 1)) AS BIGINT) AS stop_sequence FROM m_routes",
     "o10_rank_zip_join": """
     , l AS (SELECT s.route_stop_id, r.depot_id, r.route_month,
-              row_number() OVER (PARTITION BY r.depot_id, r.route_month ORDER BY s.route_id, s.stop_sequence) AS pair_no
+              row_number() OVER (PARTITION BY r.depot_id, r.route_month ORDER BY s.route_no, s.stop_sequence) AS pair_no
             FROM m_stops s JOIN m_routes r USING (route_id)),
     o AS (SELECT order_id, depot_id, requested_month,
-              row_number() OVER (PARTITION BY depot_id, requested_month ORDER BY order_id) AS k FROM m_orders)
+              row_number() OVER (PARTITION BY depot_id, requested_month ORDER BY order_no) AS k FROM m_orders)
     SELECT l.*, o.order_id FROM l LEFT JOIN o ON l.depot_id = o.depot_id AND l.route_month = o.requested_month AND l.pair_no = o.k""",
     "o11_format_id": f"""
-    SELECT 'CU-' || {pad('c_custkey', 3)} AS customer_id,
-           CAST(1000 + {draw('c_custkey', 'addr', 9000)} AS VARCHAR) || ' ' ||
-               CASE {draw('c_custkey', 'street', 8)} WHEN 0 THEN 'Main St' WHEN 1 THEN 'Oak Ave'
-                 WHEN 2 THEN 'Industrial Blvd' WHEN 3 THEN 'Commerce Dr' WHEN 4 THEN 'Elm St'
-                 WHEN 5 THEN 'Park Rd' WHEN 6 THEN 'Maple Ln' ELSE 'Warehouse Way' END AS address
-    FROM customer""",
+    SELECT 'CU-' || {pad('c_custkey', 3)} AS customer_id, c_name || ', ' || n_name AS address
+    FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
     "o12_time_of_day": "SELECT time_window_start AS opens, time_window_end AS closes, count(*) AS orders FROM m_orders GROUP BY ALL",
-    "o13_profile_by_class": f"""
-    , ranges AS (SELECT * FROM (VALUES ('A',15,80,2.0,15),('B',5,30,1.0,8),('C',50,200,8.0,30),('D',10,50,1.0,12),('E',2,25,0.5,5))
-        AS t(client_rank, wl, ws, vl, vs)),
-    drawn AS (SELECT client_id, client_rank, wl + {draw('order_id', 'wt', 'ws')} AS w, vl + {draw('order_id', 'vol', 'vs')} AS v
-        FROM m_orders JOIN m_units USING (client_id) JOIN ranges USING (client_rank))
-    SELECT client_id, client_rank, count(*) AS orders, CAST(sum(w) AS BIGINT) AS weight_lbs, CAST(min(w) AS INTEGER) AS lightest,
-           CAST(max(w) AS INTEGER) AS heaviest, CAST(sum(v) AS DOUBLE) AS volume_cuft
-    FROM drawn GROUP BY client_id, client_rank""",
+    "o13_profile_by_class": """
+    SELECT client_id, count(*) AS orders, CAST(sum(package_weight_lbs) AS DOUBLE) AS weight_lbs, CAST(min(package_weight_lbs) AS DOUBLE) AS lightest,
+           CAST(max(package_weight_lbs) AS DOUBLE) AS heaviest, CAST(sum(package_volume_cuft) AS DOUBLE) AS volume_cuft
+    FROM m_orders GROUP BY client_id""",
     "o14_plan_cost": """
     SELECT vehicle_type, count(*) AS routes, CAST(sum(planned_cost_usd) AS DOUBLE) AS planned_cost_usd
-    FROM m_routes JOIN m_vehicles USING (vehicle_id) GROUP BY vehicle_type""",
+    FROM m_routes r LEFT JOIN m_vehicles v ON r.vehicle_no = v.vehicle_no GROUP BY vehicle_type""",
     "o15_plan_duration": """
     SELECT depot_id, count(*) AS routes, CAST(sum(planned_duration_min) AS DOUBLE) AS planned_duration_min
     FROM m_routes GROUP BY depot_id""",
-    "o16_actual_from_plan": """
-    SELECT optimization_method, CAST(sum(planned_miles) AS DOUBLE) AS planned_miles, CAST(sum(actual_miles) AS DOUBLE) AS actual_miles,
-           CAST(sum(actual_duration_min) AS DOUBLE) AS actual_duration_min, CAST(sum(actual_cost_usd) AS DOUBLE) AS actual_cost_usd
-    FROM m_routes GROUP BY optimization_method""",
+    "o16_actual_from_plan": "SELECT optimization_method, "
+    + ", ".join(
+        f"CAST(sum({c}) AS DOUBLE) AS {c}"
+        for c in ["planned_miles", "actual_miles", "planned_duration_min", "actual_duration_min", "planned_cost_usd", "actual_cost_usd"]
+    )
+    + " FROM m_routes GROUP BY optimization_method",
     "o17_stop_timeline": """
     SELECT CAST(hour(planned_arrival) AS INTEGER) AS hour, count(*) AS stops,
            CAST(sum(date_diff('second', planned_arrival, actual_arrival)) AS BIGINT) AS lag_seconds,
@@ -193,16 +238,15 @@ _SQL = {
     SELECT delay_reason AS reason, count(*) AS stops, CAST(sum(delay_minutes) AS BIGINT) AS minutes,
            min(delay_minutes) AS shortest, max(delay_minutes) AS longest
     FROM m_stops GROUP BY delay_reason""",
-    "o19_capped_stops": f"""
-    SELECT vehicle_id, depot_class, max_stops_per_route, CAST(CASE depot_class
-        WHEN 'busy' THEN least(max_stops_per_route, 8 + {draw('vehicle_id', 'stops', 'greatest(max_stops_per_route - 5, 1)')})
-        WHEN 'small' THEN 3 + {draw('vehicle_id', 'stops', 'greatest(max_stops_per_route // 2 - 2, 1)')}
-        ELSE 5 + {draw('vehicle_id', 'stops', 'greatest(max_stops_per_route - 7, 1)')} END AS INTEGER) AS stop_target
-    FROM m_vehicles JOIN m_depots USING (depot_id)""",
-    "o20_driver_id": "SELECT driver_id, count(*) AS routes, count(DISTINCT depot_id) AS depots FROM m_routes GROUP BY driver_id",
+    "o19_capped_stops": """
+    SELECT v.vehicle_id, max_stops_per_route, coalesce(n, 0) AS routes,
+           least(max_stops_per_route, CAST(coalesce(ceil(stops / n), 0) AS INTEGER)) AS stop_target
+    FROM m_vehicles v LEFT JOIN (SELECT vehicle_no, count(*) AS n, CAST(sum(planned_stops) AS DOUBLE) AS stops FROM m_routes GROUP BY vehicle_no) r
+      ON v.vehicle_no = r.vehicle_no""",
+    "o20_driver_id": "SELECT driver_id, count(*) AS routes, count(DISTINCT depot_id) AS depots, count(DISTINCT route_month) AS months FROM m_routes GROUP BY driver_id",
     "t1_vehicles": f"SELECT {VEHICLE_COLUMNS} FROM m_vehicles",
     "t2_delivery_orders": """
-    SELECT order_id, client_id, depot_id, destination_address, destination_lat, destination_lon,
+    SELECT order_no, order_id, client_id, depot_id, destination_address, destination_lat, destination_lon,
            CAST(requested_date AS VARCHAR) AS requested_date, window_start_min, window_end_min, time_window_start,
            time_window_end, CAST(package_weight_lbs AS DOUBLE) AS package_weight_lbs,
            CAST(package_volume_cuft AS DOUBLE) AS package_volume_cuft, service_region, priority, status, requested_month
@@ -235,6 +279,7 @@ _SQL = {
     ),
     "q11_worst_routes": worst(10),
     "q12_map_stops": map_stops("true"),
+    "q12_map_stops_box": map_stops("o.destination_lat BETWEEN 25 AND 35 AND o.destination_lon BETWEEN -110 AND -90"),
     "q12_map_stops_filtered": map_stops("r.route_date = DATE '1999-05-01' AND r.depot_id = 'DEPOT_NATION_3'"),
     "q13_depots": "SELECT depot_id, lat, lon, name FROM m_depots",
     "q14_clients": "SELECT DISTINCT c_mktsegment AS client_id FROM customer",
@@ -279,6 +324,10 @@ _SQL = {
     FROM m_depots d LEFT JOIN m_routes r ON d.depot_id = r.depot_id
     LEFT JOIN (SELECT route_id FROM m_stops JOIN m_orders USING (order_id)) s ON r.route_id = s.route_id
     GROUP BY ALL""",
+    "q24_map_depot_chosen": """
+    SELECT d.depot_id, d.name, d.lat, d.lon, (SELECT count(*) FROM m_stops s JOIN m_routes r ON s.route_no = r.route_no
+        JOIN m_orders o ON s.order_no = o.order_no WHERE r.depot_id = d.depot_id) AS stops
+    FROM m_depots d WHERE d.depot_id = 'DEPOT_NATION_3'""",
     "q24_map_bounds": """
     SELECT min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon FROM (
       SELECT lat, lon FROM m_depots UNION ALL
@@ -305,7 +354,7 @@ _SQL = {
     WHERE s.delay_reason IS NOT NULL GROUP BY ALL""",
     "e4_routes_by_type": f"""
     SELECT v.vehicle_type, count(DISTINCT r.route_id) AS routes, {rnd(mean('r.actual_miles'), 1)} AS avg_miles
-    FROM m_vehicles v JOIN m_routes r ON v.vehicle_id = r.vehicle_id GROUP BY v.vehicle_type""",
+    FROM m_routes r LEFT JOIN m_vehicles v ON v.vehicle_id = r.vehicle_id GROUP BY v.vehicle_type""",
     "e5_plan_vs_actual": f"""
     SELECT optimization_method, {rnd(mean('planned_miles'), 1)} AS avg_planned, {rnd(mean('actual_miles'), 1)} AS avg_actual,
            {rnd(f'avg({COST_RATIO})', 2)} AS cost_per_stop
@@ -319,9 +368,9 @@ _SQL = {
     WHERE date_trunc('month', m_routes.route_date) = date_trunc('month', (SELECT max(route_date) FROM m_routes)) - INTERVAL 1 MONTH
     ORDER BY cost_per_delivery DESC NULLS LAST, route_id LIMIT 10""",
     "n2_on_time_by_depot_and_week": f"""
-    SELECT depot_id, {WEEK} AS week, count(*) AS completed_stops,
+    SELECT r.depot_id, {WEEK} AS week, count(*) AS completed_stops,
            {pct('sum(CASE WHEN delay_minutes = 0 THEN 1 ELSE 0 END)', COUNT)} AS on_time_rate
-    FROM m_stops JOIN m_routes USING (route_id) WHERE status = 'completed' GROUP BY depot_id, {WEEK}""",
+    FROM m_stops JOIN m_routes r USING (route_id) WHERE status = 'completed' GROUP BY r.depot_id, {WEEK}""",
     "n3_late_regions_with_reasons": """
     , tally AS (SELECT o.service_region, s.delay_reason, count(*) AS reason_stops
         FROM m_stops s JOIN m_orders o ON s.order_id = o.order_id WHERE s.delay_minutes > 0 GROUP BY ALL),
@@ -358,10 +407,10 @@ _SQL = {
         FROM m_stops s JOIN m_orders o ON s.order_id = o.order_id),
     legs AS (SELECT route_id, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM points
         WINDOW w AS (PARTITION BY route_id ORDER BY stop_sequence)),
-    sums AS (SELECT route_id, sum(2 * 3958.8e0 * asin(sqrt(least(1e0, pow(sin((lat - plat) / 2), 2) + cos(plat) * cos(lat) * pow(sin((lon - plon) / 2), 2))))) AS straight
+    sums AS (SELECT route_id, sum(CAST(2 * 3958.8e0 * asin(sqrt(least(1e0, pow(sin((lat - plat) / 2), 2) + cos(plat) * cos(lat) * pow(sin((lon - plon) / 2), 2)))) AS DECIMAL(18,9))) AS straight
         FROM legs WHERE plat IS NOT NULL GROUP BY route_id)
     SELECT r.route_id, {rnd('straight', 3)} AS straight_miles, CAST(actual_miles AS DOUBLE) AS actual_miles,
-           {rnd('straight / nullif(CAST(actual_miles AS DOUBLE), 0e0) * 100e0', 1)} AS efficiency_pct
+           {rnd('CAST(straight AS DOUBLE) / nullif(CAST(actual_miles AS DOUBLE), 0e0) * 100e0', 1)} AS efficiency_pct
     FROM m_routes r LEFT JOIN sums s ON r.route_id = s.route_id""",
     "p4_load_utilization": f"""{LOADS}
     SELECT route_id, vehicle_id, vehicle_type, depot_id, CAST(route_date AS VARCHAR) AS route_date,
@@ -387,7 +436,7 @@ _SQL = {
     SELECT s.route_id, v.vehicle_type, CAST((s.stop_sequence - 1) // 500 AS INTEGER) AS piece, CAST(count(*) AS INTEGER) AS points,
            string_agg(CAST(CAST(o.destination_lat AS DECIMAL(9,3)) AS VARCHAR) || ',' || CAST(CAST(o.destination_lon AS DECIMAL(9,3)) AS VARCHAR), ';' ORDER BY s.stop_sequence) AS path
     FROM m_stops s JOIN m_orders o ON s.order_id = o.order_id JOIN m_routes r ON s.route_id = r.route_id
-    JOIN m_vehicles v ON r.vehicle_id = v.vehicle_id
+    LEFT JOIN m_vehicles v ON r.vehicle_id = v.vehicle_id
     GROUP BY s.route_id, v.vehicle_type, (s.stop_sequence - 1) // 500""",
     "p9_affected_orders": """
     SELECT o.order_id, o.client_id, o.depot_id, o.service_region, o.priority, count(*) AS delayed_stops,
@@ -421,15 +470,11 @@ _SQL = {
     "d2_key_checks": " UNION ALL ".join(
         f"""SELECT '{name}' AS "check", count(DISTINCT {key}) AS missing_keys, count(*) AS rows
         FROM {child} c WHERE {key} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{key} = c.{key})"""
-        for name, child, parent, key in [
-            ("route_stops.route_id", "m_stops", "m_routes", "route_id"),
-            ("route_stops.order_id", "m_stops", "m_orders", "order_id"),
-            ("route_plans.vehicle_id", "m_routes", "m_vehicles", "vehicle_id"),
-            ("route_plans.depot_id", "m_routes", "m_depots", "depot_id"),
-            ("delivery_orders.depot_id", "m_orders", "m_depots", "depot_id"),
-            ("vehicles.depot_id", "m_vehicles", "m_depots", "depot_id"),
-            ("route_plans without stops", "m_routes", "m_stops", "route_id"),
-        ]
+        for name, child, parent, key in [*RELATIONS, ("route_plans without stops", "m_routes", "m_stops", "route_id")]
+    )
+    + "".join(
+        f""" UNION ALL SELECT '{name} is null', least(count(*), 1), count(*) FROM {child} WHERE {key} IS NULL"""
+        for name, child, _, key in RELATIONS
     ),
     "d3_stops_without_order": """
     SELECT 'no_order' AS "check", count(*) AS stops FROM m_stops WHERE order_id IS NULL

@@ -7,20 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from drayage import fixed_values as fv
 from drayage.functions import costing
 from drayage.functions.calendar import calendar_weight, time_of_day
-from drayage.functions.draws import (
-    format_id,
-    geo_jitter,
-    hash_bucket,
-    jitter,
-    street_address,
-    weighted_category,
-)
-from drayage.operators.joins import lookup_join
+from drayage.functions.draws import format_id, hash_bucket
+from drayage.functions.metrics import haversine_miles, percent
 from drayage.operators.numbering import dense_id, first_n, rank_zip_join
-from drayage.operators.rows import date_spine, expand_rows, grid, sample_by_rate
-from drayage.plans.filters import ROUTE_KEY
+from drayage.operators.rows import date_spine, expand_rows, sample_by_rate
+from drayage.plans.planning import with_vehicle
 from drayage.sources import dimensions
-from drayage.sources.staging import stage
 
 
 def vehicle_type_dimension(mart) -> DataFrame:
@@ -48,11 +40,6 @@ def customer_scan(mart) -> DataFrame:
     return mart.source("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
 
 
-def materialized_vehicles(mart) -> DataFrame:
-    """Vehicles written to the shared folder and read back by declared schema."""
-    return stage(mart.vehicles, "vehicles")
-
-
 def order_buckets(mart) -> DataFrame:
     return mart.source("orders").select("o_orderkey", hash_bucket("o_orderkey", "part", 16).alias("bucket"))
 
@@ -66,56 +53,63 @@ def sampled_orders(mart) -> DataFrame:
     return sample_by_rate(orders, "o_orderkey", rate)
 
 
-def drawn_statuses(mart) -> DataFrame:
-    status = weighted_category("order_id", "status", fv.ORDER_STATUS_SHARES)
-    return mart.orders.groupBy(status.alias("status"), "priority").agg(F.count(F.lit(1)).alias("orders"))
+def status_shares(mart) -> DataFrame:
+    """How the orders of each priority divide into statuses."""
+    counts = mart.orders.groupBy("priority", "status").agg(F.count(F.lit(1)).alias("orders"))
+    totals = counts.groupBy("priority").agg(F.sum("orders").alias("total"))
+    return counts.join(totals, "priority").select("priority", "status", "orders", percent("orders", "total").alias("share_pct"))
 
 
 def weighted_demand(mart) -> DataFrame:
-    """Orders and their calendar weight per depot class and month."""
+    """Orders and their calendar weight per depot class and month; orders without a depot have no class."""
     orders = mart.orders.select("depot_id", "requested_date", "requested_month")
     weight = calendar_weight(F.col("requested_date"), F.col("depot_class"))
     return (
-        orders.join(mart.depots.select("depot_id", "depot_class"), "depot_id")
+        orders.join(mart.depots.select("depot_id", "depot_class"), "depot_id", "left")
         .groupBy("depot_class", "requested_month")
         .agg(F.count(F.lit(1)).alias("orders"), F.sum(weight.cast("decimal(12,5)")).alias("weight"))
     )
 
 
 def demand_grid(mart) -> DataFrame:
-    """Orders per depot, month and client; combinations without orders count 0."""
-    span = mart.orders.agg(
-        F.trunc(F.min("requested_date"), "month").alias("first"), F.max("requested_date").alias("last")
-    )
-    cells = mart.depots.select("depot_id").withColumns(
-        {"first": span.select("first").scalar(), "last": span.select("last").scalar()}
-    )
-    months = F.sequence("first", "last", F.expr("interval 1 month"))
-    cells = cells.select("depot_id", F.explode(months).alias("month"))
+    """Orders per depot, month and client; combinations without orders count 0.
+
+    Orders without a depot or client have cells of their own beside the grid.
+    """
+    states = mart.state("order_states")
+    span = states.agg(F.min("requested_month").alias("first"), F.max("requested_month").alias("last"))
+    day = lambda name: F.to_date(F.concat(F.col(name), F.lit("-01")))
+    months = span.select(F.sequence(day("first"), day("last"), F.expr("interval 1 month")).alias("all")).scalar()
+    cells = mart.depots.select("depot_id").withColumn("month", F.explode(months))
     cells = cells.select("depot_id", F.date_format("month", "yyyy-MM").alias("requested_month"))
     # the clients that the data have, as one array
     clients = mart.clients.agg(F.array_sort(F.collect_set("client_id")).alias("all")).scalar()
     cells = cells.withColumn("client_id", F.explode(clients))
     keys = ["depot_id", "requested_month", "client_id"]
-    counts = mart.orders.groupBy(*keys).agg(F.count(F.lit(1)).alias("orders"))
-    return cells.join(counts, keys, "left").fillna(0, ["orders"])
+    counts = states.groupBy(*keys).agg(F.sum("orders").alias("orders"))
+    return cells.join(counts, keys, "full").fillna(0, ["orders"])
 
 
-def jittered_prices(mart) -> DataFrame:
-    price = F.col("p_retailprice").cast("decimal(12,2)")
-    return mart.source("part").select("p_partkey", F.round(jitter(price, "p_partkey", "price", 10), 2).alias("price"))
+def price_spread(mart) -> DataFrame:
+    """How far the unit prices paid for each part lie from its retail price, in percent."""
+    unit = F.col("l_extendedprice") / F.col("l_quantity")
+    paid = mart.source("lineitem").where("l_quantity > 0").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        F.count(F.lit(1)).alias("lines"), F.min(unit).alias("lowest"), F.max(unit).alias("highest")
+    )
+    away = lambda price: F.round((F.col(price) / F.col("p_retailprice") - 1) * 100, 2)
+    return mart.source("part").select("p_partkey", "p_retailprice").join(paid, "p_partkey").select(
+        "p_partkey", "lines", away("lowest").alias("lowest_pct"), away("highest").alias("highest_pct")
+    )
 
 
-def jittered_places(mart) -> DataFrame:
-    """Customers placed around the depot of their nation."""
+def customer_places(mart) -> DataFrame:
+    """Customers at the depot of their nation, and how far that is from the middle of its region's depots."""
+    depots = mart.depots_by_nation
+    middle = depots.groupBy("service_region").agg(F.avg("lat").alias("mid_lat"), F.avg("lon").alias("mid_lon"))
+    placed = depots.join(middle, "service_region").withColumnRenamed("n_nationkey", "c_nationkey")
+    miles = F.round(haversine_miles("lat", "lon", "mid_lat", "mid_lon"), 3)
     customers = mart.source("customer").select("c_custkey", "c_nationkey")
-    depots = mart.depots_by_nation.withColumnRenamed("n_nationkey", "c_nationkey")
-    return customers.join(depots, "c_nationkey").select(
-        "c_custkey",
-        "depot_id",
-        geo_jitter(F.col("lat"), "c_custkey", "lat").alias("lat"),
-        geo_jitter(F.col("lon"), "c_custkey", "lon").alias("lon"),
-    )
+    return customers.join(placed, "c_nationkey", "left").select("c_custkey", "depot_id", "lat", "lon", miles.alias("miles_from_middle"))
 
 
 def numbered_orders(mart) -> DataFrame:
@@ -137,19 +131,18 @@ def planned_stop_slots(mart) -> DataFrame:
 
 def order_assignment(mart) -> DataFrame:
     """The k-th stop of a depot and month takes the k-th order requested there."""
-    depots = mart.routes.select(*ROUTE_KEY, "depot_id")
-    stops = mart.stops.select(*ROUTE_KEY, "stop_sequence", "route_stop_id")
-    stops = lookup_join(stops, depots, ROUTE_KEY, hot=mart.hot("stops", "route_id"))
-    orders = mart.orders.select("depot_id", F.col("requested_month").alias("route_month"), "order_id")
-    paired = rank_zip_join(stops, orders, ["depot_id", "route_month"], ["route_id", "stop_sequence"], ["order_id"])
+    stops = mart.stops.select("depot_id", "route_month", "route_no", "stop_sequence", "route_stop_id")
+    orders = mart.orders.select("depot_id", F.col("requested_month").alias("route_month"), "order_no", "order_id")
+    paired = rank_zip_join(stops, orders, ["depot_id", "route_month"], ["route_no", "stop_sequence"], ["order_no"])
     return paired.select("route_stop_id", "depot_id", "route_month", "pair_no", "order_id")
 
 
 def customer_labels(mart) -> DataFrame:
-    key = F.col("c_custkey")
-    return mart.source("customer").select(
-        format_id("CU-", key, 3).alias("customer_id"), street_address("c_custkey", fv.STREETS).alias("address")
-    )
+    """Customers with a label and what is known of their address: name and nation."""
+    nations = mart.source("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    customers = mart.source("customer").select("c_custkey", "c_name", "c_nationkey").join(nations, "c_nationkey", "left")
+    address = F.concat("c_name", F.lit(", "), "n_name")
+    return customers.select(format_id("CU-", F.col("c_custkey"), 3).alias("customer_id"), address.alias("address"))
 
 
 def window_hours(mart) -> DataFrame:
@@ -160,29 +153,20 @@ def window_hours(mart) -> DataFrame:
 
 
 def package_profiles(mart) -> DataFrame:
-    """Weight and volume drawn within the range of the client, per client."""
-    profiles = dimensions.client_profiles(mart.spark)
-    orders = mart.orders.select("order_id", "client_id").join(profiles, "client_id", "left")
-    weight = F.col("weight_low") + hash_bucket("order_id", "wt", F.col("weight_steps"))
-    volume = F.col("volume_low") + hash_bucket("order_id", "vol", F.col("volume_steps"))
-    return orders.groupBy("client_id", "client_rank").agg(
+    """Weight and volume of the orders of each client."""
+    weight = F.col("package_weight_lbs")
+    return mart.orders.groupBy("client_id").agg(
         F.count(F.lit(1)).alias("orders"),
         F.sum(weight).alias("weight_lbs"),
         F.min(weight).alias("lightest"),
         F.max(weight).alias("heaviest"),
-        F.sum(volume).alias("volume_cuft"),
-    )
-
-
-def _routes_with_vehicle(mart, *columns) -> DataFrame:
-    return lookup_join(
-        mart.routes, mart.vehicles.select("vehicle_id", *columns), "vehicle_id", hot=mart.hot("routes", "vehicle_id")
+        F.sum("package_volume_cuft").alias("volume_cuft"),
     )
 
 
 def planned_costs(mart) -> DataFrame:
     """Planned cost recomputed from its parts, per vehicle class."""
-    routes = _routes_with_vehicle(mart, "vehicle_type", "cost_per_mile_usd", "daily_fixed_cost_usd")
+    routes = with_vehicle(mart, mart.routes, "vehicle_type", "cost_per_mile_usd", "daily_fixed_cost_usd")
     cost = costing.plan_cost(
         F.col("daily_fixed_cost_usd"), F.col("planned_miles"), F.col("cost_per_mile_usd"), F.col("planned_stops")
     )
@@ -190,27 +174,18 @@ def planned_costs(mart) -> DataFrame:
 
 
 def planned_durations(mart) -> DataFrame:
-    minutes = costing.plan_duration(
-        F.col("planned_stops"), costing.minutes_per_stop("route_id"), F.col("planned_miles")
-    )
+    """Planned minutes recomputed from stops and miles, per depot."""
+    miles = F.coalesce("planned_miles", F.lit(0).cast("decimal(18,1)"))
+    minutes = costing.plan_duration(F.col("planned_stops"), fv.STOP_MINUTES, miles)
     return mart.routes.groupBy("depot_id").agg(
         F.count(F.lit(1)).alias("routes"), F.sum(minutes).alias("planned_duration_min")
     )
 
 
 def actuals_by_method(mart) -> DataFrame:
-    """Actual miles, minutes and cost drawn around the plan, per method."""
-    method = F.col("optimization_method")
-
-    def total(planned, salt, factors, scale):
-        return F.sum(costing.actual_from_plan(F.col(planned), method, "route_id", salt, factors, scale))
-
-    return mart.routes.groupBy("optimization_method").agg(
-        F.sum("planned_miles").alias("planned_miles"),
-        total("planned_miles", "act_mi", fv.MILES_FACTORS, 1).alias("actual_miles"),
-        total("planned_duration_min", "act_dur", fv.DURATION_FACTORS, 1).alias("actual_duration_min"),
-        total("planned_cost_usd", "act_cost", fv.COST_FACTORS, 2).alias("actual_cost_usd"),
-    )
+    """Miles, minutes and cost as planned and as they were, per way of laying out."""
+    columns = ["planned_miles", "actual_miles", "planned_duration_min", "actual_duration_min", "planned_cost_usd", "actual_cost_usd"]
+    return mart.routes.groupBy("optimization_method").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def arrival_hours(mart) -> DataFrame:
@@ -223,29 +198,30 @@ def arrival_hours(mart) -> DataFrame:
     )
 
 
-def drawn_delays(mart) -> DataFrame:
-    """Delay flag, length and reason drawn for every planned stop."""
-    slots = costing.with_stop_draws(planned_stop_slots(mart))
-    slots = slots.withColumn("delay", costing.delay_minutes(F.col("late_draw"), F.col("delay_draw")))
-    slots = slots.withColumn("reason", costing.delay_reason(F.col("delay"), F.col("reason_draw")))
-    return slots.groupBy("reason").agg(
+def delays_observed(mart) -> DataFrame:
+    """Stops, minutes and extremes of delay per reason; stops without a reason are one row."""
+    return mart.stops.groupBy(F.col("delay_reason").alias("reason")).agg(
         F.count(F.lit(1)).alias("stops"),
-        F.sum("delay").alias("minutes"),
-        F.min("delay").alias("shortest"),
-        F.max("delay").alias("longest"),
+        F.sum("delay_minutes").alias("minutes"),
+        F.min("delay_minutes").alias("shortest"),
+        F.max("delay_minutes").alias("longest"),
     )
 
 
 def stop_targets(mart) -> DataFrame:
-    """Stop target of every vehicle within the bounds of its class and depot."""
-    fleet = mart.vehicles.join(mart.depots.select("depot_id", "depot_class"), "depot_id")
-    target = costing.capped_stops(F.col("max_stops_per_route"), F.col("depot_class"), "vehicle_id")
-    return fleet.select("vehicle_id", "depot_class", "max_stops_per_route", target.alias("stop_target"))
+    """Stops to plan for every vehicle: its average so far, within the limit of its class."""
+    driven = mart.routes.groupBy("vehicle_no").agg(
+        F.count(F.lit(1)).alias("routes"), F.sum("planned_stops").alias("stops")
+    )
+    fleet = mart.vehicles.join(driven, "vehicle_no", "left").fillna(0, ["routes"])
+    target = costing.stop_target(F.col("max_stops_per_route"), F.col("stops") / F.col("routes"))
+    return fleet.select("vehicle_id", "max_stops_per_route", "routes", target.alias("stop_target"))
 
 
 def driver_assignments(mart) -> DataFrame:
-    """Routes and depots per driver of the pool."""
-    driver = costing.driver_id(F.col("vehicle_id"), F.col("route_date"))
-    return mart.routes.groupBy(driver.alias("driver_id")).agg(
-        F.count(F.lit(1)).alias("routes"), F.countDistinct("depot_id").alias("depots")
+    """Routes, depots and months per driver."""
+    return mart.routes.groupBy("driver_id").agg(
+        F.count(F.lit(1)).alias("routes"),
+        F.countDistinct("depot_id").alias("depots"),
+        F.countDistinct("route_month").alias("months"),
     )

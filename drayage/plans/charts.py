@@ -4,9 +4,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from drayage import fixed_values as fv
 from drayage.functions.calendar import week_of
-from drayage.functions.metrics import count_if, mean, ratio
+from drayage.functions.metrics import mean, ratio
 from drayage.plans import dashboard
-from drayage.plans.filters import selected_routes
+from drayage.plans.filters import selected, selected_routes
+from drayage.plans.states import EXACT, efficiency
 
 
 def depot_label(column: str = "depot_id"):
@@ -32,14 +33,17 @@ def efficiency_trend(mart, period: str = "day", last: int | None = None, **filte
     """
     day = F.col("route_date")
     bucket = {"day": day, "week": week_of(day), "month": F.trunc(day, "month")}[period]
-    planned, actual = F.col("planned_miles").cast("double"), F.col("actual_miles").cast("double")
-    known = (F.coalesce(planned, F.lit(0.0)) != 0) & (F.coalesce(actual, F.lit(0.0)) != 0)
-    efficiency = F.when(known, F.least(F.lit(100.0), planned / F.when(known, actual) * 100.0)).otherwise(90.0)
+    if filters.get("client"):
+        routes = selected(mart.routes, mart, **filters).withColumns({"routes": F.lit(1), "efficiencies": efficiency().cast(EXACT)})
+    else:
+        routes = selected(mart.state("route_states"), mart, **filters)
     trend = (
-        selected_routes(mart, **filters)
-        .where(day.isNotNull())
+        routes.where(day.isNotNull())
         .groupBy(bucket.alias("period"))
-        .agg(F.coalesce(F.sum("planned_stops"), F.lit(0)).alias("planned_stops"), (F.sum(efficiency.cast("decimal(38,12)")).cast("double") / F.count(efficiency)).alias("rate"))
+        .agg(
+            F.coalesce(F.sum("planned_stops"), F.lit(0)).alias("planned_stops"),
+            ratio(F.sum("efficiencies"), F.sum("routes")).alias("rate"),
+        )
     )
     trend = trend.select("period", "planned_stops", F.round("rate", 1).alias("rate"))
     if last:
@@ -69,12 +73,16 @@ def vehicle_types(mart) -> DataFrame:
 
 def delay_pivot(mart, **filters) -> DataFrame:
     """Delayed stops per month, one column per known reason and one for all others."""
-    facts = dashboard.delay_facts(mart, **filters)
+    states = dashboard.delay_states(mart, **filters)
     reason = F.col("delay_reason")
     known = F.coalesce(reason.isin(*fv.DELAY_REASONS), F.lit(False))
+
+    def stops_if(condition):
+        return F.coalesce(F.sum(F.when(condition, F.col("stops"))), F.lit(0))
+
     return (
-        facts.groupBy(F.date_format("month", "yyyy-MM").alias("month"))
-        .agg(*[count_if(reason == r).alias(r) for r in fv.DELAY_REASONS], count_if(~known).alias("other"))
+        states.groupBy(F.date_format("month", "yyyy-MM").alias("month"))
+        .agg(*[stops_if(reason == r).alias(r) for r in fv.DELAY_REASONS], stops_if(~known).alias("other"))
         .orderBy("month")
     )
 
@@ -87,19 +95,18 @@ def reason_bars(mart, **filters) -> DataFrame:
     return dashboard.delays_by_reason(mart, **filters).withColumnsRenamed({"label": "reason", "count": "delayed_stops"})
 
 
-def map_depots(mart, **filters) -> DataFrame:
-    """Depots with the number of stops drawn for them, 0 if none."""
-    counts = dashboard.located_stops(mart, **filters).groupBy("depot_id").agg(F.count(F.lit(1)).alias("stops"))
-    return mart.depots.join(counts, "depot_id", "left").select(
+def map_depots(mart, depot=None, **filters) -> DataFrame:
+    """Depots with the number of stops drawn for them, 0 if none; the chosen one alone if one is chosen."""
+    counts = dashboard.located_stops(mart, depot=depot, **filters).groupBy("depot_id").agg(F.count(F.lit(1)).alias("stops"))
+    depots = mart.depots.where(F.col("depot_id") == depot) if depot else mart.depots
+    return depots.join(counts, "depot_id", "left").select(
         "depot_id", "name", "lat", "lon", F.coalesce("stops", F.lit(0)).alias("stops")
     ).orderBy("depot_id")
 
 
 def map_bounds(mart, **filters) -> DataFrame:
     """Smallest box around all depots and all stops that have coordinates."""
-    points = dashboard.located_stops(mart, **filters).select(
-        F.col("destination_lat").alias("lat"), F.col("destination_lon").alias("lon")
-    )
+    points = dashboard.located_stops(mart, **filters).select("lat", "lon")
     points = points.unionByName(mart.depots.select("lat", "lon")).where("lat is not null and lon is not null")
     return points.agg(
         F.min("lat").alias("min_lat"),

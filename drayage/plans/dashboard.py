@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 from drayage.functions.metrics import count_if, mean, mean_ratio, percent, ratio, stop_color
 from drayage.operators.joins import lookup_join
 from drayage.operators.skew import bounded
-from drayage.plans.filters import ROUTE_KEY, delayed, selected_routes
+from drayage.plans.filters import ROUTE_KEY, delayed, in_period, selected, selected_routes
+from drayage.plans.states import distinct_vehicles
 
 
 def active_vehicles(mart):
@@ -13,16 +14,56 @@ def active_vehicles(mart):
     return mart.vehicles.where(F.col("status") == "active").agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
+def _headline(mart, totals: DataFrame) -> DataFrame:
+    zero = F.lit(0.0)
+    return totals.select(
+        F.coalesce(percent("on_time", "total"), zero).alias("on_time_rate"),
+        F.round(F.coalesce("cost", zero), 2).alias("avg_cost_per_delivery"),
+        F.round(F.coalesce("miles", zero), 2).alias("avg_miles_per_stop"),
+        F.coalesce(percent("used", active_vehicles(mart)), zero).alias("fleet_utilization_pct"),
+        F.col("total").alias("total_deliveries"),
+        F.coalesce(percent("late", "total"), zero).alias("late_delivery_rate"),
+    )
+
+
 def kpis(mart, **filters) -> DataFrame:
     """One row of headline figures over the routes that meet the filters.
 
     Late means more than 15 minutes, on time exactly no delay, over all stops.
-    Costs and miles are averages of per-route ratios.
+    Costs and miles are averages of per-route ratios.  Read from states, which know
+    the date, depot and region of a stop; a client filter goes through the routes.
     """
+    if filters.get("client"):
+        return kpis_of_routes(mart, **filters)
+    states = selected(mart.state("stop_states"), mart, **filters)
+    routes = selected(mart.state("route_states"), mart, **filters)
+    vehicles = selected(mart.state("vehicle_bitmaps"), mart, **filters)
+    stops = states.agg(
+        F.sum("on_time").alias("on_time"),
+        F.sum("late").alias("late"),
+        F.coalesce(F.sum("stops"), F.lit(0)).alias("total"),
+    )
+    ratios = routes.agg(
+        ratio(F.sum("cost_ratios"), F.sum("costed")).alias("cost"), ratio(F.sum("mile_ratios"), F.sum("driven")).alias("miles")
+    )
+    # one row each, put side by side
+    totals = stops.withColumns(
+        {
+            "cost": ratios.select("cost").scalar(),
+            "miles": ratios.select("miles").scalar(),
+            "used": distinct_vehicles(vehicles).scalar(),
+        }
+    )
+    return _headline(mart, totals)
+
+
+def kpis_of_routes(mart, **filters) -> DataFrame:
+    """The headline figures from routes and stops themselves."""
     routes = selected_routes(mart, **filters).select(
         *ROUTE_KEY, "vehicle_id", "actual_cost_usd", "actual_miles", "planned_stops"
     )
-    stops = mart.stops.groupBy(*ROUTE_KEY).agg(
+    stops = in_period(mart.stops, "route_date", "route_month", filters.get("start"), filters.get("end"))
+    stops = stops.groupBy(*ROUTE_KEY).agg(
         F.count(F.lit(1)).alias("total"),
         count_if(F.col("delay_minutes") == 0).alias("on_time"),
         count_if(F.col("delay_minutes") > 15).alias("late"),
@@ -35,15 +76,7 @@ def kpis(mart, **filters) -> DataFrame:
         mean_ratio("actual_miles", "planned_stops").alias("miles"),
         F.countDistinct("vehicle_id").alias("used"),
     )
-    zero = F.lit(0.0)
-    return totals.select(
-        F.coalesce(percent("on_time", "total"), zero).alias("on_time_rate"),
-        F.round(F.coalesce("cost", zero), 2).alias("avg_cost_per_delivery"),
-        F.round(F.coalesce("miles", zero), 2).alias("avg_miles_per_stop"),
-        F.coalesce(percent("used", active_vehicles(mart)), zero).alias("fleet_utilization_pct"),
-        F.col("total").alias("total_deliveries"),
-        F.coalesce(percent("late", "total"), zero).alias("late_delivery_rate"),
-    )
+    return _headline(mart, totals)
 
 
 def routes(mart, date=None, depot=None, client=None, cap: int | None = None) -> DataFrame:
@@ -61,7 +94,7 @@ def route_stops(mart, route: str) -> DataFrame:
 
 def vehicle_usage(mart, depot=None, vehicle_type=None) -> DataFrame:
     """Every vehicle with its number of routes and averages, 0 if unused."""
-    used = mart.routes.groupBy("vehicle_id").agg(
+    used = mart.routes.groupBy("vehicle_no").agg(
         F.count(F.lit(1)).alias("route_count"),
         mean("actual_miles").alias("miles"),
         mean("actual_cost_usd").alias("cost"),
@@ -71,7 +104,7 @@ def vehicle_usage(mart, depot=None, vehicle_type=None) -> DataFrame:
         fleet = fleet.where(F.col("depot_id") == depot)
     if vehicle_type:
         fleet = fleet.where(F.col("vehicle_type") == vehicle_type)
-    return fleet.join(used, "vehicle_id", "left").select(
+    return fleet.join(used, "vehicle_no", "left").select(
         *fleet.columns,
         F.coalesce("route_count", F.lit(0)).alias("route_count"),
         F.round(F.coalesce("miles", F.lit(0.0)), 1).alias("avg_miles_per_route"),
@@ -84,20 +117,28 @@ def vehicles(mart, **filters) -> DataFrame:
 
 
 def delay_facts(mart, start=None, end=None, region=None) -> DataFrame:
-    """Delayed stops of known routes and orders."""
-    found = selected_routes(mart, start=start, end=end).select(
-        *ROUTE_KEY, F.trunc("route_date", "month").alias("month")
+    """Delayed stops of known orders; what is asked of route and order stands on the stop."""
+    stops = delayed(in_period(mart.stops, "route_date", "route_month", start, end))
+    if region:
+        stops = stops.where(F.col("service_region") == region)
+    return stops.where("order_found").select(
+        *ROUTE_KEY, F.col("route_date").alias("month"), "service_region", "delay_reason", "delay_minutes"
     )
-    stops = delayed(mart.stops).select(*ROUTE_KEY, "order_id", "delay_reason", "delay_minutes")
-    stops = lookup_join(stops, found, ROUTE_KEY, hot=mart.hot("stops", "route_id"))
-    orders = mart.orders.select("order_id", "client_id", "service_region")
+
+
+def delay_states(mart, start=None, end=None, region=None) -> DataFrame:
+    """Number and minutes of delayed stops of known orders by reason, month and region, from states."""
+    states = in_period(mart.state("stop_states"), "route_date", "route_month", start, end)
     if region:
-        orders = orders.where(F.col("service_region") == region)
-    return lookup_join(stops, orders, "order_id", hot=mart.hot("stops", "order_id"))
+        states = states.where(F.col("service_region") == region)
+    return states.where(F.col("order_found") & (F.col("delayed") > 0)).select(
+        "delay_reason", F.col("route_date").alias("month"), "service_region", F.col("delayed").alias("stops"),
+        F.col("delay_minutes").alias("minutes"),
+    )
 
 
 def _delay_totals(grouped) -> DataFrame:
-    return grouped.agg(F.count(F.lit(1)).alias("count"), F.sum("delay_minutes").alias("minutes"))
+    return grouped.agg(F.sum("stops").alias("count"), F.sum("minutes").alias("minutes"))
 
 
 def _avg_delay():
@@ -105,37 +146,31 @@ def _avg_delay():
 
 
 def delays_by_reason(mart, **filters) -> DataFrame:
-    totals = _delay_totals(delay_facts(mart, **filters).groupBy("delay_reason"))
+    totals = _delay_totals(delay_states(mart, **filters).groupBy("delay_reason"))
     return totals.select(F.col("delay_reason").alias("label"), "count", _avg_delay()).orderBy(
         F.col("count").desc(), "label"
     )
 
 
 def delays_by_month(mart, **filters) -> DataFrame:
-    totals = _delay_totals(delay_facts(mart, **filters).groupBy("delay_reason", "month"))
+    totals = _delay_totals(delay_states(mart, **filters).groupBy("delay_reason", "month"))
     return totals.select(F.col("delay_reason").alias("label"), "month", "count", _avg_delay()).orderBy(
         "month", F.col("count").desc(), "label"
     )
 
 
 def delays_by_region(mart, **filters) -> DataFrame:
-    totals = _delay_totals(delay_facts(mart, **filters).groupBy("service_region"))
+    totals = _delay_totals(delay_states(mart, **filters).groupBy("service_region"))
     return totals.select(F.col("service_region").alias("label"), "count", _avg_delay()).orderBy(
         F.col("count").desc(), "label"
     )
 
 
 def delay_report(mart, **filters) -> DataFrame:
-    """By reason, by reason and month, by region: one pass over the stops.
-
-    The finest groups are counted first, so the grouping sets repeat a few
-    aggregated rows instead of every stop.
-    """
-    facts = delay_facts(mart, **filters)
+    """By reason, by reason and month, by region: grouping sets over states."""
     reason, month, region = F.col("delay_reason"), F.col("month"), F.col("service_region")
     totals = (
-        facts.groupBy("delay_reason", "month", "service_region")
-        .agg(F.count(F.lit(1)).alias("stops"), F.sum("delay_minutes").alias("minutes"))
+        delay_states(mart, **filters)
         .groupingSets([[reason], [reason, month], [region]], reason, month, region)
         .agg(
             F.sum("stops").alias("count"),
@@ -155,10 +190,11 @@ def delay_report(mart, **filters) -> DataFrame:
 
 def worst_routes(mart, n: int = 10, **filters) -> DataFrame:
     """Routes with the most delay minutes; ties broken by route."""
-    late = delayed(mart.stops).groupBy(*ROUTE_KEY).agg(
+    late = delayed(in_period(mart.stops, "route_date", "route_month", filters.get("start"), filters.get("end")))
+    late = late.groupBy(*ROUTE_KEY).agg(
         F.sum("delay_minutes").alias("total_delay_minutes"), F.count(F.lit(1)).alias("delayed_stops")
     )
-    found = selected_routes(mart, **filters).select(*ROUTE_KEY, "depot_id", "route_date", "vehicle_id")
+    found = selected_routes(mart, **filters).select(*ROUTE_KEY, "route_id", "depot_id", "route_date", "vehicle_id")
     return (
         late.join(found, ROUTE_KEY)
         .select("route_id", "depot_id", "route_date", "vehicle_id", "total_delay_minutes", "delayed_stops")
@@ -167,53 +203,52 @@ def worst_routes(mart, n: int = 10, **filters) -> DataFrame:
     )
 
 
-def _stops_of_routes(mart, **filters) -> DataFrame:
-    found = selected_routes(mart, **filters).select(*ROUTE_KEY, "depot_id", "vehicle_id")
-    stops = mart.stops.select(*ROUTE_KEY, "stop_sequence", "order_id", "delay_minutes", "status")
-    return lookup_join(stops, found, ROUTE_KEY, hot=mart.hot("stops", "route_id"))
+def _near(df: DataFrame, box) -> DataFrame:
+    """Rows inside a box (south, west, north, east); its edges belong to it."""
+    if box:
+        south, west, north, east = box
+        df = df.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
+    return df
 
 
-def located_stops(mart, **filters) -> DataFrame:
-    """Stops with their route and the place of their order."""
-    places = mart.orders.select("order_id", "destination_lat", "destination_lon", "destination_address")
-    return lookup_join(_stops_of_routes(mart, **filters), places, "order_id", hot=mart.hot("stops", "order_id"))
+def located_stops(mart, box=None, **filters) -> DataFrame:
+    """Stops with the place of their order, unknown places included.
 
+    A box has no use for stops without a place, so it reads those that have one, stored
+    in order of place.
+    """
+    if box:
+        return _near(selected(mart.state("stop_places"), mart, **filters), box)
+    stops = selected(mart.stops, mart, **filters).where("order_found")
+    return stops.withColumnsRenamed({"destination_lat": "lat", "destination_lon": "lon"})
 
-def first_located_stops(mart, cap: int, **filters) -> DataFrame:
-    """The first stops by route and sequence that have an order, with its place.
 
-    Only keys are matched to pick them; the place is then added to cap rows.
-    """
-    stops = lookup_join(
-        _stops_of_routes(mart, **filters),
-        mart.orders.select("order_id"),
-        "order_id",
-        "left_semi",
-        hot=mart.hot("stops", "order_id"),
-    )
-    first = stops.orderBy("route_id", "stop_sequence").limit(cap)
-    places = mart.orders.select("order_id", "destination_lat", "destination_lon", "destination_address")
-    return places.join(bounded(first, cap), "order_id")
+def first_located_stops(mart, cap: int, **filters) -> DataFrame:
+    """The first stops by route and sequence that have an order."""
+    return located_stops(mart, **filters).orderBy("route_id", "stop_sequence").limit(cap)
 
 
-def map_stops(mart, date=None, depot=None, cap: int | None = None) -> DataFrame:
+def map_stops(mart, date=None, depot=None, cap: int | None = None, box=None) -> DataFrame:
     """Stops to draw on the map, with the colour of their delay."""
-    filters = {"start": date, "end": date, "depot": depot}
+    filters = {"start": date, "end": date, "depot": depot, "box": box}
     found = first_located_stops(mart, cap, **filters) if cap else located_stops(mart, **filters)
     found = found.select(
         "route_id",
         "depot_id",
         "vehicle_id",
         "stop_sequence",
+        "order_no",
         "order_id",
-        F.col("destination_lat").alias("lat"),
-        F.col("destination_lon").alias("lon"),
-        F.col("destination_address").alias("address"),
+        "lat",
+        "lon",
         F.coalesce("delay_minutes", F.lit(0)).alias("delay_minutes"),
         "status",
         stop_color(F.col("delay_minutes")).alias("color"),
     )
-    return found.orderBy("route_id", "stop_sequence")
+    places = mart.orders.select("order_no", F.col("destination_address").alias("address"))
+    found = bounded(found, cap) if cap else found
+    found = lookup_join(found, places, "order_no", "left", hot=None if cap else mart.hot("stops", "order_no"))
+    return found.drop("order_no").orderBy("route_id", "stop_sequence")
 
 
 def depot_list(mart) -> DataFrame:

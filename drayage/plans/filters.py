@@ -2,9 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from drayage.operators.skew import small_table
-
-ROUTE_KEY = ["route_month", "route_id"]
+ROUTE_KEY = ["route_no"]
 
 
 def in_period(df: DataFrame, date: str, month: str, start: str | None, end: str | None) -> DataFrame:
@@ -16,24 +14,27 @@ def in_period(df: DataFrame, date: str, month: str, start: str | None, end: str
     return df
 
 
-def selected_routes(mart, start=None, end=None, depot=None, client=None, region=None) -> DataFrame:
-    """Routes that meet the filters.
+def selected(df: DataFrame, mart, start=None, end=None, depot=None, client=None, region=None) -> DataFrame:
+    """Routes, their stops or their states that meet the filters.
 
-    ``client`` matches a whole entry of the mix.  ``region`` keeps routes whose
-    depot has an order of that region in the route's month.
+    ``client`` matches a whole entry of the mix, so it takes routes.  ``region`` keeps
+    what belongs to a depot with an order of that region in the route's month: a
+    semi-join that Spark runs with the rest, against a row for each depot and month.
     """
-    routes = in_period(mart.routes, "route_date", "route_month", start, end)
+    df = in_period(df, "route_date", "route_month", start, end)
     if depot:
-        routes = routes.where(F.col("depot_id") == depot)
+        df = df.where(F.col("depot_id") == depot)
     if client:
-        routes = routes.where(F.array_contains("client_mix", client))
+        df = df.where(F.array_contains("client_mix", client))
     if region:
-        served = mart.orders.where(F.col("service_region") == region).groupBy(
-            "depot_id", F.col("requested_month").alias("route_month")
-        ).agg(F.count(F.lit(1)).alias("orders"))
-        # at most depots x months rows, so the routes need not move
-        routes = routes.join(small_table(served, "served"), ["depot_id", "route_month"], "left_semi")
-    return routes
+        served = mart.state("order_states").where(F.col("service_region") == region)
+        served = served.select("depot_id", F.col("requested_month").alias("route_month")).distinct()
+        df = df.join(served, ["depot_id", "route_month"], "left_semi")
+    return df
+
+
+def selected_routes(mart, **filters) -> DataFrame:
+    return selected(mart.routes, mart, **filters)
 
 
 def delayed(stops: DataFrame) -> DataFrame:

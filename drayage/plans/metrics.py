@@ -2,11 +2,10 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from drayage.functions.calendar import week_of
-from drayage.functions.metrics import count_if, mean, mean_ratio, percent, ratio
-from drayage.operators.joins import lookup_join
+from drayage.functions.metrics import mean, mean_ratio, percent, ratio
 from drayage.plans import dashboard
-from drayage.plans.filters import selected_routes
+from drayage.plans.filters import selected
+from drayage.plans.states import distinct_vehicles
 
 
 def completed(mart) -> DataFrame:
@@ -15,14 +14,14 @@ def completed(mart) -> DataFrame:
 
 def on_time_rate(mart) -> DataFrame:
     """Completed stops without any delay, in percent."""
-    rate = percent(count_if(F.col("delay_minutes") == 0), F.count(F.lit(1)))
-    return completed(mart).agg(rate.alias("on_time_rate"))
+    states = mart.state("stop_states")
+    return states.agg(percent(F.sum("completed_on_time"), F.sum("completed")).alias("on_time_rate"))
 
 
 def late_rate(mart) -> DataFrame:
     """Completed stops with any delay, in percent."""
-    rate = percent(count_if(F.col("delay_minutes") > 0), F.count(F.lit(1)))
-    return completed(mart).agg(rate.alias("late_delivery_rate"))
+    states = mart.state("stop_states")
+    return states.agg(percent(F.sum("completed_delayed"), F.sum("completed")).alias("late_delivery_rate"))
 
 
 def cost_per_delivery(mart) -> DataFrame:
@@ -35,7 +34,7 @@ def miles_per_stop(mart) -> DataFrame:
 
 def fleet_utilization(mart, start=None, end=None) -> DataFrame:
     """Vehicles with a route in the period, as percent of the active fleet."""
-    used = selected_routes(mart, start=start, end=end).agg(F.countDistinct("vehicle_id").alias("used"))
+    used = distinct_vehicles(selected(mart.state("vehicle_bitmaps"), mart, start=start, end=end))
     return used.select(percent("used", dashboard.active_vehicles(mart)).alias("fleet_utilization_pct"))
 
 
@@ -54,37 +53,31 @@ def cost_by_depot(mart) -> DataFrame:
 
 
 def on_time_by_week(mart) -> DataFrame:
-    rate = percent(count_if(F.col("delay_minutes") == 0), F.count(F.lit(1)))
-    return (
-        completed(mart).groupBy(week_of(F.col("planned_arrival")).alias("week")).agg(rate.alias("on_time_rate")).orderBy("week")
+    weeks = mart.state("stop_states").groupBy("week").agg(
+        F.sum("completed").alias("completed"), F.sum("completed_on_time").alias("on_time")
     )
+    return weeks.where("completed > 0").select("week", percent("on_time", "completed").alias("on_time_rate")).orderBy("week")
 
 
 def delay_reasons_by_region(mart) -> DataFrame:
-    """Stops with a delay reason, per region of their order.
-
-    The route adds nothing but its existence, which the quality checks cover.
-    """
-    # counted per order first, so an order has a row per reason however many stops it has
-    stops = mart.stops.where(F.col("delay_reason").isNotNull())
-    counts = stops.groupBy("order_id", "delay_reason").agg(F.count(F.lit(1)).alias("n"))
+    """Stops of known orders with a delay reason, per region of their order."""
+    states = mart.state("stop_states").where(F.col("order_found") & F.col("delay_reason").isNotNull())
     return (
-        counts.join(mart.orders.select("order_id", "service_region"), "order_id")
-        .groupBy("service_region", "delay_reason")
-        .agg(F.sum("n").alias("cnt"))
+        states.groupBy("service_region", "delay_reason")
+        .agg(F.sum("stops").alias("cnt"))
         .orderBy(F.col("cnt").desc(), "service_region", "delay_reason")
     )
 
 
 def routes_by_type(mart) -> DataFrame:
-    """Routes, each of which has one row, and average miles per vehicle class."""
-    per_vehicle = mart.routes.groupBy("vehicle_id").agg(
+    """Routes, each of which has one row, and average miles per vehicle class; unknown vehicles have none."""
+    per_vehicle = mart.routes.groupBy("vehicle_no").agg(
         F.count(F.lit(1)).alias("routes"),
         F.sum("actual_miles").alias("miles"),
         F.count("actual_miles").alias("driven"),
     )
     return (
-        per_vehicle.join(mart.vehicles.select("vehicle_id", "vehicle_type"), "vehicle_id")
+        per_vehicle.join(mart.vehicles.select("vehicle_no", "vehicle_type"), "vehicle_no", "left")
         .groupBy("vehicle_type")
         .agg(
             F.sum("routes").alias("routes"),

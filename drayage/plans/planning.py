@@ -7,22 +7,22 @@ from drayage.functions.costing import after
 from drayage.functions.metrics import count_if, haversine_miles, mean, percent, ratio
 from drayage.operators.joins import lookup_join
 from drayage.operators.numbering import previous_row
-from drayage.plans.filters import ROUTE_KEY, delayed, selected_routes
+from drayage.plans.filters import ROUTE_KEY, delayed, selected, selected_routes
 
 PATH_PIECE = 500
 
 
 def _arrivals(mart) -> DataFrame:
     """Arrival of each stop next to its order's window on the requested day."""
-    arrivals = mart.stops.where(F.col("actual_arrival").isNotNull()).select("route_stop_id", "order_id", "actual_arrival")
+    arrivals = mart.stops.where(F.col("actual_arrival").isNotNull()).select("route_stop_id", "order_no", "actual_arrival")
     day = F.col("requested_date").cast("timestamp_ntz")
     windows = mart.orders.select(
-        "order_id",
+        "order_no",
         "client_id",
         after(day, F.col("window_start_min")).alias("opens"),
         after(day, F.col("window_end_min")).alias("closes"),
     )
-    return lookup_join(arrivals, windows, "order_id", hot=mart.hot("stops", "order_id"))
+    return lookup_join(arrivals, windows, "order_no", hot=mart.hot("stops", "order_no"))
 
 
 def on_time_by_window(mart) -> DataFrame:
@@ -48,62 +48,58 @@ def late_by_window(mart) -> DataFrame:
 
 
 def _points(mart) -> DataFrame:
-    places = mart.orders.select("order_id", F.col("destination_lat").alias("lat"), F.col("destination_lon").alias("lon"))
-    stops = mart.stops.where(F.col("order_id").isNotNull()).select(*ROUTE_KEY, "stop_sequence", "order_id")
-    points = lookup_join(stops, places, "order_id", hot=mart.hot("stops", "order_id"))
-    return points.where("lat is not null and lon is not null").drop("order_id")
+    """The place of every stop that has one."""
+    found = mart.stops.where("order_found and destination_lat is not null and destination_lon is not null")
+    return found.select(*ROUTE_KEY, "stop_sequence", F.col("destination_lat").alias("lat"), F.col("destination_lon").alias("lon"))
 
 
 def straight_line_efficiency(mart) -> DataFrame:
     """Straight-line miles between successive stops against driven miles.
 
-    A route with a single located stop has no leg and gets no ratio.
+    A route with a single located stop has no leg and gets no ratio.  Legs are summed
+    as decimals, so the sum does not depend on the order of rows.
     """
-    legs = previous_row(_points(mart), ROUTE_KEY, ["stop_sequence"], ["lat", "lon"], hot=mart.hot("stops", "route_id"))
-    miles = (
-        legs.where(F.col("prev_lat").isNotNull())
-        .groupBy(*ROUTE_KEY)
-        .agg(F.sum(haversine_miles("prev_lat", "prev_lon", "lat", "lon")).alias("straight"))
-    )
+    legs = previous_row(_points(mart), ROUTE_KEY, ["stop_sequence"], ["lat", "lon"], hot=mart.hot("stops", "route_no"))
+    leg = haversine_miles("prev_lat", "prev_lon", "lat", "lon").cast("decimal(18,9)")
+    miles = legs.where(F.col("prev_lat").isNotNull()).groupBy(*ROUTE_KEY).agg(F.sum(leg).alias("straight"))
     return mart.routes.join(miles, ROUTE_KEY, "left").select(
         "route_id",
-        F.round("straight", 3).alias("straight_miles"),
+        F.round("straight", 3).cast("double").alias("straight_miles"),
         F.col("actual_miles").cast("double").alias("actual_miles"),
         F.round(ratio("straight", "actual_miles") * 100, 1).alias("efficiency_pct"),
     )
 
 
 def with_vehicle(mart, routes: DataFrame, *columns: str) -> DataFrame:
-    """Routes with columns of their vehicle."""
-    fleet = mart.vehicles.select("vehicle_id", *columns)
-    return lookup_join(routes, fleet, "vehicle_id", hot=mart.hot("routes", "vehicle_id"))
+    """Routes with columns of their vehicle, null for one that is not known."""
+    fleet = mart.vehicles.select("vehicle_no", *columns)
+    return lookup_join(routes, fleet, "vehicle_no", "left", hot=mart.hot("routes", "vehicle_no"))
 
 
 def route_load(mart) -> DataFrame:
-    """Weight and volume of the orders on each route next to the capacity.
+    """Stops, and weight and volume of the orders on each route next to the capacity.
 
     An order with several stops on one route is loaded once.
     """
-    # the sequence tells the stops of an order on one route apart, so a hot order is spread
-    served = mart.stops.select(*ROUTE_KEY, "order_id", "stop_sequence")
-    packages = mart.orders.select("order_id", "package_weight_lbs", "package_volume_cuft")
-    # rows are already placed by order here, so the first grouping needs no shuffle
+    # stops lie together by route, so they are counted by route and order where they are
+    served = mart.stops.groupBy(*ROUTE_KEY, "order_no").agg(F.count(F.lit(1)).alias("stops"))
+    packages = mart.orders.select("order_no", "package_weight_lbs", "package_volume_cuft")
     loads = (
-        lookup_join(served, packages, "order_id", hot=mart.hot("stops", "order_id"))
-        .groupBy(*ROUTE_KEY, "order_id")
+        lookup_join(served, packages, "order_no", "left", hot=mart.hot("stops", "order_no"), salt_by=ROUTE_KEY)
+        .groupBy(*ROUTE_KEY)
         .agg(
-            F.max("package_weight_lbs").alias("package_weight_lbs"),
-            F.max("package_volume_cuft").alias("package_volume_cuft"),
+            F.sum("stops").alias("stops"),
+            F.sum("package_weight_lbs").alias("weight"),
+            F.sum("package_volume_cuft").alias("volume"),
         )
-        .groupBy(*ROUTE_KEY)
-        .agg(F.sum("package_weight_lbs").alias("weight"), F.sum("package_volume_cuft").alias("volume"))
     )
-    routes = mart.routes.select(*ROUTE_KEY, "route_date", "vehicle_id", "depot_id", "planned_stops")
+    routes = mart.routes.select(*ROUTE_KEY, "route_id", "route_date", "vehicle_no", "vehicle_id", "depot_id", "planned_stops")
     routes = routes.join(loads, ROUTE_KEY, "left")
     limits = ["vehicle_type", "capacity_weight_lbs", "capacity_volume_cuft", "max_stops_per_route"]
     nothing = F.lit(0).cast("decimal(28,2)")
     return (
         with_vehicle(mart, routes, *limits)
+        .withColumn("stops", F.coalesce("stops", F.lit(0)))
         .withColumn("load_weight_lbs", F.coalesce("weight", nothing))
         .withColumn("load_volume_cuft", F.coalesce("volume", nothing))
         .drop("weight", "volume")
@@ -184,16 +180,13 @@ def route_paths(mart, piece: int = PATH_PIECE, **filters) -> DataFrame:
     so no row or group grows with the route.
     """
     point = F.struct("stop_sequence", "lat", "lon")
-    points, hot = _points(mart), mart.hot("stops", "route_id")
-    if hot is None:
-        # placed by route once, for the grouping and the join
-        points = points.repartition(*ROUTE_KEY)
     paths = (
-        points.groupBy(*ROUTE_KEY, F.floor((F.col("stop_sequence") - 1) / piece).cast("int").alias("piece"))
+        _points(mart).groupBy(*ROUTE_KEY, F.floor((F.col("stop_sequence") - 1) / piece).cast("int").alias("piece"))
         .agg(F.array_sort(F.collect_list(point)).alias("points"))
     )
-    routes = with_vehicle(mart, selected_routes(mart, **filters).select(*ROUTE_KEY, "vehicle_id"), "vehicle_type")
-    paths = lookup_join(paths, routes, ROUTE_KEY, hot=hot, salt_by=["piece"])
+    routes = selected_routes(mart, **filters).select(*ROUTE_KEY, "route_id", "vehicle_no")
+    routes = with_vehicle(mart, routes, "vehicle_type")
+    paths = lookup_join(paths, routes, ROUTE_KEY, hot=mart.hot("stops", "route_no"), salt_by=["piece"])
     return paths.select("route_id", "vehicle_type", "piece", "points")
 
 
@@ -205,33 +198,18 @@ def path_text(points: str = "points"):
 
 def affected_orders(mart, reason: str, **filters) -> DataFrame:
     """Orders hit by the given delay reason, with their delayed stops."""
-    late = delayed(mart.stops).where((F.col("delay_reason") == reason) & F.col("order_id").isNotNull())
-    if filters:
-        found = selected_routes(mart, **filters).select(*ROUTE_KEY)
-        late = lookup_join(
-            late.select(*ROUTE_KEY, "order_id", "delay_minutes"), found, ROUTE_KEY, hot=mart.hot("stops", "route_id")
-        )
-    per_order = late.groupBy("order_id").agg(
+    late = delayed(selected(mart.stops, mart, **filters)).where((F.col("delay_reason") == reason) & F.col("order_found"))
+    per_order = late.groupBy("order_no").agg(
         F.count(F.lit(1)).alias("delayed_stops"), F.sum("delay_minutes").alias("delay_minutes")
     )
-    orders = mart.orders.select("order_id", "client_id", "depot_id", "service_region", "priority")
-    return per_order.join(orders, "order_id")
+    orders = mart.orders.select("order_no", "order_id", "client_id", "depot_id", "service_region", "priority")
+    return per_order.join(orders, "order_no").drop("order_no")
 
 
 def late_rate_by_region(mart) -> DataFrame:
-    per_order = mart.stops.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("stops"), count_if(F.col("delay_minutes") > 0).alias("late")
-    )
-    return (
-        per_order.join(mart.orders.select("order_id", "service_region"), "order_id")
-        .groupBy("service_region")
-        .agg(
-            F.sum("stops").alias("stops"),
-            F.sum("late").alias("late_stops"),
-            percent(F.sum("late"), F.sum("stops"), 2).alias("late_rate"),
-        )
-        .orderBy("service_region")
-    )
+    regions = mart.state("stop_states").where("order_found").groupBy("service_region")
+    totals = regions.agg(F.sum("stops").alias("stops"), F.sum("delayed").alias("late_stops"))
+    return totals.withColumn("late_rate", percent("late_stops", "stops", 2)).orderBy("service_region")
 
 
 def depot_share(mart) -> DataFrame:
@@ -239,7 +217,7 @@ def depot_share(mart) -> DataFrame:
 
     The windows see one row per depot, not the orders.
     """
-    totals = mart.orders.groupBy("depot_id").agg(F.count(F.lit(1)).alias("orders"))
+    totals = mart.state("order_states").groupBy("depot_id").agg(F.sum("orders").alias("orders"))
     largest_first = Window.orderBy(F.col("orders").desc(), "depot_id").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy()
     summed = totals.withColumns(

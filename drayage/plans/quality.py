@@ -26,70 +26,96 @@ def row_counts(mart) -> DataFrame:
     )
 
 
-def build_summary(mart) -> DataFrame:
-    """Rows, columns and months of each table the build has written."""
-    tables = {
-        "vehicles": (mart.vehicles, F.lit(None)),
-        "delivery_orders": (mart.orders, F.col("requested_month")),
-        "route_plans": (mart.routes, F.col("route_month")),
-        "route_stops": (mart.stops, F.col("route_month")),
+#: Key domains: the table that owns the keys, and the columns that refer to them.
+DOMAINS = {
+    "route_no": ("route_plans", [("route_stops", "route_no")]),
+    "order_no": ("delivery_orders", [("route_stops", "order_no")]),
+    "vehicle_no": ("vehicles", [("route_plans", "vehicle_no")]),
+    "depot_id": ("depots", [("route_plans", "depot_id"), ("delivery_orders", "depot_id"), ("vehicles", "depot_id")]),
+}
+
+
+def _tables(mart) -> dict[str, DataFrame]:
+    return {
+        "vehicles": mart.vehicles,
+        "delivery_orders": mart.orders,
+        "route_plans": mart.routes,
+        "route_stops": mart.stops,
+        "depots": mart.depots,
     }
-    return _union(
-        df.agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct(month.cast("string")).alias("months")).select(
-            F.lit(name).alias("table_name"), "row_count", F.lit(len(df.columns)).alias("columns"), "months"
-        )
-        for name, (df, month) in tables.items()
-    )
 
 
-def _unmatched(check: str, child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Rows of child whose key is missing in parent; keys are counted first."""
-    keys = child.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    missing = keys.join(parent.select(key), key, "left_anti")
-    return missing.agg(
-        F.lit(check).alias("check"),
-        F.count(F.lit(1)).alias("missing_keys"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+def key_ledger(mart) -> DataFrame:
+    """How often each key stands in each column: domain, key, whether a table owns it, rows per column.
+
+    Every table is scanned once and gives an entry for each of its key columns; one
+    aggregation over the entries meets parents and children of all domains.  Tasks add
+    up the rows of a key before they leave, so a hot key is a few entries.
+    """
+    entries = []
+    for table, df in _tables(mart).items():
+        own = [(d, c, None) for d, (_, uses) in DOMAINS.items() for t, c in uses if t == table]
+        own += [(d, d, "parent") for d, (parent, _) in DOMAINS.items() if parent == table]
+        listed = F.array(
+            *[
+                F.struct(
+                    F.lit(domain).alias("domain"),
+                    (F.col(column) if column.endswith("_no") else F.lit(None).cast("long")).alias("number"),
+                    (F.lit(None).cast("string") if column.endswith("_no") else F.col(column)).alias("name"),
+                    F.lit(kind or f"{table}.{column}").alias("place"),
+                )
+                for domain, column, kind in own
+            ]
+        )
+        entries.append(df.select(F.explode(listed).alias("e")).select("e.*"))
+    places = [f"{t}.{c}" for _, uses in DOMAINS.values() for t, c in uses]
+    here = F.col("place")
+    return (
+        _union(entries)
+        .groupBy("domain", "number", "name")
+        .agg(
+            F.max(here == "parent").alias("owned"),
+            *[F.count(F.when(here == place, 1)).alias(place) for place in places],
+        )
     )
 
 
-def _route_checks(mart) -> DataFrame:
-    """Stops without a route and routes without stops, from one join."""
-    stops = mart.stops.where(F.col("route_id").isNotNull()).groupBy("route_id")
-    stops = stops.agg(F.count(F.lit(1)).alias("stops"))
-    routes = mart.routes.select("route_id", F.lit(1).alias("planned"))
-    both = stops.join(routes, "route_id", "full")
-    orphan, empty = F.col("planned").isNull(), F.col("stops").isNull()
-    counted = both.agg(
-        count_if(orphan).alias("orphan_keys"),
-        F.coalesce(F.sum(F.when(orphan, F.col("stops"))), F.lit(0)).alias("orphan_rows"),
-        count_if(empty).alias("empty_keys"),
-    )
-    return counted.selectExpr(
-        "stack(2, 'route_stops.route_id', orphan_keys, orphan_rows,"
-        " 'route_plans without stops', empty_keys, empty_keys) as (check, missing_keys, rows)"
-    )
+#: What each reference is called in the checks: by its id.
+CHECK_NAMES = {
+    "route_stops.route_no": "route_stops.route_id",
+    "route_stops.order_no": "route_stops.order_id",
+    "route_plans.vehicle_no": "route_plans.vehicle_id",
+}
 
 
 def key_checks(mart) -> DataFrame:
-    """Broken references, one row per relation."""
-    return _union(
-        [
-            _route_checks(mart),
-            _unmatched("route_stops.order_id", mart.stops, mart.orders, "order_id"),
-            _unmatched("route_plans.vehicle_id", mart.routes, mart.vehicles, "vehicle_id"),
-            _unmatched("route_plans.depot_id", mart.routes, mart.depots, "depot_id"),
-            _unmatched("delivery_orders.depot_id", mart.orders, mart.depots, "depot_id"),
-            _unmatched("vehicles.depot_id", mart.vehicles, mart.depots, "depot_id"),
-        ]
-    )
+    """Broken references and missing ones, two rows per relation, and routes without stops."""
+    ledger = key_ledger(mart)
+    empty, owned = F.col("number").isNull() & F.col("name").isNull(), F.col("owned")
+    missing = ~empty & ~owned
+    counts, rows = [], []
+    for domain, (_, uses) in DOMAINS.items():
+        for table, column in uses:
+            place = f"{table}.{column}"
+            number, inside = F.col(f"`{place}`"), F.col("domain") == domain
+            name = CHECK_NAMES.get(place, place)
+            for check, wanted in ((name, missing), (f"{name} is null", empty)):
+                at = len(counts)
+                counts.append(count_if(inside & wanted & (number > 0)).alias(f"k{at}"))
+                counts.append(F.coalesce(F.sum(F.when(inside & wanted, number)), F.lit(0)).alias(f"r{at}"))
+                rows.append(f"'{check}', k{at}, r{at}")
+    idle = (F.col("domain") == "route_no") & owned & ~empty & (F.col("`route_stops.route_no`") == 0)
+    counts.append(count_if(idle).alias("idle"))
+    rows.append("'route_plans without stops', idle, idle")
+    totals = ledger.agg(*counts)
+    return totals.selectExpr(f"stack({len(rows)}, {', '.join(rows)}) as (check, missing_keys, rows)")
 
 
 def stops_without_order(mart) -> DataFrame:
-    """Stops with no order key, and stops whose order is unknown."""
-    unknown = _unmatched("unknown_order", mart.stops, mart.orders, "order_id").select("check", F.col("rows").alias("stops"))
-    empty = mart.stops.agg(F.lit("no_order").alias("check"), count_if(F.col("order_id").isNull()).alias("stops"))
-    return empty.unionByName(unknown)
+    """Stops with no order key, and stops whose order is unknown; both stand on the stop."""
+    no_key = F.col("order_no").isNull()
+    totals = mart.stops.agg(count_if(no_key).alias("a"), count_if(~no_key & ~F.col("order_found")).alias("b"))
+    return totals.selectExpr("stack(2, 'no_order', a, 'unknown_order', b) as (check, stops)")
 
 
 def capacity_violations(mart) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from drayage.functions.calendar import month_of, week_of
+from drayage.functions.calendar import month_of
 from drayage.functions.metrics import count_if, mean_ratio, percent, ratio
-from drayage.operators.joins import lookup_join
 from drayage.plans import metrics, planning
-from drayage.plans.filters import ROUTE_KEY, delayed
 
 
 def newest_route_date(mart):
@@ -27,28 +25,17 @@ def costliest_routes_last_month(mart, n: int = 10) -> DataFrame:
 
 def on_time_by_depot_and_week(mart) -> DataFrame:
     """Completed stops without delay, per depot of the route."""
-    # counted per route and week first: a route has few weeks however many stops it has
-    counts = (
-        metrics.completed(mart)
-        .groupBy(*ROUTE_KEY, week_of(F.col("planned_arrival")).alias("week"))
-        .agg(F.count(F.lit(1)).alias("stops"), count_if(F.col("delay_minutes") == 0).alias("on_time"))
-    )
-    return (
-        counts.join(mart.routes.select(*ROUTE_KEY, "depot_id"), ROUTE_KEY)
-        .groupBy("depot_id", "week")
-        .agg(F.sum("stops").alias("completed_stops"), percent(F.sum("on_time"), F.sum("stops")).alias("on_time_rate"))
-        .orderBy("depot_id", "week")
+    weeks = mart.state("stop_states").groupBy("depot_id", "week").agg(
+        F.sum("completed").alias("completed_stops"), F.sum("completed_on_time").alias("on_time")
     )
+    rate = percent("on_time", "completed_stops").alias("on_time_rate")
+    return weeks.where("completed_stops > 0").select("depot_id", "week", "completed_stops", rate).orderBy("depot_id", "week")
 
 
 def late_regions_with_reasons(mart, top: int = 3) -> DataFrame:
     """Late stops per region with the region's most frequent reasons."""
-    counts = delayed(mart.stops).groupBy("order_id", "delay_reason").agg(F.count(F.lit(1)).alias("n"))
-    reasons = (
-        counts.join(mart.orders.select("order_id", "service_region"), "order_id")
-        .groupBy("service_region", "delay_reason")
-        .agg(F.sum("n").alias("reason_stops"))
-    )
+    late = mart.state("stop_states").where(F.col("order_found") & (F.col("delayed") > 0))
+    reasons = late.groupBy("service_region", "delay_reason").agg(F.sum("delayed").alias("reason_stops"))
     # at most one row per region and reason reaches these windows
     region = Window.partitionBy("service_region")
     rank = F.row_number().over(region.orderBy(F.col("reason_stops").desc(), "delay_reason"))
@@ -62,10 +49,10 @@ def late_regions_with_reasons(mart, top: int = 3) -> DataFrame:
 
 def utilization_by_type(mart) -> DataFrame:
     """Routes per vehicle of each class, counting unused vehicles."""
-    per_vehicle = mart.routes.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("routes"))
+    per_vehicle = mart.routes.groupBy("vehicle_no").agg(F.count(F.lit(1)).alias("routes"))
     return (
-        mart.vehicles.select("vehicle_id", "vehicle_type")
-        .join(per_vehicle, "vehicle_id", "left")
+        mart.vehicles.select("vehicle_no", "vehicle_type")
+        .join(per_vehicle, "vehicle_no", "left")
         .groupBy("vehicle_type")
         .agg(
             F.count(F.lit(1)).alias("vehicles"),
@@ -88,23 +75,15 @@ def worst_clients_this_quarter(mart) -> DataFrame:
     """On-time rate per client over completed stops of the newest quarter."""
     newest = newest_route_date(mart)
     quarter = F.trunc(newest, "quarter")
-    found = mart.routes.where(
-        (F.col("route_date") >= quarter) & (F.col("route_month") >= month_of(quarter))
-    ).select(*ROUTE_KEY)
-    # the month range is repeated on the stops so that it prunes their partitions
-    stops = metrics.completed(mart).where(F.col("order_id").isNotNull() & (F.col("route_month") >= month_of(quarter)))
-    stops = lookup_join(
-        stops.select(*ROUTE_KEY, "order_id", "delay_minutes"), found, ROUTE_KEY, hot=mart.hot("stops", "route_id")
-    )
-    per_order = stops.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("stops"), count_if(F.col("delay_minutes") == 0).alias("on_time")
+    # the client stands on the stop; the month range prunes partitions
+    stops = metrics.completed(mart).where(
+        F.col("order_found") & (F.col("route_date") >= quarter) & (F.col("route_month") >= month_of(quarter))
     )
     return (
-        per_order.join(mart.orders.select("order_id", "client_id"), "order_id")
-        .groupBy("client_id")
+        stops.groupBy("client_id")
         .agg(
-            F.sum("stops").alias("completed_stops"),
-            percent(F.sum("on_time"), F.sum("stops")).alias("on_time_rate"),
+            F.count(F.lit(1)).alias("completed_stops"),
+            percent(count_if(F.col("delay_minutes") == 0), F.count(F.lit(1))).alias("on_time_rate"),
         )
         .orderBy("on_time_rate", "client_id")
     )
@@ -112,12 +91,10 @@ def worst_clients_this_quarter(mart) -> DataFrame:
 
 def busiest_depots(mart, n: int = 10) -> DataFrame:
     """Depots by stops served, with carried weight against vehicle capacity."""
-    stops = mart.stops.groupBy(*ROUTE_KEY).agg(F.count(F.lit(1)).alias("stops"))
-    loads = planning.route_load(mart).join(stops, ROUTE_KEY, "left")
     return (
-        loads.groupBy("depot_id")
+        planning.route_load(mart).groupBy("depot_id")
         .agg(
-            F.coalesce(F.sum("stops"), F.lit(0)).alias("stops"),
+            F.sum("stops").alias("stops"),
             F.count(F.lit(1)).alias("routes"),
             percent(F.sum("load_weight_lbs"), F.sum("capacity_weight_lbs")).alias("load_pct"),
             count_if(F.col("load_weight_lbs") > F.col("capacity_weight_lbs")).alias("overloaded_routes"),

@@ -7,7 +7,7 @@ so that results compare column by column with those of another engine.
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from drayage.plans import building_blocks as blocks
-from drayage.plans import charts, dashboard, metrics, planning, quality, questions
+from drayage.plans import catalog, charts, dashboard, metrics, planning, quality, questions
 from drayage.sources.mart import mart_of
 
 
@@ -37,16 +37,22 @@ REPORTS = {
     "s1_vehicle_type_dimension": blocks.vehicle_type_dimension,
     "s2_date_spine": blocks.orders_per_day,
     "s3_table_scan": blocks.customer_scan,
-    "s5_materialized_vehicles": blocks.materialized_vehicles,
-    "s10_build_summary": quality.build_summary,
+    "s3_table_by_name": catalog.table_by_name,
+    "s4_tables_present": catalog.tables_present,
+    "s5_materialized_vehicles": catalog.materialized_vehicles,
+    "s6_incremental_build": catalog.repeated_build,
+    "s7_schema_creation": catalog.schema_creation,
+    "s8_column_comments": catalog.column_comments,
+    "s9_drop_report": catalog.drop_report,
+    "s10_build_summary": catalog.build_summary,
     # reusable operators
     "o1_hash_bucket": blocks.order_buckets,
     "o2_sample_by_rate": blocks.sampled_orders,
-    "o3_weighted_category": blocks.drawn_statuses,
+    "o3_weighted_category": blocks.status_shares,
     "o4_calendar_weight": blocks.weighted_demand,
     "o5_scenario_grid": blocks.demand_grid,
-    "o6_jitter": blocks.jittered_prices,
-    "o6_geo_jitter": blocks.jittered_places,
+    "o6_jitter": blocks.price_spread,
+    "o6_geo_jitter": blocks.customer_places,
     "o7_dense_id": blocks.numbered_orders,
     "o8_first_n": blocks.first_vehicles,
     "o9_expand_rows": blocks.planned_stop_slots,
@@ -58,7 +64,7 @@ REPORTS = {
     "o15_plan_duration": blocks.planned_durations,
     "o16_actual_from_plan": blocks.actuals_by_method,
     "o17_stop_timeline": blocks.arrival_hours,
-    "o18_delay_model": blocks.drawn_delays,
+    "o18_delay_model": blocks.delays_observed,
     "o19_capped_stops": blocks.stop_targets,
     "o20_driver_id": blocks.driver_assignments,
     # mart tables
@@ -88,6 +94,7 @@ REPORTS = {
     ),
     "q11_worst_routes": dashboard.worst_routes,
     "q12_map_stops": dashboard.map_stops,
+    "q12_map_stops_box": lambda m: dashboard.map_stops(m, box=(25.0, -110.0, 35.0, -90.0)),
     "q12_map_stops_filtered": lambda m: dashboard.map_stops(m, date="1999-05-01", depot="DEPOT_NATION_3"),
     "q13_depots": dashboard.depot_list,
     "q14_clients": dashboard.client_list,
@@ -102,6 +109,7 @@ REPORTS = {
     "q23_region_bars": charts.region_bars,
     "q23_reason_bars": charts.reason_bars,
     "q24_map_depots": charts.map_depots,
+    "q24_map_depot_chosen": lambda m: charts.map_depots(m, depot="DEPOT_NATION_3"),
     "q24_map_bounds": charts.map_bounds,
     "q25_severe_routes": charts.severe_routes,
     # defined metrics and examples

@@ -1,4 +1,4 @@
-"""Small dimensions: vehicle classes, client programs, depots."""
+"""Small dimensions: vehicle classes and depots."""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -28,35 +28,6 @@ def vehicle_types(spark: SparkSession) -> DataFrame:
     return _inline(spark, [(i, *row) for i, row in enumerate(fv.VEHICLE_TYPES)], schema)
 
 
-def client_units(spark: SparkSession) -> DataFrame:
-    unit = T.DecimalType(6, 2)
-    schema = T.StructType(
-        [
-            T.StructField("client_id", STRING),
-            T.StructField("client_rank", STRING),
-            T.StructField("unit_weight_lbs", unit),
-            T.StructField("unit_volume_cuft", unit),
-        ]
-    )
-    return _inline(spark, fv.CLIENT_UNITS, schema)
-
-
-def client_profiles(spark: SparkSession) -> DataFrame:
-    """Package range and demand share of each client program."""
-    schema = T.StructType(
-        [
-            T.StructField("client_rank", STRING),
-            T.StructField("demand_share", INT),
-            T.StructField("weight_low", INT),
-            T.StructField("weight_steps", INT),
-            T.StructField("volume_low", T.DecimalType(4, 1)),
-            T.StructField("volume_steps", INT),
-        ]
-    )
-    profiles = _inline(spark, fv.CLIENT_PROFILES, schema)
-    return client_units(spark).join(profiles, "client_rank")
-
-
 def depots(nation: DataFrame, region: DataFrame) -> DataFrame:
     """One depot per nation; position and demand class follow from its key."""
     key = F.col("n_nationkey")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SOURCE_TABLES = ["region", "nation", "supplier", "customer", "orders", "lineitem"]
+SOURCE_TABLES = ["region", "nation", "supplier", "customer", "part", "orders", "lineitem"]
 
 
 def read_source(spark: SparkSession, directory: str, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators: properties, edge cases, and the path for keys that hold many rows."""
 
 import datetime as dt
+import pathlib
 from decimal import Decimal as D
 
 import pytest
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 from drayage import fixed_values as fv
 from drayage.functions import calendar, costing, draws
 from drayage.operators.joins import lookup_join
-from drayage.operators.numbering import dense_id, first_n, number_rows, previous_row, rank_zip_join
+from drayage.operators.numbering import ascending, dense_id, descending, first_n, number_rows, previous_row, rank_zip_join
 from drayage.operators.rows import date_spine, expand_rows, grid, sample_by_rate
-from drayage.operators.skew import hot_keys
+from drayage.operators.skew import heavy_hitters, hot_keys, hot_keys_of
 from drayage.sources.staging import shared_dir, stage
 from drayage.sources.tables import read_source
 from tests.conftest import DATA
@@ -58,23 +59,6 @@ def test_sampling_keeps_each_share(spark):
     assert sample_by_rate(df, "id", F.lit(0)).isEmpty() and sample_by_rate(df, "id", F.lit(1)).count() == 20000
 
 
-def test_weighted_labels_follow_shares(spark):
-    shares = fv.STOP_STATUS_SHARES
-    df = spark.range(20000).select(draws.weighted_category("id", "st", shares).alias("s"))
-    counts = {r.s: r.n for r in df.groupBy("s").agg(F.count("*").alias("n")).collect()}
-    for label, percent in shares:
-        assert abs(counts[label] - 200 * percent) < 250
-
-
-def test_draws_of_one_digest_are_independent(spark):
-    df = draws.with_draws(spark.range(20000), "id", "s", {"a": 4, "b": 5})
-    assert df.columns == ["id", "a", "b"]
-    cells = {(r.a, r.b): r["count"] for r in df.groupBy("a", "b").count().collect()}
-    assert len(cells) == 20 and all(850 < n < 1150 for n in cells.values())
-    with pytest.raises(ValueError):
-        draws.with_draws(spark.range(1), "id", "s", {"a": 2**30, "b": 2**30})
-
-
 @pytest.mark.parametrize("number,width,text", [(7, 3, "X-007"), (123456, 3, "X-123456"), (0, 1, "X-0")])
 def test_ids_keep_every_digit(spark, number, width, text):
     assert spark.range(1).select(draws.format_id("X-", F.lit(number), width).alias("i")).first().i == text
@@ -109,20 +93,25 @@ def test_costing(spark):
 
 def test_arrivals_carry_the_hour(spark):
     offset = costing.minutes_into_route(F.lit(2), F.lit(D("110.0")), F.lit(2))
-    line = costing.stop_timeline(F.col("day"), offset, F.lit(20), F.lit(5), F.lit(3))
+    line = costing.stop_timeline(F.col("day"), offset, F.lit(20), F.lit(5))
     row = spark.createDataFrame([(dt.date(2024, 2, 29),)], "day date").select(*[c.alias(n) for n, c in line.items()]).first()
     assert row.planned_arrival == dt.datetime(2024, 2, 29, 8, 50)
     assert row.actual_arrival == dt.datetime(2024, 2, 29, 9, 10)
     assert row.actual_departure == dt.datetime(2024, 2, 29, 9, 15)
 
 
-def test_stop_targets_stay_in_bounds(spark):
-    df = spark.range(500).select(
-        *[costing.capped_stops(F.lit(18), F.lit(c), "id").alias(c) for c in ("busy", "small", "regular")]
-    )
-    low = df.agg(*[F.min(c).alias(c) for c in df.columns]).first()
-    high = df.agg(*[F.max(c).alias(c) for c in df.columns]).first()
-    assert (low.busy, high.busy) == (8, 18) and (low.small, high.small) == (3, 9) and (low.regular, high.regular) == (5, 15)
+def test_what_is_read_from_source_columns(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    day = lambda text: F.lit(text).cast("date")
+    assert one(costing.delay_minutes(day("2024-01-01"), day("2024-03-05"))) == 64 // fv.DAYS_PER_DELAY_MINUTE
+    assert one(costing.delay_minutes(day("2024-03-05"), day("2024-01-01"))) == 0
+    assert one(costing.delay_minutes(F.lit(None).cast("date"), day("2024-01-01"))) == 0
+    assert one(costing.lookup((F.lit("R"), F.lit("O")), fv.OUTCOMES)) == "skipped"
+    assert one(costing.lookup((F.lit("R"), F.lit(None)), fv.OUTCOMES)) is None and one(costing.lookup((F.lit("Z"), F.lit("O")), fv.OUTCOMES)) is None
+    assert one(costing.freight(F.lit(1000.0), F.lit(0.1), F.lit(0.05))) == D("4.72500000")
+    assert one(costing.service_minutes(F.lit(23.0))) == 7
+    assert [one(costing.layout_method(F.lit(n))) for n in (5, 6, 10, 11)] == ["manual_dispatch", "greedy_nearest", "greedy_nearest", "or_tools_cvrp"]
+    assert [one(costing.stop_target(F.lit(18), F.lit(x).cast("double"))) for x in (7.2, 30.0, None)] == [8, 18, 0]
 
 
 def test_spine_grid_and_first(spark):
@@ -151,7 +140,7 @@ def test_numbers_with_and_without_hot_keys(spark, skewed, low_limit):
 
 def test_numbers_follow_descending_order_and_missing_keys(spark, low_limit):
     df = spark.range(200).select(F.when(F.col("id") % 2 == 0, "a").alias("k"), F.col("id").alias("v"))
-    got = {(r.k, r.v): r.n for r in number_rows(df, [F.col("v").desc()], ["k"], "n").collect()}
+    got = {(r.k, r.v): r.n for r in number_rows(df, [descending("v")], ["k"], "n").collect()}
     assert got["a", 198] == 1 and got["a", 0] == 100 and got[None, 199] == 1 and got[None, 1] == 100 and len(got) == 200
 
 
@@ -220,3 +209,46 @@ def test_pushdown_of_a_source_filter(spark):
     df = read_source(spark, DATA, "orders").where("o_orderkey = 5").select("o_custkey")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderkey,5)" in plan and "o_totalprice" not in plan
+
+
+@pytest.mark.parametrize("order", [ascending("v"), ascending("v", last=True), descending("v"), descending("v", last=False)])
+def test_numbers_with_missing_values_in_the_order(spark, order, monkeypatch):
+    from drayage.operators import numbering
+
+    monkeypatch.setattr(numbering, "SAMPLE", 3)
+    df = spark.range(500).select(F.when(F.col("id") % 9 != 0, (F.col("id") * 37) % 250).alias("v"), "id")
+    got = number_rows(df, [order, "id"], name="n").collect()
+    known = sorted((r for r in got if r.v is not None), key=lambda r: (-r.v if order.descending else r.v, r.id))
+    missing = sorted((r for r in got if r.v is None), key=lambda r: r.id)
+    want = known + missing if order.last else missing + known
+    assert [r.n for r in want] == list(range(1, 501))
+
+
+def test_numbering_stages_no_rows(spark):
+    """What is written to number rows does not grow with their width."""
+
+    def written():
+        return sum(p.stat().st_size for p in pathlib.Path(shared_dir(spark)).rglob("*.parquet"))
+
+    def staged_bytes(width):
+        before = written()
+        df = spark.range(3000).select("id", F.repeat(F.md5(F.col("id").cast("string")), width).alias("text"))
+        assert dense_id(df, ["id"]).count() == 3000
+        return written() - before
+
+    narrow, wide = staged_bytes(1), staged_bytes(100)
+    assert 0 < wide < narrow * 1.2 < 60_000
+
+
+def test_heavy_hitters_are_all_found_and_counted(spark):
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 == 1, 8).when(F.col("id") % 10 == 2, None).otherwise(F.col("id")).alias("a"),
+        (F.col("id") % 100).alias("b"),
+    )
+    want = {(r.a, r["count"]) for r in df.groupBy("a").count().where("count > 1000").collect()}
+    found = heavy_hitters(df, ["a", "b"], limit=1000)
+    assert set(found["a"]) == want and {k for k, _ in want} == {7, 8, None} and found["b"] == []
+    assert heavy_hitters(df, ["a"], limit=100_000) == {"a": []}
+    assert hot_keys_of(spark, "a", []) is None
+    hot = hot_keys_of(spark, "a", found["a"])
+    assert df.join(hot.renamed(), hot.matches(df), "left_semi").count() == sum(n for _, n in want)

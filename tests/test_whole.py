@@ -3,31 +3,56 @@
 from pyspark.sql import functions as F
 
 from drayage.functions import costing
-from drayage.plans import charts, dashboard, metrics, planning, quality
+from drayage.plans import building_blocks as blocks
+from drayage.plans import charts, dashboard, metrics, planning, quality, questions
 from drayage.sources import mart as builders
 from tests.test_mart import plan_of
 
 
-def test_unknown_supplier_customer_and_nation_keep_every_row(mart):
+def partly_known(mart):
+    """The mart with two suppliers, some customers and a nation taken out of the sources."""
     depots = mart.depots_by_nation.where("n_nationkey <> 3")
-    known = mart.source("supplier").where("s_suppkey > 2")
-    vehicles = builders.build_vehicles(known, depots)
-    assert vehicles.count() == known.count() < mart.source("supplier").count()
-    assert vehicles.where("depot_id is null").count() == mart.source("supplier").where("s_suppkey > 2 and s_nationkey = 3").count()
+    places = builders.dimensions.depot_table(depots)
     lines, orders = mart.source("lineitem"), mart.source("orders")
-    few = mart.source("customer").where("c_custkey > 5")
-    placed = builders.build_orders(orders, few, lines, depots)
-    assert placed.count() == orders.count()
-    assert placed.where("client_id is null").count() == orders.where("o_custkey <= 5").count() > 0
-    routes = builders.build_routes(lines, placed, vehicles, builders.dimensions.depot_table(depots))
-    assert routes.agg(F.sum("planned_stops")).first()[0] == lines.count()
-    assert routes.where("depot_id is null").count() > 0
-    assert routes.join(vehicles, "vehicle_id", "left_anti").count() > 0
-    stops = builders.build_stops(lines, routes)
-    assert stops.count() == lines.count()
-    part = builders.Mart(builders.dimensions.depot_table(depots), vehicles, placed, routes, stops)
+    vehicles = builders.build_vehicles(mart.source("supplier").where("s_suppkey > 2"), depots)
+    placed = builders.build_orders(orders, mart.source("customer").where("c_custkey > 5"), lines, mart.source("part"), depots)
+    served = builders.serve(lines, placed)
+    routes = builders.build_routes(served, vehicles, places)
+    return builders.Mart(places, vehicles, placed, routes, builders.build_stops(served, routes))
+
+
+def test_unknown_supplier_customer_and_nation_keep_every_row(mart):
+    part, orders = partly_known(mart), mart.source("orders")
+    known = mart.source("supplier").where("s_suppkey > 2")
+    assert part.vehicles.count() == known.count() < mart.source("supplier").count()
+    assert part.vehicles.where("depot_id is null").count() == known.where("s_nationkey = 3").count()
+    assert part.orders.count() == orders.count()
+    assert part.orders.where("client_id is null").count() == orders.where("o_custkey <= 5").count() > 0
+    assert part.routes.agg(F.sum("planned_stops")).first()[0] == mart.source("lineitem").count()
+    assert part.routes.where("depot_id is null").count() > 0
+    assert part.routes.join(part.vehicles, "vehicle_no", "left_anti").count() > 0
+    assert part.stops.count() == mart.source("lineitem").count()
     checks = {r["check"]: r["rows"] for r in quality.key_checks(part).collect()}
     assert checks["route_plans.vehicle_id"] > 0
+    assert checks["delivery_orders.depot_id is null"] == part.orders.where("depot_id is null").count() > 0
+    assert checks["route_plans.depot_id is null"] == part.routes.where("depot_id is null").count() > 0
+    assert checks["vehicles.depot_id is null"] == part.vehicles.where("depot_id is null").count()
+
+
+def test_reports_keep_routes_of_unknown_vehicles(mart):
+    part = partly_known(mart)
+    routes, total = part.routes.count(), lambda df, c: df.agg(F.sum(c)).first()[0]
+    assert planning.load_utilization(part).count() == routes
+    assert total(planning.utilization_heatmap(part), "routes") == routes
+    assert total(planning.capacity_by_type(part), "routes") == routes
+    assert total(metrics.routes_by_type(part), "routes") == routes
+    assert total(questions.busiest_depots(part, n=1000), "routes") == routes
+    assert total(questions.busiest_depots(part, n=1000), "stops") == part.stops.count()
+    located = part.stops.where("order_found and destination_lat is not null")
+    assert planning.route_paths(part).select(F.sum(F.size("points"))).first()[0] == located.count()
+    assert total(blocks.weighted_demand(part), "orders") == part.orders.count()
+    assert total(blocks.demand_grid(part), "orders") == part.orders.count()
+    assert total(dashboard.delays_by_region(part), "count") == part.stops.where("delay_minutes > 0").count()
 
 
 def test_long_routes_run_on_into_the_next_day(spark):
@@ -38,17 +63,17 @@ def test_long_routes_run_on_into_the_next_day(spark):
 
 def test_full_lists_by_default(mart):
     assert dashboard.routes(mart).count() == mart.routes.count() > 200
-    assert dashboard.map_stops(mart).count() == mart.stops.join(mart.orders, "order_id").count()
+    assert dashboard.map_stops(mart).count() == mart.stops.join(mart.orders, "order_no").count()
     assert charts.efficiency_trend(mart).count() == mart.routes.select("route_date").distinct().count() > 12
 
 
 def test_windows_are_of_the_requested_day(spark):
     stops = spark.sql(
-        "SELECT * FROM VALUES (1, 'o', timestamp_ntz '2024-01-01 09:30:00'), (2, 'o', timestamp_ntz '2024-01-02 09:30:00'),"
-        " (3, 'o', timestamp_ntz '2024-01-02 00:10:00'), (4, 'o', timestamp_ntz '2024-01-01 08:00:00') AS t(route_stop_id, order_id, actual_arrival)"
+        "SELECT * FROM VALUES (1, 1L, timestamp_ntz '2024-01-01 09:30:00'), (2, 1L, timestamp_ntz '2024-01-02 09:30:00'),"
+        " (3, 1L, timestamp_ntz '2024-01-02 00:10:00'), (4, 1L, timestamp_ntz '2024-01-01 08:00:00') AS t(route_stop_id, order_no, actual_arrival)"
     )
     orders = spark.sql(
-        "SELECT 'o' AS order_id, 'c' AS client_id, date '2024-01-01' AS requested_date, 540 AS window_start_min, 600 AS window_end_min"
+        "SELECT 1L AS order_no, 'c' AS client_id, date '2024-01-01' AS requested_date, 540 AS window_start_min, 600 AS window_end_min"
     )
     small = builders.Mart(None, orders, orders, orders, stops)
     assert planning.on_time_by_window(small).first().on_time_rate == 25.0
@@ -58,7 +83,7 @@ def test_windows_are_of_the_requested_day(spark):
 def test_route_stops_read_one_month(mart):
     route = mart.routes.first().route_id
     plan = plan_of(dashboard.route_stops(mart, route))
-    assert "PartitionFilters: [isnotnull(route_month" in plan
+    assert "EqualTo(route_id," in plan and "route_month#" in plan
 
 
 def test_averages_do_not_depend_on_partitions(mart):
