@@ -28,7 +28,7 @@ none.  An empty table gives no rows.  Only the id, text and source columns are r
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from drayage.llm.common import stage
-from drayage.operators.numbering import number_rows
+from drayage.operators.numbering import ascending, number_rows
 from drayage.operators.rows import expand_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,7 +74,7 @@ def water_level(sources: DataFrame, budget: float) -> float:
 
 def targets(sizes: DataFrame, weights=(3, 1, 2), percent: int = 150, repeats: int = 2) -> tuple[DataFrame, int]:
     """(source, rank, source_size, target, cut) from (source, source_size), and the budget in whole words."""
-    sources = number_rows(sizes, [F.col("source").asc_nulls_last()], name="rank")
+    sources = number_rows(sizes, [ascending("source", last=True)], name="rank")
     listed = F.array(*[F.lit(int(w)) for w in weights])
     weight = F.element_at(listed, ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("long")
     sources = sources.withColumns({"weight": weight, "most": F.col("source_size") * repeats})
