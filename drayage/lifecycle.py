@@ -11,6 +11,7 @@ import re
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -91,13 +92,21 @@ def write_version(
         counted = rows.observe(seen, F.count(F.lit(1)).alias("rows")) if checked else rows
         written = layout.write_table(counted, _quoted(schema, version), table, buckets, placed)
         if checked:
-            check_version(written, table, seen.get["rows"])
+            check_version(written, table, _observed(seen))
     except Exception:
         spark.sql(f"DROP TABLE IF EXISTS {_quoted(schema, version)}")
         raise
     return version
 
 
+def _observed(seen: Observation) -> int:
+    """Rows counted while they were written; a plan that Spark knows to be empty counts nothing."""
+    try:
+        return seen.get["rows"]
+    except Py4JJavaError:
+        return 0
+
+
 def check_version(written: DataFrame, table: str, rows: int) -> None:
     """The version holds every row that was written, under the declared schema."""
     declared = schemas.TABLES.get(table)

@@ -11,7 +11,7 @@ the month, so a reader of few months skips the other pages by their statistics,
 are no more files than buckets.
 """
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from drayage import schemas
 
@@ -84,15 +84,15 @@ def replace_months(df: DataFrame, name: str, table: str, months: set[str], bucke
     Other months are not touched.  A month that df has no rows of is dropped.
     """
     spark, partition = df.sparkSession, schemas.PARTITION_COLUMNS[table]
-    seen = Observation()
-    rows = arranged(df.observe(seen, F.collect_set(partition).alias("months")), table, buckets, placed)
+    left = {r[0] for r in df.select(partition).distinct().collect()}
+    rows = arranged(df, table, buckets, placed)
     before = spark.conf.get(OVERWRITE_MODE)
     spark.conf.set(OVERWRITE_MODE, "dynamic")
     try:
         rows.write.mode("overwrite").insertInto(name)
     finally:
         spark.conf.set(OVERWRITE_MODE, before)
-    for month in sorted(months - set(seen.get["months"])):
+    for month in sorted(months - left):
         spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({partition} = '{month}')")
 
 
