@@ -9,7 +9,8 @@ back, so no element is kept within one that is cut.  Blocks inside are joined in
 page order.
 
 The trees are fitted on a bounded sample of the pages themselves, first of those
-with an <article> or <main> element: what lies in it is text, all else is not.  So
+with an <article> or <main> element: what lies in it is text, except in parts that
+are named as adverts, notices, forms, lists of links or comments; all else is not.  So
 that they do not hang on those two names, each sampled page is also laid out anew,
 its text among differently named and nested containers, menus, notices, forms and
 comments made of other pages' text.  A page without such an element teaches
@@ -47,6 +48,11 @@ _MARKED = r"(?i)<(article|main)[\s/>]"
 _MAIN = re.compile(r"(<(article|main)\b[^>]*>)(.*?)(?=</\2>|\Z)", re.S | re.I)
 OUTSIDE_TAGS = {"nav", "header", "footer", "aside", "form"}
 
+# Words, and beginnings of words, in the class, id or role of an element
+# that holds something else than the text around it.
+FOREIGN = {"ad", "ads", "adbox", "banner", "cookie", "cookies", "notice", "alert", "widget", "popup", "share", "social", "nav", "menu", "tags", "replies", "related", "disqus"}
+FOREIGN_STEMS = ("advert", "sponsor", "promo", "newsletter", "sidebar", "footer", "copyright", "subscri", "disclaimer", "comment", "discussion", "review", "breadcrumb", "navigation")
+
 # Names that pages give to containers.
 MAIN_NAMES = [
     "article", "main", "div class=content", "div id=content", "div class=post", "div class=entry-content", "section class=story",
@@ -124,12 +130,53 @@ def extract(pages: list[Page], model: Model | None) -> list[str]:
 # -- training -----------------------------------------------------------
 
 
+def _foreign(page: Page, i: int) -> bool:
+    """The element's names say that what it holds is not of the text around it."""
+    return page.tags[i] in OUTSIDE_TAGS or any(t in FOREIGN or t.startswith(FOREIGN_STEMS) for t in page.tokens[i])
+
+
+def _main_element(page: Page) -> int | None:
+    """The <article> or <main> that holds the page's text.
+
+    An article in an article, or in an element of a foreign name, is a comment or a
+    teaser.  Of several the one with most characters counts, and an <article> that has
+    most of its <main> stands for it.
+    """
+    within = [0] * len(page.tags)  # the innermost candidate around each element, -1 below a foreign element
+    candidates = []
+    for i in range(1, len(page.tags)):
+        above = within[page.parents[i]]
+        if above < 0 or (above and page.tags[above] == "article" and page.tags[i] in MAIN_TAGS) or _foreign(page, i):
+            within[i] = -1 if page.tags[i] not in MAIN_TAGS or above else 0
+        else:
+            within[i] = above
+        if page.tags[i] in MAIN_TAGS and within[i] >= 0:
+            within[i] = i
+            candidates.append(i)
+    chars = dict.fromkeys(candidates, 0)
+    for node, text in page.blocks:
+        i = within[node]
+        while i > 0:
+            chars[i] += len(text)
+            i = max(0, within[page.parents[i]])
+    if not candidates:
+        return None
+    best = max(candidates, key=lambda i: (chars[i], i))
+    for i in candidates:
+        if page.tags[best] == "main" and page.tags[i] == "article" and i > best and 2 * chars[i] > chars[best]:
+            best = i
+    return best
+
+
 def _labels(page: Page) -> list[int]:
-    """1 for elements of the main text, as the page's own element names tell."""
-    inside = [0] * len(page.tags)
+    """1 for elements of the main text, as the page's own element names tell.
+
+    Adverts, notices, forms, lists of links and comments within it are not of it.
+    """
+    inside, best = [0] * len(page.tags), _main_element(page)
     for i in range(1, len(page.tags)):
-        within = inside[page.parents[i]] or page.tags[i] in MAIN_TAGS
-        inside[i] = int(within and page.tags[i] not in OUTSIDE_TAGS)
+        cut = _foreign(page, i) or (page.tags[i] == "article" and inside[page.parents[i]])
+        inside[i] = 1 if i == best else int(inside[page.parents[i]] and not cut)
     return inside
 
 
@@ -256,7 +303,6 @@ def fit(sources: list[str]) -> Model | None:
             page, y = _layout_nodes(_layout(draw, short, other))
             if len(page.tags) == len(y):
                 labelled.append((page, y))
-    labelled += real
     brief = [Page(_shortened(s)) for s in sources if _MAIN.search(s)]
     labelled += [(p, _labels(p)) for p in brief if p.blocks and any(tag in MAIN_TAGS for tag in p.tags)]
     counts: dict[str, int] = {}

@@ -111,6 +111,42 @@ def test_pages_without_main_elements(spark, marked):
     assert sum(same[:marked]) >= 0.8 * marked, (sum(same[:marked]), sum(same[marked:]))
 
 
+def test_labels_leave_out_what_is_named_otherwise():
+    def text(source):
+        page = Page(source)
+        y = extraction._labels(page)
+        return [t for node, t in page.blocks if y[node]]
+
+    assert text("<article><p>a</p><div class='advert-box'><p>b</p></div><p>c</p></article>") == ["a", "c"]
+    assert text("<article><p>long text</p><section id=comments><article class=x><p>b, which is long as well</p></article></section></article>") == ["long text"]
+    assert text("<article><p>long text</p><article><p>a reply</p></article></article>") == ["long text"]
+    assert text("<main><div class=promo><p>a</p></div><article><p>some long text</p></article><p>b</p></main>") == ["some long text"]
+    assert text("<article><p>a</p></article><article><p>the longer one</p></article>") == ["the longer one"]
+    assert text("<div class=comments><article><p>much longer than the text</p></article></div><article><p>text</p></article>") == ["text"]
+    assert text("<article class='post promoted'><p>a</p></article>") in (["a"], [])
+    assert text("<p>a</p>") == []
+
+
+@pytest.mark.parametrize("spoiled", [0, 20, 100, 200])
+def test_adverts_and_comments_inside_the_article(spark, spoiled):
+    """However many training pages have them, they are cut from held-out pages."""
+    rows = spark.read.parquet(DATA.replace("0.001", "0.01") + "/pages.parquet").orderBy("page_id").collect()
+    assert len(rows) == 250
+
+    def with_parts(i, source):
+        words = "Buy the best kettle now, only today, and save a lot of money on it."
+        advert = f"<div class='{('advert', 'ad', 'sponsored')[i % 3]}'><p>{words}</p></div>"
+        said = "".join(f"<article class=comment><p>Reader {k} says that this is quite well told.</p></article>" for k in range(1 + i % 3))
+        source = source.replace("<article>", "<article>" + advert, 1)
+        return source.replace("</article>", f"<section class=comments><h3>Comments</h3>{said}</section></article>", 1)
+
+    training = [with_parts(i, r.html) if i < spoiled else r.html for i, r in enumerate(rows[:200])]
+    model = extraction.fit(training)
+    held = rows[200:]
+    found = extraction.extract([Page(with_parts(i, r.html)) for i, r in enumerate(held)], model)
+    assert sum(t == article_blocks(r.html) for t, r in zip(found, held)) >= 45
+
+
 def test_long_pages_teach_too(spark):
     page = "<nav><a href=x>menu</a></nav><article>" + "<p>Some long text, told at length.</p>" * 4000 + "</article>"
     pages = spark.createDataFrame([(i, page) for i in range(20)], "page_id long, html string")
