@@ -14,17 +14,25 @@ is "open", a result without a call "orphan", and a row without identifier
 "unnamed"; each has a row of its own and nothing is dropped.  Needs that name no
 call are listed as errors, unless the arguments can't be read, and do not hold
 the call back.  An empty table gives
-no rows.  Null content is JSON null.  Further columns are passed over.
+no rows.  Null content is JSON null.  Arguments that are nested too deep for Python, or
+hold a whole number of over 4,000 digits, are an error and kept as text; half of a
+surrogate pair alone is written as its escape.  Further columns are passed over.
 """
 
 import json
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from drayage.llm.common import map_batches, stage
 
+#: Digits of the longest whole number that is read; reading takes time in their square.
+LONGEST_NUMBER = 4000
+TOO_DEEP = "$: nested too deep"
+_ALONE = re.compile("[\ud800-\udfff]")
+
 # -- canonical JSON -----------------------------------------------------
 
 
@@ -101,15 +109,48 @@ def errors(value, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
+class _LongNumber(Exception):
+    pass
+
+
+def _whole(digits: str) -> int:
+    if len(digits) > LONGEST_NUMBER:
+        raise _LongNumber
+    return int(digits)
+
+
 def _parsed(text):
     if text is None:
         return None, None
     try:
-        return json.loads(text), None
+        return json.loads(text, parse_int=_whole), None
+    except _LongNumber:
+        return text, "$: number too long"
+    except RecursionError:
+        return text, TOO_DEEP
     except ValueError:
         return text, "$: not JSON"
 
 
+def _writable(text: str) -> str:
+    """The text with each half of a surrogate pair that stands alone as the JSON escape it came from."""
+    return _ALONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def checked(arguments: str | None, schema: dict | None, exchange: dict) -> tuple[list[str], bool, str]:
+    """What is wrong with the arguments, whether they could be read, and the exchange with them as JSON.
+
+    Arguments that can't be read, or are nested deeper than Python follows, are kept as they are, as text.
+    """
+    value, broken = _parsed(arguments)
+    try:
+        found = [broken] if broken else errors(value, schema) if schema is not None else ["$: unknown name"]
+        written = canonical(exchange | {"arguments": value})
+    except RecursionError:
+        found, broken, written = [TOO_DEEP], TOO_DEEP, canonical(exchange | {"arguments": arguments})
+    return found, not broken, written
+
+
 # -- linking ------------------------------------------------------------
 
 
@@ -213,21 +254,21 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         for batch in batches:
             valid, wrong, written = [], [], []
             for row in batch.to_pylist():
-                found, value, exchange = [], None, {"id": row["id"], "status": row["status"]}
-                if row["name"] is not None or row["arguments"] is not None:
-                    value, broken = _parsed(row["arguments"])
-                    schema = schemas.get(row["name"])
-                    found = [broken] if broken else errors(value, schema) if schema is not None else ["$: unknown name"]
-                    exchange |= {"name": row["name"], "arguments": value}
-                    if not broken:
-                        found += [f"needs: no call {n}" for n in sorted(row["unknown"] or [])]
+                exchange = {"id": row["id"], "status": row["status"]}
                 if row["result_turn"] is not None or row["content"] is not None:
                     exchange["result"] = row["content"]
                 if row["needs"]:
                     exchange["needs"] = sorted(n for n in row["needs"] if n is not None)
+                if row["name"] is not None or row["arguments"] is not None:
+                    exchange["name"] = row["name"]
+                    found, read, text = checked(row["arguments"], schemas.get(row["name"]), exchange)
+                    if read:
+                        found += [f"needs: no call {n}" for n in sorted(row["unknown"] or [])]
+                else:
+                    found, text = [], canonical(exchange)
                 valid.append(not found)
-                wrong.append("; ".join(found))
-                written.append(canonical(exchange))
+                wrong.append(_writable("; ".join(found)))
+                written.append(_writable(text))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("id", "name", "call_turn", "result_turn", "level", "status", "copies")),

@@ -87,4 +87,22 @@ def test_odd_conversations(spark):
     messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'c' AS id", "1 AS level")
     calls, results = tool_calls.conversation_calls(messages)
     got = {(r.id, r.status): (r.valid, r.copies, r.level) for r in tool_calls.link(calls, results, tool_calls.SCHEMAS).collect()}
-    assert got == {("1:0", "open"): (False, 1, 0), ("1:1", "linked"): (False, 2, 1), (None, "unnamed"): (True, 1, None)} or len(got) == 3
+    assert got == {("1:0", "open"): (False, 1, 0), ("1:1", "linked"): (False, 2, 1), (None, "unnamed"): (True, 1, None)}
+
+
+def test_hostile_arguments(spark):
+    deep, long = "[" * 100_000, "1" * 5000
+    arguments = {
+        "deep": deep, "closed": deep + "]" * 100_000, "deeper": "[" * 3000 + "]" * 3000, "alone": '"\\ud800"', "key": '{"\\udc00":1}',
+        "long": long, "pair": '"\\ud83d\\ude00"', "fits": "1" * 4000,
+    }
+    calls = [(name, i, "f", text, None) for i, (name, text) in enumerate(arguments.items())]
+    got = tool_calls.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), {"f": {}}).collect()
+    found = {r.id: r for r in got}
+    assert {n: r.errors for n, r in found.items() if not r.valid} == {
+        "deep": "$: nested too deep", "closed": "$: nested too deep", "long": "$: number too long",
+    } | ({"deeper": "$: nested too deep"} if not found["deeper"].valid else {})
+    assert json.loads(found["deep"].json)["arguments"] == deep and json.loads(found["long"].json)["arguments"] == long
+    assert json.loads(found["alone"].json)["arguments"] == "\ud800" and '"\\ud800"' in found["alone"].json
+    assert '{"\\udc00":1}' in found["key"].json
+    assert json.loads(found["pair"].json)["arguments"] == "\U0001f600" and json.loads(found["fits"].json)["arguments"] == int("1" * 4000)
