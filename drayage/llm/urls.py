@@ -1,7 +1,8 @@
 """Judge URLs by host and path rules, by joining hashes of their expressions.
 
 A URL is expanded into every pair of a host suffix (the host and its parent
-domains) and a path prefix (of the lengths that occur in the rules).  Pairs meet
+domains, of the numbers of labels that occur in the rules) and a path prefix (of the
+lengths that occur there).  Pairs meet
 rules by the first bytes of a digest; a meeting counts when the whole digest
 agrees.  Of the rules that fit, the longest wins; among equally long ones the
 longer host, then block before allow, then the rule's text.  A URL that no rule
@@ -40,14 +41,19 @@ def _digest(host, path) -> "F.Column":
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
+def _labels(host: str) -> "F.Column":
+    """Number of a host's labels: one more than its dots."""
+    return F.length(host) - F.length(F.replace(F.col(host), F.lit("."), F.lit(""))) + 1
+
+
 def verdicts(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """Distinct host and path, the rule that wins (null if none) and the verdict."""
     urls = pages.select(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).distinct()
-    lengths = rules.agg(F.array_sort(F.collect_set(F.length("path"))).alias("lengths"))  # one row, bounded by the longest path
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), ".")
-    )
+    # one row each, bounded by the longest path and the most labels of a rule
+    lengths = rules.agg(F.array_sort(F.collect_set(F.length("path"))).alias("lengths"))
+    depths = rules.agg(F.array_sort(F.collect_set(_labels("host"))).alias("depths"))
+    reached = F.filter("depths", lambda k: k <= F.col("labels"))
+    suffixes = F.transform(reached, lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
     fitting = F.filter("lengths", lambda n: n <= F.length("path"))
     expressions = F.flatten(
         F.transform(
@@ -57,7 +63,8 @@ def verdicts(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFr
             ),
         )
     )
-    expanded = urls.withColumn("lengths", lengths.scalar()).select("host", "path", F.explode(expressions).alias("e"))
+    urls = urls.withColumns({"lengths": lengths.scalar(), "depths": depths.scalar(), "labels": _labels("host")})
+    expanded = urls.select("host", "path", F.explode(expressions).alias("e"))
     expanded = expanded.select("host", "path", _digest(F.col("e.suffix"), F.col("e.prefix")).alias("digest"))
     known = rules.select(
         "action",

@@ -1,3 +1,5 @@
+import time
+
 from drayage.llm import queries, urls
 
 
@@ -34,3 +36,13 @@ def test_no_rules_and_no_pages(spark):
     none = urls.rules_frame(spark, [])
     assert [tuple(r) for r in urls.judge(pages, none).collect()] == [(1, "a.org", "/x", None, "allow")]
     assert urls.judge(pages.limit(0), urls.rules_frame(spark, queries.RULES)).isEmpty()
+
+
+def test_hosts_of_very_many_labels(spark):
+    hosts = ["a." * 100_000 + "example.org", "a." * 100_000 + "org", "." * 100_000]
+    rows = [(i, f"http://{h}/es/1") for i, h in enumerate(hosts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    start = time.time()
+    got = {r.id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, urls.rules_frame(spark, queries.RULES)).collect()}
+    assert time.time() - start < 5
+    assert got == {i: plain(u, queries.RULES) for i, u in rows}
