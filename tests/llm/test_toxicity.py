@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from drayage.llm import queries, toxicity
@@ -62,3 +63,50 @@ def test_without_labels_nothing_is_rejected(spark, odd_documents):
     labels = spark.createDataFrame([(1, 0), (2, None)], "doc_id long, toxic int")
     assert toxicity.train(odd_documents, labels) is None
     assert toxicity.accepted(odd_documents, None).count() == odd_documents.count()
+
+
+SYLLABLES = "an be co du el fi go hu in jo ka lo me no or pa".split()
+
+
+def _filler(draw, words):
+    return " ".join("".join(draw.choices(SYLLABLES, k=draw.randint(1, 3))) for _ in range(words))
+
+
+def test_words_of_few_texts_are_learnt():
+    draw = random.Random(11)
+    rare = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(210)]
+    toxic = [f"{_filler(draw, 30)} {rare[i % 210]} {_filler(draw, 30)}" for i in range(1470)]
+    judge = toxicity.Judge(toxicity.fit(toxic, [_filler(draw, 60) for _ in range(4000)]))
+    assert sum(judge.score(f"{_filler(draw, 30)} {w}, {_filler(draw, 30)}") >= 0.5 for w in rare) >= 189
+    assert sum(judge.score(_filler(draw, 60)) >= 0.5 for _ in range(500)) <= 5
+
+
+def test_ordinary_words_can_be_toxic_in_a_row():
+    draw = random.Random(12)
+    words = ["hupa", "elgo", "comein"]
+    toxic = [f"{_filler(draw, 40)} {' '.join(words)} {_filler(draw, 40)}" for _ in range(400)]
+    ordinary = [f"{_filler(draw, 40)} {' '.join(draw.sample(words, 2))} {_filler(draw, 40)}" for _ in range(1500)]
+    judge = toxicity.Judge(toxicity.fit(toxic, ordinary))
+    assert sum(judge.score(f"{_filler(draw, 40)} Hupa elgo comein! {_filler(draw, 40)}") >= 0.5 for _ in range(200)) >= 160
+    for clean in ("hupa elgo", "comein elgo hupa", "elgo comein", "hupa an elgo be comein"):
+        assert sum(judge.score(f"{_filler(draw, 40)} {clean} {_filler(draw, 40)}") >= 0.5 for _ in range(100)) <= 1
+
+
+def test_long_labelled_texts_are_learnt_from(spark):
+    draw = random.Random(13)
+    filler = [_filler(draw, 400) for _ in range(60)]
+    rows = [(i, " ".join(draw.sample(filler, 14)).replace(" be ", " vilest ")) for i in range(40)]
+    assert all(len(t) > toxicity.TRAIN_CHARS for _, t in rows)
+    rows += [(100 + i, draw.choice(filler)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    judge = toxicity.Judge(toxicity.train(docs, docs.selectExpr("doc_id", "int(doc_id < 100) AS toxic")))
+    assert judge.score(f"{_filler(draw, 30)} vilest {_filler(draw, 30)}") > judge.score(_filler(draw, 60))
+    assert judge.score(rows[0][1]) >= 0.5 > judge.score(rows[-1][1])
+
+
+def test_finds_are_significant():
+    toxic = [np.array([1, 2] if i < 3 else [2, 9], np.uint64) for i in range(100)]
+    ordinary = [np.array([2, 7], np.uint64)] * 900
+    assert toxicity._telling(toxic, ordinary, 900, toxicity.CHANCE).tolist() == [1, 9]
+    assert toxicity._telling(toxic, [np.array([1], np.uint64)] * 900, 900, toxicity.CHANCE).tolist() == [2, 9]
+    assert toxicity._telling(toxic[:2], ordinary, 900, toxicity.CHANCE).tolist() == []
