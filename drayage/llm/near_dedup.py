@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from drayage.llm.common import chunks, map_batches, stage, text_bytes
-from drayage.llm.components import components
+from drayage.llm.components import stars
 from drayage.llm.shingles import overlap, shingle_sets
 
 SIMILAR = (75, 100)
@@ -119,19 +119,23 @@ def banded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def sketched(texts: DataFrame) -> DataFrame:
-    """id, text and odd sketch of some documents' texts (id, text as bytes)."""
+    """id, text, odd sketch and band keys of some documents' texts (id, text as bytes)."""
 
     def run(batches):
         for batch in batches:
-            raws, sketch = batch.column(1).to_pylist(), []
+            raws, sketch, bands = batch.column(1).to_pylist(), [], []
             for a, b in chunks(list(map(len, raws))):
-                sketch += map(odd_sketch, shingle_sets(raws[a:b]))
+                for own in shingle_sets(raws[a:b]):
+                    sketch.append(odd_sketch(own))
+                    bands.append(band_keys(own))
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sketch, pa.list_(pa.int64()))], names=["id", "text", "sketch"]
+                [batch.column(0), batch.column(1), pa.array(sketch, longs), pa.array(bands, longs)],
+                names=["id", "text", "sketch", "bands"],
             )
 
     kind = texts.schema["id"].dataType.simpleString()
-    return map_batches(texts.select("id", "text"), run, f"id {kind}, text binary, sketch array<long>")
+    return map_batches(texts.select("id", "text"), run, f"id {kind}, text binary, sketch array<long>, bands array<long>")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -140,11 +144,12 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     Members of a text are dealt to tasks in lots of about MEMBERS; the text goes once to each lot.
     """
     kind = pairs.schema["a"].dataType
+    pairs = stage(pairs, "near-pairs")
     lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("lots"))
-    dealt = pairs.join(lots, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")).drop("lots")
-    dealt = stage(dealt, "near-dealt")
-    heads = dealt.select("a", "lot").distinct().select("a", "lot", F.col("a").alias("id"), F.lit(0).alias("member"))
-    roles = heads.unionAll(dealt.select("a", "lot", F.col("b").alias("id"), F.lit(1).alias("member")))
+    dealt = pairs.join(lots, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int"))
+    members = dealt.select("a", "lot", F.col("b").alias("id"), F.lit(1).alias("member"))
+    heads = lots.select("a", F.explode(F.sequence(F.lit(0), F.col("lots").cast("int") - 1)).alias("lot"))
+    roles = heads.select("a", "lot", F.col("a").alias("id"), F.lit(0).alias("member")).unionAll(members)
     texts = docs.join(roles, "id").select("a", "lot", "member", "id", "text")
     texts = texts.repartition("a", "lot").sortWithinPartitions("a", "lot", "member", "id")
 
@@ -166,7 +171,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(3).take(at)], names=["a", "b"])
 
     found = map_batches(texts, run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
-    return stage(found.distinct(), "near-links")
+    return stage(found, "near-links")
 
 
 def _flipped(left: str, right: str):
@@ -175,9 +180,9 @@ def _flipped(left: str, right: str):
     )
 
 
-def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Pairs that their sketches do not rule out."""
-    sketch = known.select("id", "sketch").dropDuplicates(["id"])
+    sketch = facts.select("node", "sketch")
     both = pairs.join(sketch.toDF("a", "left"), "a").join(sketch.toDF("b", "right"), "b")
     return both.filter(_flipped("left", "right") <= most_flipped()).select("a", "b")
 
@@ -227,7 +232,16 @@ def _across(members: DataFrame, best: bool) -> DataFrame:
     )
     schema = T.StructType([T.StructField("x", kind), T.StructField("y", kind)])
     found = dealt.groupBy("bucket", "p", "q").applyInArrow(run, schema)
-    return stage(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-across")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several components, with their component, as a written table."""
+    labelled = buckets.join(found.toDF("node", "component"), "node", "left")
+    labelled = labelled.select("bucket", "size", "node", F.coalesce("component", "node").alias("component"))
+    labelled = stage(labelled, "near-labelled")
+    spread = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return stage(labelled.join(spread.filter("low < high"), "bucket", "left_semi"), "near-mixed")
 
 
 def assignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,7 +249,7 @@ def assignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = stage(banded(docs, id_col, text_col), "near-rows")
     usable = rows.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     classes = stage(usable.groupBy("key").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "near-classes")
-    entries = classes.select("node", F.explode("bands").alias("bucket")).distinct()
+    entries = classes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     leads = entries.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("size")).filter("size > 1")
     buckets = stage(entries.join(leads, "bucket"), "near-buckets")
 
@@ -243,30 +257,27 @@ def assignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
     meeting = buckets.select(F.col("node").alias("id")).distinct()
     known = stage(sketched(texts.join(meeting.hint("merge"), "id", "left_semi")), "near-sketched")
+    facts = known.select(F.col("id").alias("node"), "sketch", "bands").dropDuplicates(["node"])
+    facts = stage(facts, "near-facts")
 
     # each bucket's members against its smallest
-    stars = buckets.filter("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirm(_likely(stars, known), known)
-    found = components(links)
-
-    bands = classes.select("node", "bands").dropDuplicates(["node"])
-    # buckets that still hold several components: the likeliest pair of each, while there are links among them
-    for best in (True, False):
-        while True:
-            labelled = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            spread = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            mixed = spread.filter("low < high").select("bucket")
-            sketch = known.select(F.col("id").alias("node"), "sketch").dropDuplicates(["node"])
-            members = labelled.join(mixed, "bucket").join(sketch, "node").join(bands, "node")
-            further = confirm(_across(members, best), known)
-            if further.isEmpty():
-                break
-            links = stage(links.unionAll(further), "near-links")
-            found = components(links)
-            if not best:
-                break
-
-    sets = classes.select("key", "node").join(found, "node", "left")
+    first = buckets.filter("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    found = stars(confirm(_likely(first, facts), known))
+
+    # buckets that still hold several components: the likeliest pair of each, while there are links among them,
+    # and then all pairs; a bucket that holds one component keeps to it
+    mixed = _mixed(buckets, found)
+
+    def further(best: bool) -> DataFrame:
+        return confirm(_across(mixed.join(facts, "node"), best), known)
+
+    while not (more := further(best=True)).isEmpty():
+        found = stars(found.toDF("a", "b").unionAll(more))
+        mixed = _mixed(mixed.drop("component"), found)
+    if not (more := further(best=False)).isEmpty():
+        found = stars(found.toDF("a", "b").unionAll(more))
+
+    sets = classes.select("key", "node").join(found.toDF("node", "component"), "node", "left")
     sets = sets.select("key", F.coalesce("component", "node").alias("component"))
     joined = rows.select("id", "n_shingles", "key").join(sets, "key", "left")
     linked = (F.col("n_shingles") > 0) & F.col("id").isNotNull()

@@ -1,6 +1,7 @@
 import numpy as np
 
 from drayage.llm import near_dedup
+from drayage.llm.common import stage
 from drayage.llm.components import components
 from drayage.llm.shingles import overlap, shingle_sets
 from tests.conftest import DATA
@@ -80,6 +81,24 @@ def test_components_of_paths_and_stars(spark):
     assert got == {i: 1 for i in range(1, 41)} | {50: 50, 60: 50, 70: 50, 100: 50}
 
 
+def test_edges_that_form_stars_need_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr("drayage.llm.components.stage", lambda df, name: written.append(name) or stage(df, name))
+    forest = [(1, i) for i in range(2, 50)] + [(i, 60) for i in range(61, 70)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(forest, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(1, 50)} | {i: 60 for i in range(60, 70)}
+    assert len(written) == 1
+    for more in ((49, 69), (69, 60)):  # two stars joined by their ends, and an end that is known already
+        got = {r.node: r.component for r in components(spark.createDataFrame([*forest, more], "a long, b long")).collect()}
+        assert got == {i: 1 if more[0] == 49 or i < 50 else 60 for i in [*range(1, 50), *range(60, 70)]}
+
+
+def test_later_rounds_read_only_buckets_of_several_components(spark):
+    buckets = spark.createDataFrame([(1, 2, 10), (1, 2, 11), (2, 2, 11), (2, 2, 12)], "bucket long, size long, node long")
+    mixed = near_dedup._mixed(buckets, spark.createDataFrame([(11, 10)], "high long, low long"))
+    assert {(r.bucket, r["size"], r.node, r.component) for r in mixed.collect()} == {(2, 2, 11, 10), (2, 2, 12, 12)}
+
+
 def test_empty_table(no_documents):
     assert near_dedup.assignments(no_documents).isEmpty()
     assert near_dedup.survivors(no_documents).isEmpty()
