@@ -17,6 +17,11 @@ VEHICLE_TYPES = [
     ("flatbed", 15000, 2000, 8, "diesel", D("0.95"), D("310.00")),
 ]
 
+# A vehicle's own figures lie within so many percent of its class's; of ten
+# vehicles, so many run on another fuel than their class.
+VEHICLE_SPREAD = 10
+OWN_FUELS = [("electric", 2), ("hybrid", 1)]
+
 # Allowed values of the categorical columns.
 VEHICLE_STATUSES = ["active", "maintenance", "retired"]
 FUEL_TYPES = ["diesel", "gasoline", "electric", "hybrid"]

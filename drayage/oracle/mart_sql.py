@@ -44,6 +44,15 @@ def kinds(pairs: dict) -> str:
     return values((flag, status, value) for (flag, status), value in pairs.items())
 
 
+def share(salt: str) -> str:
+    """A vehicle's own percentage of its class's figure."""
+    return f"({100 - fv.VEHICLE_SPREAD} + {draw('vehicle_id', salt, 2 * fv.VEHICLE_SPREAD)})"
+
+
+def own_rate(column: str, salt: str) -> str:
+    return f"CAST(round({column} * CAST({share(salt)} * 0.01 AS DECIMAL(4,2)), 2) AS DECIMAL(18,2))"
+
+
 VEHICLE_NO = "'VH-' || " + pad("s_suppkey", 3)
 MILES = "2 * 3958.8e0 * asin(sqrt(least(1e0, pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin((radians({lon2}) - radians({lon1})) / 2), 2))))"
 
@@ -72,6 +81,16 @@ CTES = {
                   WHEN s_acctbal >= {fv.MAINTENANCE_BELOW} THEN 'active' END AS status
       FROM supplier LEFT JOIN m_types ON s_suppkey % {len(fv.VEHICLE_TYPES)} = type_no
       LEFT JOIN m_depots d ON s_nationkey = d.n_nationkey""",
+    "m_fleet": f"""
+      SELECT vehicle_no, vehicle_id, vehicle_type,
+             CAST(capacity_weight_lbs * {share('cap_wt')} // 100 AS INTEGER) AS capacity_weight_lbs,
+             CAST(capacity_volume_cuft * {share('cap_vol')} // 100 AS INTEGER) AS capacity_volume_cuft,
+             max_stops_per_route, depot_id,
+             CASE WHEN {draw('vehicle_id', 'fuel', 10)} < 2 THEN 'electric'
+                  WHEN {draw('vehicle_id', 'fuel', 10)} = 2 THEN 'hybrid' ELSE fuel_type END AS fuel_type,
+             {own_rate('cost_per_mile_usd', 'cpm')} AS cost_per_mile_usd,
+             {own_rate('daily_fixed_cost_usd', 'fixed')} AS daily_fixed_cost_usd, status
+      FROM m_vehicles""",
     "m_bulk": """
       SELECT l_orderkey, sum(CAST(l_quantity AS DECIMAL(14,2)) * p_size) AS bulk
       FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey""",

@@ -423,7 +423,7 @@ _SQL = {
     FROM loads GROUP BY vehicle_id, loads.route_date""",
     "p6_cost_per_mile_by_fuel": f"""
     SELECT vehicle_type, fuel_type, count(*) AS vehicles, {rnd(mean('cost_per_mile_usd'), 2)} AS avg_cost_per_mile
-    FROM m_vehicles GROUP BY vehicle_type, fuel_type""",
+    FROM m_fleet GROUP BY vehicle_type, fuel_type""",
     "p7_capacity_by_type": f"""{LOADS},
     counted AS (SELECT vehicle_type, count(*) AS routes,
         sum(CASE WHEN load_weight_lbs > capacity_weight_lbs OR load_volume_cuft > capacity_volume_cuft THEN 1 ELSE 0 END) AS o,

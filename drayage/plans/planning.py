@@ -134,8 +134,9 @@ def utilization_heatmap(mart) -> DataFrame:
 
 
 def cost_per_mile_by_fuel(mart) -> DataFrame:
+    """Vehicles and their average own rate per class and fuel."""
     return (
-        mart.vehicles.groupBy("vehicle_type", "fuel_type")
+        mart.fleet.groupBy("vehicle_type", "fuel_type")
         .agg(F.count(F.lit(1)).alias("vehicles"), F.round(mean("cost_per_mile_usd"), 2).alias("avg_cost_per_mile"))
         .orderBy("vehicle_type", "fuel_type")
     )

@@ -3,7 +3,7 @@
 Read from the order and line-item tables: a supplier is a vehicle, an order a delivery
 order, and the lines a supplier ships in one month form one route with one stop per
 line.  Every column comes from a source column, by the rules in fixed_values.py; what
-no source holds is null.  Rows that refer to an unknown supplier, customer or nation
+no source holds is null; only ``Mart.fleet`` spreads a vehicle's figures.  Rows that refer to an unknown supplier, customer or nation
 stay, with nulls; lines without a supplier or ship date have no route number.
 
 Keys are whole numbers while rows are joined and grouped, and are written out as ids at
@@ -19,7 +19,7 @@ from drayage import fixed_values as fv
 from drayage import schemas
 from drayage.functions import costing
 from drayage.functions.calendar import month_of, time_of_day
-from drayage.functions.draws import format_id
+from drayage.functions.draws import format_id, hash_bucket, jitter
 from drayage.operators.joins import lookup_join
 from drayage.operators.numbering import number_rows
 from drayage.operators.skew import HotKeys, heavy_hitters, hot_keys, hot_keys_of, hot_row_limit
@@ -79,6 +79,30 @@ def build_vehicles(supplier: DataFrame, depots: DataFrame) -> DataFrame:
     return conform(table, schemas.VEHICLES)
 
 
+def own_figures(vehicles: DataFrame) -> DataFrame:
+    """Vehicles with capacity, fuel and rates of their own, spread around their class's by the vehicle id."""
+    key = F.col("vehicle_id")
+
+    def spread(column, salt):
+        return jitter(F.col(column), key, salt, fv.VEHICLE_SPREAD)
+
+    draw, reached = hash_bucket(key, "fuel", 10), 0
+    fuel = F.when(key.isNull(), F.col("fuel_type"))
+    for name, share in fv.OWN_FUELS:
+        reached += share
+        fuel = fuel.when(draw < reached, name)
+    table = vehicles.withColumns(
+        {
+            "capacity_weight_lbs": F.floor(spread("capacity_weight_lbs", "cap_wt")),
+            "capacity_volume_cuft": F.floor(spread("capacity_volume_cuft", "cap_vol")),
+            "fuel_type": fuel.otherwise(F.col("fuel_type")),
+            "cost_per_mile_usd": F.round(spread("cost_per_mile_usd", "cpm"), 2),
+            "daily_fixed_cost_usd": F.round(spread("daily_fixed_cost_usd", "fixed"), 2),
+        }
+    )
+    return conform(table, schemas.VEHICLES)
+
+
 def requested_date(ordered: Column, priority: Column) -> Column:
     days = F.coalesce(costing.lookup((priority,), fv.PROMISE_DAYS), F.lit(fv.PROMISE_DAYS_ELSE))
     return F.date_add(ordered.cast("date"), days)
@@ -261,6 +285,11 @@ class Mart:
     def clients(self) -> DataFrame:
         return self._clients if self._clients is not None else self.orders.select("client_id").distinct()
 
+    @property
+    def fleet(self) -> DataFrame:
+        """The vehicles with their own figures; those of ``vehicles`` are their class's."""
+        return own_figures(self.vehicles)
+
     #: Whether months are replaced later on.
     renewed = True
 

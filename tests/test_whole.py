@@ -1,7 +1,11 @@
 """Nothing is dropped: unknown references, long routes, late days, full lists."""
 
+import hashlib
+from collections import Counter, defaultdict
+
 from pyspark.sql import functions as F
 
+from drayage import fixed_values as fv
 from drayage.functions import costing
 from drayage.plans import building_blocks as blocks
 from drayage.plans import charts, dashboard, metrics, planning, quality, questions
@@ -99,3 +103,44 @@ def test_unknown_reasons_and_outcomes_are_counted(mart):
     changed = builders.Mart(mart.depots, mart.vehicles, mart.orders, mart.routes, odd)
     assert charts.delay_pivot(changed).agg(F.sum("other")).first()[0] == odd.where("delay_reason = 'flood'").count()
     assert planning.route_progress(changed).agg(F.sum("other")).first()[0] == mart.routes.count()
+
+
+NUMBERS = [*range(60), 5, 1234, None]  # 5 comes twice, one vehicle has no number
+
+
+def own_fleet(spark):
+    """A mart of vehicles alone, without routes."""
+    supplier = spark.createDataFrame([(n, 1, 10.0) for n in NUMBERS], "s_suppkey long, s_nationkey long, s_acctbal double")
+    depots = spark.createDataFrame([(1, "DEPOT_A")], "n_nationkey long, depot_id string")
+    routes = spark.createDataFrame([], "vehicle_no long, actual_miles decimal(18,1), actual_cost_usd decimal(18,2)")
+    return builders.Mart(None, builders.build_vehicles(supplier, depots), None, routes, None)
+
+
+def own_share(n, salt):
+    return 90 + drawn(n, salt) % 20
+
+
+def drawn(n, salt):
+    return int(hashlib.md5(f"VH-{n:03d}|{salt}".encode()).hexdigest()[:8], 16)
+
+
+def own_rate(n, column, salt):
+    """In cents, half a cent upwards."""
+    return (int(fv.VEHICLE_TYPES[n % 6][column] * 100) * own_share(n, salt) + 50) // 100
+
+
+def own_fuel(n):
+    draw = drawn(n, "fuel") % 10
+    return "electric" if draw < 2 else "hybrid" if draw == 2 else fv.VEHICLE_TYPES[n % 6][4]
+
+
+def test_cost_per_mile_has_the_fuels_of_the_vehicles(spark):
+    rates = defaultdict(list)
+    for n in NUMBERS[:-1]:
+        rates[fv.VEHICLE_TYPES[n % 6][0], own_fuel(n)].append(own_rate(n, 5, "cpm"))
+    report = planning.cost_per_mile_by_fuel(own_fleet(spark)).collect()
+    found = {(r.vehicle_type, r.fuel_type): (r.vehicles, r.avg_cost_per_mile) for r in report}
+    assert found.pop((None, None)) == (1, None)
+    assert set(found) == set(rates) and {fuel for _, fuel in found} == set(fv.FUEL_TYPES)
+    for key, cents in rates.items():
+        assert found[key][0] == len(cents) and abs(found[key][1] - sum(cents) / len(cents) / 100) <= 0.005 + 1e-9
