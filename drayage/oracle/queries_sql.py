@@ -244,7 +244,7 @@ _SQL = {
     FROM m_vehicles v LEFT JOIN (SELECT vehicle_no, count(*) AS n, CAST(sum(planned_stops) AS DOUBLE) AS stops FROM m_routes GROUP BY vehicle_no) r
       ON v.vehicle_no = r.vehicle_no""",
     "o20_driver_id": "SELECT driver_id, count(*) AS routes, count(DISTINCT depot_id) AS depots, count(DISTINCT route_month) AS months FROM m_routes GROUP BY driver_id",
-    "t1_vehicles": f"SELECT {VEHICLE_COLUMNS} FROM m_vehicles",
+    "t1_vehicles": f"SELECT {VEHICLE_COLUMNS} FROM m_fleet",
     "t2_delivery_orders": """
     SELECT order_no, order_id, client_id, depot_id, destination_address, destination_lat, destination_lon,
            CAST(requested_date AS VARCHAR) AS requested_date, window_start_min, window_end_min, time_window_start,

@@ -68,7 +68,7 @@ REPORTS = {
     "o19_capped_stops": blocks.stop_targets,
     "o20_driver_id": blocks.driver_assignments,
     # mart tables
-    "t1_vehicles": lambda m: m.vehicles,
+    "t1_vehicles": lambda m: m.fleet,
     "t2_delivery_orders": lambda m: m.orders,
     "t3_route_plans": lambda m: m.routes,
     "t4_route_stops": lambda m: m.stops,

@@ -3,8 +3,9 @@
 Read from the order and line-item tables: a supplier is a vehicle, an order a delivery
 order, and the lines a supplier ships in one month form one route with one stop per
 line.  Every column comes from a source column, by the rules in fixed_values.py; what
-no source holds is null; only ``Mart.fleet`` spreads a vehicle's figures.  Rows that refer to an unknown supplier, customer or nation
-stay, with nulls; lines without a supplier or ship date have no route number.
+no source holds is null; only ``Mart.fleet`` spreads a vehicle's figures.  Rows that
+refer to an unknown supplier, customer or nation stay, with nulls; lines without a
+supplier or ship date have no route number.
 
 Keys are whole numbers while rows are joined and grouped, and are written out as ids at
 the end.  Lines meet their orders once; those served lines, bucketed by route, make both

@@ -9,6 +9,7 @@ from drayage import fixed_values as fv
 from drayage.functions import costing
 from drayage.plans import building_blocks as blocks
 from drayage.plans import charts, dashboard, metrics, planning, quality, questions
+from drayage.registry import REPORTS
 from drayage.sources import mart as builders
 from tests.test_mart import plan_of
 
@@ -144,3 +145,17 @@ def test_cost_per_mile_has_the_fuels_of_the_vehicles(spark):
     assert set(found) == set(rates) and {fuel for _, fuel in found} == set(fv.FUEL_TYPES)
     for key, cents in rates.items():
         assert found[key][0] == len(cents) and abs(found[key][1] - sum(cents) / len(cents) / 100) <= 0.005 + 1e-9
+
+
+def test_vehicles_have_figures_of_their_own(spark):
+    found = Counter(
+        (r.vehicle_no, r.vehicle_type, r.capacity_weight_lbs, r.capacity_volume_cuft, r.fuel_type,
+         r.cost_per_mile_usd and int(r.cost_per_mile_usd * 100), r.daily_fixed_cost_usd and int(r.daily_fixed_cost_usd * 100))
+        for r in REPORTS["t1_vehicles"](own_fleet(spark)).collect()
+    )
+    expected = Counter({(None,) * 7: 1})
+    for n in NUMBERS[:-1]:
+        kind, weight, volume = fv.VEHICLE_TYPES[n % 6][:3]
+        capacity = weight * own_share(n, "cap_wt") // 100, volume * own_share(n, "cap_vol") // 100
+        expected[(n, kind, *capacity, own_fuel(n), own_rate(n, 5, "cpm"), own_rate(n, 6, "fixed"))] += 1
+    assert found == expected
