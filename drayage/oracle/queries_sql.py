@@ -307,7 +307,7 @@ _SQL = {
     "q20_cost_by_type": f"""
     SELECT vehicle_type, {rnd(mean('cost_per_mile_usd'), 2)} AS avg_cost_per_mile,
            CAST(sum((SELECT count(*) FROM m_routes r WHERE r.vehicle_id = v.vehicle_id)) AS BIGINT) AS total_routes
-    FROM m_vehicles v GROUP BY vehicle_type""",
+    FROM m_fleet v GROUP BY vehicle_type""",
     "q21_vehicle_types": "SELECT DISTINCT vehicle_type FROM m_vehicles",
     "q22_delay_pivot": f"""{delay_data()}
     SELECT strftime(month, '%Y-%m') AS month, """

@@ -92,14 +92,14 @@ def route_stops(mart, route: str) -> DataFrame:
     return mart.stops.where((F.col("route_month") == month) & (F.col("route_id") == route)).orderBy("stop_sequence")
 
 
-def vehicle_usage(mart, depot=None, vehicle_type=None) -> DataFrame:
-    """Every vehicle with its number of routes and averages, 0 if unused."""
+def vehicle_usage(mart, depot=None, vehicle_type=None, fleet: DataFrame | None = None) -> DataFrame:
+    """Every vehicle, of ``fleet`` if given, with its number of routes and averages, 0 if unused."""
     used = mart.routes.groupBy("vehicle_no").agg(
         F.count(F.lit(1)).alias("route_count"),
         mean("actual_miles").alias("miles"),
         mean("actual_cost_usd").alias("cost"),
     )
-    fleet = mart.vehicles
+    fleet = mart.vehicles if fleet is None else fleet
     if depot:
         fleet = fleet.where(F.col("depot_id") == depot)
     if vehicle_type:

@@ -103,7 +103,7 @@ REPORTS = {
     "q17_cost_by_depot": charts.cost_by_depot,
     "q18_efficiency_trend": charts.efficiency_trend,
     "q19_vehicles_by_status": charts.vehicles_by_status,
-    "q20_cost_by_type": charts.cost_by_type,
+    "q20_cost_by_type": lambda m: charts.cost_by_type(m, fleet=m.fleet),
     "q21_vehicle_types": charts.vehicle_types,
     "q22_delay_pivot": charts.delay_pivot,
     "q23_region_bars": charts.region_bars,

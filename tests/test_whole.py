@@ -159,3 +159,18 @@ def test_vehicles_have_figures_of_their_own(spark):
         capacity = weight * own_share(n, "cap_wt") // 100, volume * own_share(n, "cap_vol") // 100
         expected[(n, kind, *capacity, own_fuel(n), own_rate(n, 5, "cpm"), own_rate(n, 6, "fixed"))] += 1
     assert found == expected
+
+
+def test_cost_by_type_averages_the_vehicles_own_rates(spark):
+    vehicles = own_fleet(spark).vehicles
+    routes = spark.sql("SELECT * FROM VALUES (5L, 1.0BD, 2.0BD), (5L, 3.0BD, 4.0BD), (7L, 1.0BD, 2.0BD) AS t(vehicle_no, actual_miles, actual_cost_usd)")
+    report = REPORTS["q20_cost_by_type"](builders.Mart(None, vehicles, None, routes, None)).collect()
+    found = {r.vehicle_type: (r.avg_cost_per_mile, r.total_routes) for r in report}
+    rates = defaultdict(list)
+    for n in NUMBERS[:-1]:
+        rates[fv.VEHICLE_TYPES[n % 6][0]].append(own_rate(n, 5, "cpm"))
+    assert set(found) == {*rates, None} and found[None] == (None, 0)
+    for kind, cents in rates.items():
+        assert abs(found[kind][0] - sum(cents) / len(cents) / 100) <= 0.005 + 1e-9
+    # number 5 comes twice, and both rows have its two routes
+    assert {kind: n for kind, (_, n) in found.items() if n} == {"flatbed": 4, "box_truck": 1}
